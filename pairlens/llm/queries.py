@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, pii
+from . import ann, bpe, chat, pii, quality
 from .common import load
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -23,6 +23,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(load(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(load(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_chat": op3_chat,
     "op4_bpe": op4_bpe,
+    "op5_quality": op5_quality,
     "op8_pii": op8_pii,
     "op9_ann": op9_ann,
 }
@@ -63,7 +68,8 @@ WITH v AS (
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), d AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.vec, c.vec) AS score
+  SELECT q.vec_id AS query_id, c.vec_id, 
+    sqrt(list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip(q.vec, c.vec), lambda x: (x[1] - x[2]) * (x[1] - x[2]))), lambda a, b: a + b)) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.vec) = len(c.vec) WHERE q.vec_id % 100 = 0
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS n FROM d
