@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, pii, quality
+from . import ann, bpe, chat, mixing, pii, quality, urls
 from .common import load
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -27,6 +27,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(load(spark, sf_dir, "pages"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(load(spark, sf_dir, "documents"))
 
@@ -35,12 +39,18 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(load(spark, sf_dir, "embeddings"), every=100, k=10)
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op3_chat": op3_chat,
     "op4_bpe": op4_bpe,
     "op5_quality": op5_quality,
+    "op7_urls": op7_urls,
     "op8_pii": op8_pii,
     "op9_ann": op9_ann,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE: dict[str, str] = {
