@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, jaccard, mixing, pii, quality, urls
+from . import ann, bpe, chat, jaccard, mixing, pii, quality, suffixes, urls
 from .common import load
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -17,6 +17,10 @@ def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(load(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(load(spark, sf_dir, "documents"))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = spark.createDataFrame([(-7, 0, "user", TRAP), (-7, 1, "assistant", TRAP)], rows.schema)
@@ -49,6 +53,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_jaccard": op1_jaccard,
+    "op2_suffixes": op2_suffixes,
     "op3_chat": op3_chat,
     "op4_bpe": op4_bpe,
     "op5_quality": op5_quality,
