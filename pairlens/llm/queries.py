@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, jaccard, mixing, pii, quality, suffixes, urls
+from . import ann, bpe, chat, jaccard, mixing, neardup, pii, quality, suffixes, urls
 from .common import load
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -35,6 +35,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(load(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(load(spark, sf_dir, "pages"))
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op3_chat": op3_chat,
     "op4_bpe": op4_bpe,
     "op5_quality": op5_quality,
+    "op6_neardup": op6_neardup,
     "op7_urls": op7_urls,
     "op8_pii": op8_pii,
     "op9_ann": op9_ann,
