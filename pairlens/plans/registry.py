@@ -1,6 +1,8 @@
-"""Queries and their SQL counterparts, by name."""
+"""All queries of the analytics operators: importing the modules registers them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import comparisons, integrity, paired, selections, summaries, texts, vectors  # noqa: F401
+from .catalog import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
