@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import running_before
+
 
 def rate(holds: Column) -> Column:
     """Share of true among known values; null without any."""
@@ -149,8 +151,7 @@ def classification(df: DataFrame, keys: list[str], truth: str, predicted: str, c
 def auc(df: DataFrame, truth: str, score: str) -> DataFrame:
     """Area under the ROC curve by average ranks; null if one class is missing. Ties are ranked by counts of equal scores."""
     counts = df.groupBy(score).agg(F.count_if(truth).alias("pos"), F.count_if(~F.col(truth)).alias("neg"))
-    before = F.coalesce(F.sum("neg").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = counts.withColumn("below", before).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    won = running_before(counts, score, "neg", "below").agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     return won.select(F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("won") / (F.col("pos") * F.col("neg"))).alias("auc"))
 
 

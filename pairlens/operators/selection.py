@@ -18,13 +18,31 @@ def placed(df: DataFrame, order: list[str], name: str = "place") -> DataFrame:
 
     Rows are dealt out by ranges of the order and numbered within their range; ranges before it are counted in a small table.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
+    ranged = df.repartitionByRange(_ranges(df), *order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.withColumn("_before", before).select("_range", "_first", "_before")  # a row for each range
     return ranged.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_before") + F.col("_id") - F.col("_first")).drop("_range", "_id", "_first", "_before")
 
 
+def _ranges(df: DataFrame) -> int:
+    """A fixed number of ranges: with one, partitions are not merged later, and their ids stay."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def running_before(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """df with the sum of a value over all rows before each in a global order; ``order`` is unique in df.
+
+    Sums run within ranges of the order; what lies before a range is added from a table with a row for each range.
+    """
+    ranged = df.repartitionByRange(_ranges(df), order).withColumn("_range", F.spark_partition_id())
+    totals = ranged.groupBy("_range").agg(F.sum(value).alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = totals.select("_range", before.alias("_before"))  # a row for each range
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn("_inside", inside).join(F.broadcast(offsets), "_range").withColumn(name, F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_before")
+
+
 def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group by the order."""
     w = Window.partitionBy(*group).orderBy(*order)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import running_before
+
 
 def average_rank(column: str, group: list[str]) -> Column:
     """Rank within the group, ties averaged."""
@@ -13,10 +15,9 @@ def average_rank(column: str, group: list[str]) -> Column:
 
 
 def global_average_rank(df: DataFrame, column: str, name: str) -> DataFrame:
-    """W1 over all rows: counts of equal values are ranked, not rows, so one task sees as many rows as there are distinct values."""
-    counts = df.groupBy(column).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.withColumn(name, before + (F.col("_n") + 1) / 2).drop("_n")
+    """W1 over all rows: counts of equal values are summed by ranges, so no task sees all rows."""
+    counts = running_before(df.groupBy(column).agg(F.count("*").alias("_n")), column, "_n", "_below")
+    ranks = counts.select(column, (F.col("_below") + (F.col("_n") + 1) / 2).alias(name))
     return df.join(ranks, column)
 
 
