@@ -69,6 +69,62 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_jaccard": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS sh FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), o AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b USING (sh) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT x, y FROM o JOIN n a ON x = a.doc_id JOIN n b ON y = b.doc_id WHERE 100 * o >= 90 * (a.n + b.n - o)
+), r AS (
+  SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce((SELECT min(y) FROM r WHERE x = d.doc_id), d.doc_id)) AS component_id,
+  (SELECT count(*) FROM l WHERE x = d.doc_id) AS n_links
+FROM documents d LEFT JOIN n USING (doc_id)
+""",
+    "op2_suffixes": """
+WITH h AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), p AS (
+  SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS p FROM h
+), w AS (
+  SELECT doc_id, p, substr(h, p * 2 + 1, 100) AS w FROM p
+), m AS (
+  SELECT w, min(doc_id) AS m FROM w GROUP BY w HAVING min(doc_id) <> max(doc_id)
+), d AS (
+  SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS first FROM w JOIN m USING (w) WHERE m < doc_id
+), i AS (
+  SELECT *, sum(first) OVER (PARTITION BY doc_id ORDER BY p) AS i FROM d
+), spans AS (
+  SELECT doc_id, i, min(p) AS a, max(p) + 50 AS b FROM i GROUP BY doc_id, i
+), gaps AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS prev FROM spans
+), cut AS (
+  SELECT g.doc_id, sum(b - a) AS removed, count(*) AS n, string_agg(substr(h, prev * 2 + 1, (a - prev) * 2), '' ORDER BY a) || substr(any_value(h), max(b) * 2 + 1) AS kept
+  FROM gaps g JOIN h USING (doc_id) GROUP BY g.doc_id
+)
+SELECT h.doc_id, len(h.h) // 2 AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(kept, h.h))) AS kept_sha256
+FROM h LEFT JOIN cut USING (doc_id)
+""",
+    "op6_neardup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.vec) = len(b.vec) WHERE list_cosine_similarity(a.vec, b.vec) >= 0.9
+), r AS (
+  SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x
+), c AS (
+  SELECT vec_id, least(vec_id, coalesce((SELECT min(y) FROM r WHERE x = vec_id), vec_id)) AS component_id, (SELECT count(*) FROM l WHERE x = vec_id) AS n_links FROM embeddings
+)
+SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM c
+""",
     "op3_chat": r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
