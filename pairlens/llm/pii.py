@@ -234,7 +234,8 @@ def train(counts: list[tuple[str, str, int, bool, int]], rounds: int = 400) -> n
     votes = np.array([[int(v) for v in x[1].split(",")] for x in counts])
     weight = np.array([x[4] for x in counts], float)
     likely, _, _ = reliabilities(votes, weight)
-    likely = np.where([x[3] for x in counts], 1 - 1e-6, likely)  # what the base rules settle is settled
+    likely = np.where([x[3] for x in counts], 1 - 1e-6, likely)  # what the base rules settle is settled,
+    likely = np.where(votes[:, 3] < 0, 1e-6, likely)  # and so is what fails their check digits, ranges and sizes
     x = np.zeros((len(counts), size))
     for i, (kind, _, shape, _, _) in enumerate(counts):
         x[i, features(kind, tuple(votes[i].tolist()), shape)] = 1
