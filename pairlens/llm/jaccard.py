@@ -3,7 +3,7 @@
 A text's words are runs of bytes that are no white space, A-Z in lower case; its set holds the 64-bit hashes of its distinct shingles
 of ``k`` words. Two sets link when ``den * intersection >= num * union``.
 
-1. Equal sets are one class (a row for each, with its number of texts); only classes go on.
+1. Equal sets are one class (a row for each, with its number of texts); only classes are joined.
 2. Candidates by partition: sets that link differ in at most ``min(a, b) * (den - num) // num`` elements. So if a set is dealt into more
    parts than that by its elements' hashes, some part is the same in both. Set sizes fall into bands; in a band all sets have as many
    parts, and a set also joins the band below if a smaller partner may be there. Classes that share a part are joined to the smallest of
@@ -105,17 +105,23 @@ class Bands:
         while self.least[-1] < 1 << 40:
             self.least.append(max(self.least[-1] + 1, int(self.least[-1] * spread)))
         self.edges = np.array(self.least)
+        self.known: dict[int, tuple[int, int]] = {}
 
     def of(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.edges, n, "right") - 1
 
     def parts(self, band: int) -> tuple[int, int]:
-        """How many parts sets of a band have, and how many of them may be empty; no parts if only equal sets link."""
-        differ = (self.least[band + 1] - 1) * (self.den - self.num) // self.num
-        if not differ:
-            return 0, 0
-        spare = 2 + differ // 16
-        return differ + 1 + spare, spare
+        """How many parts sets of a band have, and how many of them may be empty; no parts if only equal sets link.
+
+        So many may be empty that hardly any set has more: the expected number for the smallest sets, and four deviations.
+        """
+        if band not in self.known:
+            differ = (self.least[band + 1] - 1) * (self.den - self.num) // self.num
+            spare = 2
+            while differ and spare < (mean := (differ + 1 + spare) * (1 - 1 / (differ + 1 + spare)) ** self.least[band]) + 4 * mean**0.5 and spare < 4 * differ:
+                spare += 1
+            self.known[band] = (differ + 1 + spare, spare) if differ else (0, 0)
+        return self.known[band]
 
     def signatures(self, elements: np.ndarray, band: int) -> np.ndarray:
         """Keys of a set's parts in a band; sets that link there have one in common."""
@@ -138,26 +144,24 @@ class Bands:
         return np.concatenate(out)
 
 
-def profiles(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, keys (binary: band and keys, 8 bytes each) of every text."""
+def digest_of(elements: np.ndarray) -> bytes:
+    return hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
+
+
+def profiles(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, n_shingles, digest of the set of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=4 << 20):
-            n, digests, keys = [], [], []
-            for own in sets(batch.column("text"), k):
-                n.append(len(own))
-                digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-                found = []
-                if len(own):
-                    band = int(bands.of(np.array([len(own)]))[0])
-                    below = band and -(-bands.num * len(own) // bands.den) < bands.least[band]
-                    for level in (band, band - 1)[: 2 if below else 1]:
-                        if len(x := bands.signatures(own, level)):
-                            found += [np.array([level, len(x)], np.uint64), x]
-                keys.append(np.concatenate(found).tobytes() if found else b"")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.binary())], ["doc_id", "n_shingles", "digest", "keys"])
+        for batch in slices(batches, most=2 << 20):
+            found = [(len(own), digest_of(own)) for own in sets(batch.column("text"), k)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for n, _ in found], pa.int64()), pa.array([d for _, d in found], pa.binary())], ["doc_id", "n_shingles", "digest"])
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary")
 
-    return doc_id_text(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys binary")
+
+def short_id(digest: bytes) -> int:
+    """57 bits of a digest. Classes that share them only become candidates of each other."""
+    return int.from_bytes(digest[:8], "big") >> 7
 
 
 def _first_of_key(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -172,35 +176,44 @@ def _first_of_key(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.n
     return keys[first], nodes[first], edges[:, 0], edges[:, 1]
 
 
-def candidate_edges(classes: DataFrame) -> DataFrame:
-    """Edges between nodes (cid * 64 + band) of classes that share a part. classes: cid, keys."""
-    n = partitions(classes.sparkSession)
-    names = ["bucket", "keys", "nodes"]
+def candidate_edges(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
+    """Edges between nodes (short_id * 64 + band) of sets that share a part."""
+    n = partitions(docs.sparkSession)
+    names = ["bucket", "keys", "places", "nodes"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         size = 0
 
         def out() -> pa.RecordBatch:
-            keys, nodes, a, b = _first_of_key(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
+            keys, nodes, a, b = _first_of_key(np.concatenate([x for x, _ in held]), np.repeat([y for _, y in held], [len(x) for x, _ in held]))
             bucket = (keys >> np.uint64(20)) % np.uint64(n)
             order = np.argsort(bucket, kind="stable")
             ends = np.searchsorted(bucket[order], np.arange(n + 1, dtype=np.uint64))
-            rows = [(i, keys[order[x:y]].tobytes(), nodes[order[x:y]].tobytes()) for i, (x, y) in enumerate(zip(ends.tolist(), ends[1:].tolist())) if y > x]
+            rows = []
+            for i, (x, y) in enumerate(zip(ends.tolist(), ends[1:].tolist())):
+                if y > x:
+                    used, place = np.unique(nodes[order[x:y]], return_inverse=True)
+                    rows.append((i, keys[order[x:y]].tobytes(), place.astype(np.uint32).tobytes(), used.tobytes()))
             if len(a):  # edges found here, as a row without keys
-                rows.append((int(a[0]) % n, b"", np.stack([a, b], axis=1).tobytes()))
+                rows.append((int(a[0]) % n, b"", b"", np.stack([a, b], axis=1).tobytes()))
             cols = list(zip(*rows))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names)
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(x, pa.binary()) for x in cols[1:])], names)
 
-        for batch in batches:
-            for cid, blob in zip(batch.column("cid").to_pylist(), batch.column("keys").to_pylist()):
-                found, at = np.frombuffer(blob, np.uint64), 0
-                while at < len(found):
-                    band, m = int(found[at]), int(found[at + 1])
-                    held.append((found[at + 2 : at + 2 + m], np.full(m, cid * 64 + band, np.int64)))
-                    size += m
-                    at += 2 + m
-            if size > 3_000_000:
+        for batch in slices(batches, most=2 << 20):
+            seen = set()
+            for own in sets(batch.column("text"), k):
+                if not len(own) or (digest := digest_of(own)) in seen:
+                    continue
+                seen.add(digest)
+                band = int(bands.of(np.array([len(own)]))[0])
+                below = band and -(-bands.num * len(own) // bands.den) < bands.least[band]
+                for level in (band, band - 1)[: 2 if below else 1]:
+                    keys = bands.signatures(own, level)
+                    if len(keys):
+                        held.append((keys, short_id(digest) * 64 + level))
+                        size += len(keys)
+            if size > 2_000_000:
                 yield out()
                 held, size = [], 0
         if size:
@@ -209,10 +222,10 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes, edges = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)]
         for batch in batches:
-            for k, x in zip(batch.column("keys").to_pylist(), batch.column("nodes").to_pylist()):
-                if k:
-                    keys.append(np.frombuffer(k, np.uint64))
-                    nodes.append(np.frombuffer(x, np.int64))
+            for own, place, x in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                if own:
+                    keys.append(np.frombuffer(own, np.uint64))
+                    nodes.append(np.frombuffer(x, np.int64)[np.frombuffer(place, np.uint32)])
                 else:
                     edges.append(np.frombuffer(x, np.int64).reshape(-1, 2))
         _, _, a, b = _first_of_key(np.concatenate(keys), np.concatenate(nodes))
@@ -221,7 +234,7 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
         for i in range(0, len(a), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 100_000]), pa.array(b[i : i + 100_000])], ["a", "b"])
 
-    dealt = classes.where(F.length("keys") > 0).select("cid", "keys").mapInArrow(deal, "bucket int, keys binary, nodes binary")
+    dealt = docs.select("text").mapInArrow(deal, "bucket int, keys binary, places binary, nodes binary")
     return dealt.repartition(n, "bucket").mapInArrow(meet, "a long, b long")
 
 
@@ -326,11 +339,13 @@ def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataF
     """doc_id, n_shingles, component_id, n_links of every text. Texts link when den * intersection >= num * union."""
     bands = Bands(num, den)
     docs = doc_id_text(docs)
-    rows = written(profiles(docs, k, bands), "profiles")
-    classes = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("texts"), F.min(F.struct("n_shingles", "keys")).alias("x"))
-    classes = written(classes.select(F.monotonically_increasing_id().alias("cid"), "digest", "least_id", "texts", F.col("x.n_shingles").alias("n"), F.col("x.keys").alias("keys")), "classes")
-    groups = components(candidate_edges(classes))
-    members = groups.select(F.expr("node div 64").alias("cid"), F.pmod("node", F.lit(64)).cast("int").alias("band"), "root").join(classes.drop("keys"), "cid")
+    rows = written(profiles(docs, k), "profiles")
+    classes = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("texts"), F.first("n_shingles").alias("n"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("cid"), "digest", "least_id", "texts", "n"), "classes")
+    groups = components(candidate_edges(docs, k, bands))
+    short = F.shiftrightunsigned(F.conv(F.substr(F.hex("digest"), F.lit(1), F.lit(16)), 16, -10).cast("long"), 7)
+    nodes = groups.select(F.shiftright("node", 6).alias("short"), F.pmod("node", F.lit(64)).cast("int").alias("band"), "root")
+    members = nodes.join(classes.withColumn("short", short), "short").drop("short")
     members = written(members, "members")
     sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / SLOT_SETS, F.sum("n") / SLOT_ELEMENTS)).cast("int").alias("slots"))
     # a slot is one of the group's; a tile is a pair of slots, (i, i) for pairs within one
@@ -340,17 +355,17 @@ def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataF
     placed = placed.select("band", "root", "tile.i", "tile.j", "slot", "cid", "texts")
 
     wanted = members.select("cid", "least_id", "digest").distinct()
-    if members.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)  # BROADCAST_ROWS at most
+    if placed.count() <= BROADCAST_ROWS:
+        wanted, placed = F.broadcast(wanted), F.broadcast(placed)  # BROADCAST_ROWS at most
     texts = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.least_id)).select("cid", "digest", "text")
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=4 << 20):
-            keep = [(c, x) for c, d, own in zip(batch.column("cid").to_pylist(), batch.column("digest").to_pylist(), sets(batch.column("text"), k)) if hashlib.blake2b(x := own.tobytes(), digest_size=16).digest() == d]
+        for batch in slices(batches, most=2 << 20):
+            keep = [(c, x) for c, d, own in zip(batch.column("cid").to_pylist(), batch.column("digest").to_pylist(), sets(batch.column("text"), k)) if digest_of(own) == d for x in (own.tobytes(),)]
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in keep], pa.int64()), pa.array([x for _, x in keep], pa.binary())], ["cid", "elements"])
 
     n = partitions(docs.sparkSession)
-    full = placed.join(texts.mapInArrow(elements, "cid long, elements binary"), "cid").repartition(n, "band", "root", "i", "j").sortWithinPartitions("band", "root", "i", "j")
+    full = texts.mapInArrow(elements, "cid long, elements binary").join(placed, "cid").repartition(n, "band", "root", "i", "j").sortWithinPartitions("band", "root", "i", "j")
     found = written(full.select("band", "root", "i", "j", "slot", "cid", "texts", "elements").mapInArrow(_group_links(num, den, bands.least), "cid long, root long, links long"), "links")
 
     named = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
