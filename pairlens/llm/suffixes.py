@@ -27,7 +27,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import doc_id_text, joined_bytes, mixed, partitions, slices, written
@@ -35,13 +36,13 @@ from .common import doc_id_text, joined_bytes, mixed, partitions, slices, writte
 LENGTH, KMER = 50, 24
 #: Positions of an anchor in a window.
 PLACES = LENGTH - KMER + 1
-#: A row of the sort: a byte unused, up to LENGTH bytes from the anchor, up to PLACES - 1 before it, the anchor's place in its last
-#: window, how many windows have it.
+#: A row of the sort: a byte unused, LENGTH bytes from the anchor, PLACES - 1 before it, backwards (zeros beyond its windows), a byte
+#: unused, the anchor's place in its last window, how many windows have it.
 ROW = 80
 #: A table of spans of up to so many bytes is broadcast; a larger one is shuffled.
 BROADCAST_BYTES = 24 << 20
-#: Anchors or suffixes in a batch; documents in it.
-BATCH, BATCH_DOCS = 1_000_000, 30_000
+#: Anchors or suffixes in a batch; documents in it. Keys of anchors take 47 bits, so buckets 15 and texts of a slice 17.
+BATCH, BATCH_DOCS, MOST_BUCKETS = 1_000_000, 30_000, 1 << 15
 _STEPS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 _PLACE = np.uint64((1 << 31) - 1)
 
@@ -91,13 +92,46 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _keys(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket (above) and fingerprint (lower 32 bits) of an anchor."""
-    short = hashes >> np.uint64(20)
+    """Bucket (above) and fingerprint (lower 32 bits) of an anchor. Anchors have small hashes, so these are mixed anew."""
+    short = mixed(hashes + _STEPS[1]) >> np.uint64(20)
     return (((short >> np.uint64(12)) * np.uint64(buckets)) >> np.uint64(32)) << np.uint64(32) | (short & np.uint64(0xFFFFFFFF))
 
 
+#: Documents are dealt to buckets by their ids alone, alike in Spark and in numpy, without overflow.
+_PRIME, _FACTORS = 2_147_483_647, (48_271, 69_621)
+
+
+def bucket_of(doc_id: Column, buckets: int) -> Column:
+    out = F.pmod(doc_id, F.lit(_PRIME).cast("long"))
+    for factor in _FACTORS:
+        out = F.pmod(F.shiftright(out, 3).bitwiseXOR(out) * factor, F.lit(_PRIME).cast("long"))
+    return F.pmod(out, F.lit(buckets)).cast("int")
+
+
+def buckets_of(doc_ids: np.ndarray, buckets: int) -> np.ndarray:
+    out = np.mod(doc_ids, _PRIME)
+    for factor in _FACTORS:
+        out = np.mod(((out >> 3) ^ out) * factor, _PRIME)
+    return np.mod(out, buckets)
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Keys as bytes: if all are of one bucket, that and their fingerprints (4 bytes each); else as they are, after a mark."""
+    bucket = keys >> np.uint64(32)
+    if (bucket == bucket[0]).all():
+        return np.array([bucket[0]], np.uint32).tobytes() + keys.astype(np.uint32).tobytes()
+    return b"\xff\xff\xff\xff" + keys.tobytes()
+
+
+def unpacked_keys(payload: bytes) -> np.ndarray:
+    if payload[:4] == b"\xff\xff\xff\xff":
+        return np.frombuffer(payload, np.uint64, offset=4)
+    own = np.frombuffer(payload, np.uint32)
+    return own[1:].astype(np.uint64) | np.uint64(int(own[0]) << 32)
+
+
 def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """doc_id, payload (binary: keys of anchors): rows for the anchors of each document that another has, too."""
+    """to, docs, sizes, keys: for buckets of documents, the anchors of each document that another has, too."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -127,7 +161,7 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
                 rows.append((int(k[0]) % buckets, None, k[order].tobytes(), table[d[order]].tobytes()))
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "prints", "tags", "table"])
 
-        for batch in slices(batches, most=4 << 20):
+        for batch in slices(batches, most=1 << 20):
             data, offsets = joined_bytes(batch.column("text"))
             _, hashes, _, _, text = anchors(data, offsets)
             held.append((_keys(hashes, buckets), text + len(docs_held)))
@@ -142,10 +176,18 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(docs: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-            edges = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1], [True]])) if len(docs) else np.zeros(1, np.int64)
-            for i in range(0, len(edges) - 1, 20_000):
-                part = edges[i : i + 20_001]
-                yield pa.RecordBatch.from_arrays([pa.array(docs[part[:-1]]), pa.array([keys[a:b].tobytes() for a, b in zip(part.tolist(), part[1:].tolist())], pa.binary())], ["doc_id", "payload"])
+            """A row for each bucket of documents: their ids, how many keys each has, the keys."""
+            to = buckets_of(docs, buckets)
+            order = np.lexsort((docs, to))
+            docs, keys, to = docs[order], keys[order], to[order]
+            edges = np.searchsorted(to, np.arange(buckets + 1)).tolist()
+            out = []
+            for i, (a, b) in enumerate(zip(edges, edges[1:])):
+                if b > a:
+                    own, size = np.unique(docs[a:b], return_counts=True)
+                    out.append((i, own.tobytes(), size.astype(np.uint32).tobytes(), packed_keys(keys[a:b])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["to", "docs", "sizes", "keys"])
 
         held: dict[int, list] = {}
         for batch in batches:
@@ -164,34 +206,43 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
             size = np.diff(np.append(first, len(prints)))
             shared = (np.minimum.reduceat(docs, first) != np.maximum.reduceat(docs, first)) | np.logical_or.reduceat(several, first)
             back = np.repeat(shared, size) & ~several
-            docs, keys = docs[back], prints[back].astype(np.uint64) | np.uint64(bucket << 32)
-            order = np.argsort(docs, kind="stable")
-            yield from rows(docs[order], keys[order])
+            if back.any():
+                yield from rows(docs[back], prints[back].astype(np.uint64) | np.uint64(bucket << 32))
 
     dealt = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(deal, "bucket int, prints binary, tags binary, table binary")
-    return dealt.repartition(buckets, "bucket").mapInArrow(meet, "doc_id long, payload binary")
+    return dealt.repartition(buckets, "bucket").mapInArrow(meet, "to int, docs binary, sizes binary, keys binary")
 
 
 def suffix_rows(data: np.ndarray, position: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Rows of the sort (ROW bytes each) for anchors at ``position`` that windows from ``first`` to ``last`` have."""
     out = np.zeros((len(position), ROW), np.uint8)
-    padded = np.concatenate([np.zeros(LENGTH, np.uint8), data, np.zeros(LENGTH, np.uint8)])
-    ahead, behind = last + LENGTH - position, position - first
-    for i in range(LENGTH):
-        out[:, 1 + i] = np.where(i < ahead, padded[position + LENGTH + i], 0)
-    # what lies before the anchor follows at once, backwards
-    at = np.arange(len(position))
-    for i in range(PLACES - 1):
-        some = i < behind
-        out[at[some], 1 + ahead[some] + i] = padded[position[some] + LENGTH - 1 - i]
     out[:, ROW - 2], out[:, ROW - 1] = position - last, last - first + 1
+    padded = np.concatenate([np.zeros(LENGTH, np.uint8), data, np.zeros(LENGTH, np.uint8)])
+    view = np.lib.stride_tricks.sliding_window_view
+    for i in range(0, len(position), 100_000):
+        at, part = position[i : i + 100_000] + LENGTH, out[i : i + 100_000]
+        part[:, 1 : 1 + LENGTH] = view(padded, LENGTH)[at]
+        part[:, 1 + LENGTH : LENGTH + PLACES] = view(padded, PLACES - 1)[at - PLACES + 1][:, ::-1]
+        part[:, : ROW - 2] *= _filled(part[:, ROW - 2 :])
     return out
 
 
+def _filled(tails: np.ndarray) -> np.ndarray:
+    """Which bytes of rows hold text, by their last two."""
+    place, count = tails[:, :1].astype(np.int64), tails[:, 1:].astype(np.int64)
+    at = np.arange(ROW - 2)
+    return ((at >= 1) & (at < 1 + LENGTH - place)) | ((at > LENGTH) & (at <= LENGTH + place + count - 1))
+
+
 def sorted_run(rows: np.ndarray) -> np.ndarray:
     """Order of rows by their bytes."""
     words = rows.view(">u8").astype(np.uint64)
-    return np.lexsort(words.T[::-1])
+    order = np.lexsort(words[:, 2::-1].T)
+    some = words[order, :3]
+    tied = (some[1:] == some[:-1]).all(axis=1)
+    tied = np.flatnonzero(np.concatenate([tied, [False]]) | np.concatenate([[False], tied]))
+    order[tied] = order[tied][np.lexsort(words[order[tied]].T[::-1])]  # ties are few, and stay in their places
+    return order
 
 
 def shared_prefix(rows: np.ndarray) -> np.ndarray:
@@ -203,35 +254,46 @@ def shared_prefix(rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def front_coded(rows: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """A sorted run: lengths of the prefixes shared with the row before, the rest of each row's text, the rows' last bytes."""
+    shared = shared_prefix(rows)
+    rest = rows[:, : ROW - 2][_filled(rows[:, ROW - 2 :]) & (np.arange(ROW - 2) >= shared[:, None])]
+    return shared.astype(np.uint8).tobytes(), zstandard.compress(rest.tobytes(), 1), rows[:, ROW - 2 :].tobytes()
+
+
+def decoded(shared: bytes, rest: bytes, tails: bytes) -> np.ndarray:
+    """The rows of a front-coded run."""
+    known, tail = np.frombuffer(shared, np.uint8), np.frombuffer(tails, np.uint8).reshape(-1, 2)
+    rows = np.zeros((len(known), ROW), np.uint8)
+    own = np.arange(ROW - 2) >= known[:, None]
+    text = np.zeros((len(known), ROW - 2), np.uint8)
+    text[_filled(tail) & own] = np.frombuffer(zstandard.decompress(rest), np.uint8)
+    source = np.maximum.accumulate(np.where(own, np.arange(len(known))[:, None], 0), axis=0)
+    rows[:, : ROW - 2] = text[source, np.arange(ROW - 2)]
+    rows[:, ROW - 2 :] = tail
+    return rows
+
+
 def full_text(row: bytes) -> bytes:
     """All windows of a row in one: the text from the first window's start to the last one's end."""
-    ahead = LENGTH - row[ROW - 2]
     behind = row[ROW - 2] + row[ROW - 1] - 1
-    return row[1 + ahead : 1 + ahead + behind][::-1] + row[1 : 1 + ahead]
+    return row[1 + LENGTH : 1 + LENGTH + behind][::-1] + row[1 : 1 + LENGTH - row[ROW - 2]]
 
 
 class Run:
-    """A front-coded sorted run, read entry by entry."""
+    """A front-coded sorted run, read row by row."""
 
     def __init__(self, shared: bytes, rest: bytes, tails: bytes):
-        self.shared, self.rest, self.tails = shared, rest, tails
-        self.at, self.byte, self.row = -1, 0, b""
+        flat = decoded(shared, rest, tails).tobytes()
+        self.rows = [flat[i : i + ROW] for i in range(0, len(flat), ROW)]
+        self.shared = [*shared, -1]  # -1: the end
+        self.at, self.row = -1, b""
 
     def step(self) -> int:
-        """To the next entry; the length of the prefix it shares with the one before, -1 at the end."""
+        """To the next row; the length of the prefix it shares with the one before, -1 at the end."""
         self.at = i = self.at + 1
-        if i == len(self.shared):
-            self.row = b"\xff"
-            return -1
-        tail = self.tails[2 * i : 2 * i + 2]
         known = self.shared[i]
-        size = LENGTH + tail[1]
-        if known < size:
-            end = self.byte + size - known
-            self.row = (self.row[:known] + self.rest[self.byte : end]).ljust(ROW - 2, b"\0") + tail
-            self.byte = end
-        else:
-            self.row = self.row[:size].ljust(ROW - 2, b"\0") + tail
+        self.row = self.rows[i] if known >= 0 else b"\xff"
         return known
 
 
@@ -293,16 +355,19 @@ def _spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[first], ends[np.append(first[1:], len(starts)) - 1]
 
 
-def _packed(doc: np.ndarray, text: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """(doc_id, text hash, spans) of each document, for windows given by document."""
+def united_spans(doc: np.ndarray, text: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Rows (doc, text, start, end) of the spans' union, text by text, sorted; all texts at once."""
     order = np.lexsort((start, text, doc))
-    doc, text, start, end = doc[order], text[order], start[order], end[order]
-    edges = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]), [True]]))
-    for a, b in zip(edges.tolist(), edges[1:].tolist()):
-        yield int(doc[a]), int(text[a]), np.stack(_spans(start[a:b], end[a:b])).T.astype(np.int64).tobytes()
+    doc, text = doc[order], text[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])
+    base = (np.cumsum(new) - 1) << 32  # each text's spans lie in a stretch of their own
+    first, last = _spans(start[order].astype(np.int64) + base, end[order].astype(np.int64) + base)
+    at = np.flatnonzero(new)[first >> 32]
+    return np.stack([doc[at], text[at], first & 0xFFFFFFFF, last & 0xFFFFFFFF], axis=1)
 
 
-RUNS = "bucket int, shared binary, rest binary, tails binary, docs binary, count binary, places binary, owner binary"
+RUNS = "bucket int, shared binary, rest binary, tails binary, count binary, places binary, owner binary"
 
 
 def runs(docs: DataFrame, keys: DataFrame, buckets: int) -> DataFrame:
@@ -329,9 +394,8 @@ def runs(docs: DataFrame, keys: DataFrame, buckets: int) -> DataFrame:
             result = []
             if later.any():  # a smaller document of this batch has these windows, all of them
                 o = owner[later]
-                found = list(_packed(table[o, 0], table[o, 1], first[later], first[later] + rows[later, ROW - 1] - 1 + LENGTH))
-                x, y, z = zip(*found)
-                result.append((int(x[0]) % buckets, None, b"".join(z), np.array([len(s) for s in z], np.int64).tobytes(), np.array(x, np.int64).tobytes(), np.array(y, np.int64).tobytes(), b"", b""))
+                found = united_spans(table[o, 0], table[o, 1], first[later], first[later] + rows[later, ROW - 1] - 1 + LENGTH)
+                result.append((int(found[0, 0]) % buckets, None, found.tobytes(), b"", b"", b"", b""))
             entry = np.cumsum(new) - 1
             stay = ~later
             per = np.bincount(entry[stay], minlength=len(at))
@@ -340,18 +404,13 @@ def runs(docs: DataFrame, keys: DataFrame, buckets: int) -> DataFrame:
             bucket = (_keys(hashes[at], buckets) >> np.uint64(32)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            lows = low[at]
             for b in range(buckets):
                 own = by[edges[b] : edges[b + 1]]
                 if not len(own):
                     continue
-                part = rows[at[own]]
-                prefix = shared_prefix(part)
-                length = LENGTH + part[:, ROW - 1].astype(np.int64)
-                rest = part[:, : ROW - 2][(np.arange(ROW - 2) >= prefix[:, None]) & (np.arange(ROW - 2) < length[:, None])]
                 which = np.repeat(stops[own] - np.concatenate([[0], np.cumsum(per[own])[:-1]]), per[own]) + np.arange(per[own].sum())
                 used, small = np.unique(owners[which], return_inverse=True)
-                result.append((b, prefix.astype(np.uint8).tobytes(), rest.tobytes(), part[:, ROW - 2 :].tobytes(), lows[own].tobytes(), per[own].astype(np.uint32).tobytes(), places[which].astype(np.uint32).tobytes() + small.astype(np.uint32).tobytes(), table[used].tobytes()))
+                result.append((b, *front_coded(rows[at[own]]), per[own].astype(np.uint32).tobytes(), places[which].astype(np.uint32).tobytes() + small.astype(np.uint32).tobytes(), table[used].tobytes()))
                 if len(result) >= 64:
                     yield batch_of(result)
                     result = []
@@ -359,36 +418,54 @@ def runs(docs: DataFrame, keys: DataFrame, buckets: int) -> DataFrame:
                 yield batch_of(result)
 
         def batch_of(result: list) -> pa.RecordBatch:
-            kinds = [pa.int32(), *[pa.binary()] * 7]
+            kinds = [pa.int32(), *[pa.binary()] * 6]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*result), kinds)], [x.split()[0] for x in RUNS.split(", ")])
 
-        doc, wanted = None, []
-        for batch in slices(batches, "payload", 4 << 20):
-            for own, text, payload in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), batch.column("payload").to_pylist()):
-                if own != doc:
-                    doc, wanted = own, []
-                if text is None:
-                    wanted.append(np.frombuffer(payload, np.uint64))
-                    continue
-                if not wanted or len(payload) < LENGTH:
+        now, docs_of, keys_of = None, [], []
+        starts, wanted_docs, wanted_keys = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        for batch in slices(batches, "payload", 1 << 20):
+            texts, own_ids, asked = [], [], []
+            for to, own, text, payload, docs, sizes, keys in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if to != now:
+                    now, docs_of, keys_of, wanted_docs = to, [], [], np.zeros(0, np.int64)
+                if text is None:  # a bucket's keys come before its texts
+                    docs_of.append(np.repeat(np.frombuffer(docs, np.int64), np.frombuffer(sizes, np.uint32)))
+                    keys_of.append(unpacked_keys(keys))
                     continue
-                data = np.frombuffer(payload, np.uint8)
-                position, hashes, first, last, _ = anchors(data, np.array([0, len(data)]))
-                some = np.isin(_keys(hashes, buckets), wanted[0] if len(wanted) == 1 else np.concatenate(wanted))
-                if some.any():
-                    position, first, last = position[some], first[some], last[some]
-                    held.append((suffix_rows(data, position, first, last), hashes[some], first, np.full(len(first), len(ids))))
-                    ids.append((own, text))
-                    n += len(first)
-                if n > BATCH // 2:
-                    yield from out()
-                    held, ids, n = [], [], 0
+                if docs_of:
+                    every, wanted_keys = np.concatenate(docs_of), np.concatenate(keys_of)
+                    order = np.argsort(every, kind="stable")
+                    wanted_keys = wanted_keys[order]
+                    wanted_docs, starts = np.unique(every[order], return_index=True)
+                    starts = np.append(starts, len(every))
+                    docs_of, keys_of = [], []
+                at = int(np.searchsorted(wanted_docs, own))
+                if at < len(wanted_docs) and wanted_docs[at] == own and len(payload) >= LENGTH:
+                    asked.append(wanted_keys[starts[at] : starts[at + 1]] | np.uint64(len(own_ids) << 47))
+                    texts.append(payload)
+                    own_ids.append((own, text))
+            if not texts:
+                continue
+            data = np.frombuffer(b"".join(texts), np.uint8)
+            position, hashes, first, last, owner = anchors(data, np.concatenate([[0], np.cumsum([len(x) for x in texts])]))
+            some = np.isin(_keys(hashes, buckets) | owner.astype(np.uint64) << np.uint64(47), np.concatenate(asked))
+            if some.any():
+                position, first, last, owner = position[some], first[some], last[some], owner[some]
+                start = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+                held.append((suffix_rows(data, position, first, last), hashes[some], first - start[owner], owner + len(ids)))
+                ids += own_ids
+                n += len(first)
+            if n > BATCH // 4:
+                yield from out()
+                held, ids, n = [], [], 0
         if n:
             yield from out()
 
-    text = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("payload"))
-    both = keys.select("doc_id", F.lit(None).cast("long").alias("text_hash"), "payload").unionAll(text)
-    return both.repartition(buckets, "doc_id").sortWithinPartitions("doc_id", F.col("text_hash").asc_nulls_first()).mapInArrow(run, RUNS)
+    nothing = F.lit(None).cast("binary")
+    text = docs.where("doc_id IS NOT NULL").select(bucket_of(F.col("doc_id"), buckets).alias("to"), "doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("payload"), nothing.alias("docs"), nothing.alias("sizes"), nothing.alias("keys"))
+    long = F.lit(None).cast("long")
+    both = keys.select("to", long.alias("doc_id"), long.alias("text_hash"), nothing.alias("payload"), "docs", "sizes", "keys").unionAll(text)
+    return both.repartition(buckets, "to").sortWithinPartitions("to", F.col("text_hash").isNotNull()).mapInArrow(run, RUNS)
 
 
 def _settle(group: list[tuple[int, int, bytes]], low_of: list[np.ndarray]) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
@@ -426,23 +503,29 @@ def _settle(group: list[tuple[int, int, bytes]], low_of: list[np.ndarray]) -> It
 def repeated_spans(dealt: DataFrame, buckets: int) -> DataFrame:
     """doc_id, text_hash, spans (binary: pairs of longs) of every document with repeated windows: one row each."""
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found), (pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "text_hash", "spans"])
+    def dealt_out(doc: np.ndarray, text: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Spans, as a row for each bucket of documents."""
+        found = united_spans(doc, text, start, end)
+        to = buckets_of(found[:, 0], buckets)
+        order = np.argsort(to, kind="stable")
+        edges = np.searchsorted(to[order], np.arange(buckets + 1)).tolist()
+        rows = [(i, found[order[a:b]].tobytes()) for i, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int32(), pa.binary()))], ["to", "spans"])
 
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_bucket: dict[int, list] = {}
         for batch in batches:
-            for bucket, *row in zip(*(batch.column(i).to_pylist() for i in range(8))):
+            for bucket, *row in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 if row[0] is None:
-                    ends = np.cumsum(np.frombuffer(row[2], np.int64)).tolist()
-                    yield rows([(d, t, row[1][a:b]) for d, t, a, b in zip(np.frombuffer(row[3], np.int64).tolist(), np.frombuffer(row[4], np.int64).tolist(), [0, *ends], ends)])
+                    yield from dealt_out(*np.frombuffer(row[1], np.int64).reshape(-1, 4).T)
                 else:
                     by_bucket.setdefault(bucket, []).append(row)
         for found in by_bucket.values():
-            low_of = [np.frombuffer(x[3], np.int64) for x in found]
-            stops = [np.concatenate([[0], np.cumsum(np.frombuffer(x[4], np.uint32), dtype=np.int64)]) for x in found]
-            places = [np.frombuffer(x[5], np.uint32).reshape(2, -1) for x in found]
-            tables = [np.frombuffer(x[6], np.int64).reshape(-1, 2) for x in found]
+            stops = [np.concatenate([[0], np.cumsum(np.frombuffer(x[3], np.uint32), dtype=np.int64)]) for x in found]
+            places = [np.frombuffer(x[4], np.uint32).reshape(2, -1) for x in found]
+            tables = [np.frombuffer(x[5], np.int64).reshape(-1, 2) for x in found]
+            low_of = [t[p[1][s[:-1]], 0] for t, p, s in zip(tables, places, stops)]  # an entry's places are all of its smallest document
             verdicts: list[list[tuple[int, int, int]]] = [[] for _ in found]
             group: list[tuple[int, int, bytes]] = []
             for r, i, row, known in loser_tree([Run(*x[:3]) for x in found]):
@@ -455,48 +538,38 @@ def repeated_spans(dealt: DataFrame, buckets: int) -> DataFrame:
             if len(group) > 1:
                 for q, j, spans in _settle(group, low_of):
                     verdicts[q] += [(j, a, b) for a, b in spans]
+            parts = []
             for q, own in enumerate(verdicts):
                 if own:
                     entry, a, b = np.array(own, np.int64).T
                     size = stops[q][entry + 1] - stops[q][entry]
                     which = np.repeat(stops[q][entry] - np.cumsum(size) + size, size) + np.arange(size.sum())
                     start, owner = places[q][0][which].astype(np.int64), places[q][1][which]
-                    yield rows(list(_packed(tables[q][owner, 0], tables[q][owner, 1], start + np.repeat(a, size), start + np.repeat(b, size))))
+                    parts.append((tables[q][owner, 0], tables[q][owner, 1], start + np.repeat(a, size), start + np.repeat(b, size)))
+            if parts:
+                yield from dealt_out(*(np.concatenate(x) for x in zip(*parts)))
 
     def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, out = None, [], []
-
-        def closed() -> tuple[int, int, bytes]:
-            own = np.frombuffer(b"".join(held), np.int64).reshape(-1, 2)
-            return *now, np.stack(_spans(own[:, 0], own[:, 1])).T.astype(np.int64).tobytes()
-
-        def rows(found: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found), (pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "text_hash", "spans"])
-
-        for batch in batches:
-            for doc, text, spans in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if (doc, text) != now:
-                    if held:
-                        out.append(closed())
-                    now, held = (doc, text), []
-                held.append(spans)
-            if len(out) > 5000:
-                yield rows(out)
-                out = []
-        if held:
-            out.append(closed())
-        if out:
-            yield rows(out)
+        held = [np.frombuffer(x, np.int64).reshape(-1, 4) for batch in batches for x in batch.column("spans").to_pylist()]
+        if not held:
+            return
+        found = united_spans(*np.concatenate(held).T)
+        held.clear()
+        edges = np.flatnonzero(np.concatenate([[True], (found[1:, :2] != found[:-1, :2]).any(axis=1), [True]])).tolist()
+        for i in range(0, len(edges) - 1, 5000):
+            part = edges[i : i + 5001]
+            spans = [found[a:b, 2:].tobytes() for a, b in zip(part, part[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(found[part[:-1], 0]), pa.array(found[part[:-1], 1]), pa.array(spans, pa.binary())], ["doc_id", "text_hash", "spans"])
 
     kind = "doc_id long, text_hash long, spans binary"
-    pieces = dealt.repartition(buckets, "bucket").mapInArrow(meet, kind)
-    return pieces.repartition(buckets, "doc_id").sortWithinPartitions("doc_id", "text_hash").mapInArrow(united, kind)
+    pieces = dealt.repartition(buckets, "bucket").mapInArrow(meet, "to int, spans binary")
+    return pieces.repartition(buckets, "to").mapInArrow(united, kind)
 
 
 def spans_of(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash (xxhash64 of the text), spans (binary: pairs of longs, byte offsets) of every document that has repeated passages."""
     docs = doc_id_text(docs).withColumn("text", F.coalesce("text", F.lit("")))
-    buckets = partitions(docs.sparkSession)
+    buckets = min(MOST_BUCKETS, partitions(docs.sparkSession))
     return written(repeated_spans(runs(docs, shared_anchors(docs, buckets), buckets), buckets), "spans")
 
 

@@ -62,18 +62,20 @@ def test_same_as_brute_force(spark, seed, monkeypatch):
 def test_loser_tree():
     rng = np.random.default_rng(3)
     runs, every = [], []
-    for _ in range(7):
-        rows = np.zeros((200, suffixes.ROW), np.uint8)
-        rows[:, -1] = rng.integers(1, 27, 200)
-        rows[:, -2] = rng.integers(0, 20, 200)
-        for i, n in enumerate(rows[:, -1]):
-            rows[i, 1 : L + n] = rng.integers(97, 99, L + n - 1)
-            rows[i, 1:30] = 97 + i % 3
+    data = np.tile(rng.integers(97, 99, 300).astype(np.uint8), 8)
+    data[rng.integers(0, len(data), 60)] = 0
+    position, _, first, last, _ = suffixes.anchors(data, np.array([0, 500, 1000, len(data)]))
+    every_row = suffixes.suffix_rows(data, position, first, last)
+    for i in range(7):
+        rows = every_row[rng.random(len(every_row)) < 0.4]
         rows = np.unique(rows[suffixes.sorted_run(rows)], axis=0)
-        shared = suffixes.shared_prefix(rows)
-        rest = b"".join(bytes(r[k : L + int(r[-1])]) for r, k in zip(rows, shared.tolist()))
-        runs.append(suffixes.Run(shared.astype(np.uint8).tobytes(), rest, rows[:, -2:].tobytes()))
+        assert suffixes.sorted_run(rows).tolist() == list(range(len(rows)))
+        coded = suffixes.front_coded(rows)
+        assert (suffixes.decoded(*coded) == rows).all()
+        runs.append(suffixes.Run(*coded))
         every += [bytes(x) for x in rows]
+    for row, a, b in zip(every_row, first, last):
+        assert suffixes.full_text(bytes(row)) == bytes(data[a : b + L])
     got = list(suffixes.loser_tree(runs))
     assert [x[2] for x in got] == sorted(every)
     for a, b in zip(got, got[1:]):
