@@ -64,12 +64,12 @@ def nested_mean(df: DataFrame, levels: list[list[str]], values: list[str]) -> Da
 def grouped_at(df: DataFrame, sets: list[list[str]], aggs: list[Column]) -> DataFrame:
     """The same aggregates at several fixed levels; keys outside a level are null, level names it."""
     keys = list(dict.fromkeys(k for s in sets for k in s))
-    out = None
+    missing = lambda s: sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in s)
+    level = F.lit(None).cast("string")
     for s in sets:
-        part = df.groupBy(*s).agg(*aggs)
-        part = part.select(*(F.col(k) if k in s else F.lit(None).cast(df.schema[k].dataType).alias(k) for k in keys), F.lit("+".join(s)).alias("level"), *(c for c in part.columns if c not in s))
-        out = part if out is None else out.unionByName(part)
-    return out
+        level = F.when(F.col("_gid") == missing(s), "+".join(s)).otherwise(level)
+    out = df.groupingSets([[F.col(k) for k in s] for s in sets], *keys).agg(F.grouping_id(*keys).alias("_gid"), *aggs)
+    return out.withColumn("level", level).drop("_gid")
 
 
 def transitions(pairs: DataFrame, start: str, end: str, values: list[str]) -> DataFrame:
