@@ -26,7 +26,7 @@ from .common import doc_id_text, slices
 #: Rank of a pair that is no token.
 NONE = np.int32(1 << 30)
 #: Entries of a worker's cache, which is emptied beyond that.
-CACHE = 500_000
+CACHE = 200_000
 #: Longest match in bytes that goes through the trees of many matches at once.
 SHORT = 64
 
@@ -38,16 +38,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Coder:
-    """Encodes and decodes by one table of ranks."""
+    """Encodes by one table of ranks."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
         self.find = regex.compile(pattern).findall
         self.ranks = ranks
-        self.tokens = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.tokens[rank] = token
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         pairs = {}
         for token, rank in ranks.items():
@@ -55,7 +52,7 @@ class Coder:
                 left, right = ranks.get(token[:i]), ranks.get(token[i:])
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = rank
-        self.pairs = pairs
+        self.pairs: dict[int, int] = {}  # filled when the first long match comes
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int32)
         self.cache: dict[str, bytes] = {}
@@ -69,6 +66,8 @@ class Coder:
 
     def merge_long(self, piece: bytes) -> list[int]:
         """Ids of one match, by its own segment tree."""
+        if not self.pairs:
+            self.pairs = dict(zip(self.pair_keys.tolist(), self.pair_ranks.tolist()))
         n, pairs = len(piece), self.pairs
         ids = self.single[np.frombuffer(piece, np.uint8)].tolist()
         size = 1 << (n - 1).bit_length() if n > 1 else 1
@@ -183,10 +182,21 @@ class Coder:
         get = self.cache.__getitem__
         return [b"".join(map(get, x)) for x in found]
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def token_table(ranks: dict[bytes, int]) -> list[bytes]:
+    out = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out
+
+
+def decoded(ids: bytes, tokens: list[bytes]) -> bytes:
+    """The bytes that ids stand for."""
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+_TOKENS: dict[str, list[bytes]] = {}
 _CODERS: dict[tuple[str, str], Coder] = {}
 
 
@@ -205,20 +215,22 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path, pattern)
-        for batch in slices(batches, most=3 << 20):
+        for batch in slices(batches, most=2 << 20):
             ids = own.encode([x or "" for x in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return doc_id_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The columns of encode() and decoded (binary: the bytes that the ids stand for)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(path, pattern)
-        for batch in slices(batches, "ids", most=6 << 20):
-            texts = [own.decode(x) for x in batch.column("ids").to_pylist()]
+        if path not in _TOKENS:
+            _TOKENS[path] = token_table(read_ranks(path))
+        own = _TOKENS[path]
+        for batch in slices(batches, "ids", most=4 << 20):
+            texts = [decoded(x, own) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
@@ -226,6 +238,6 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: every text encoded, and its ids decoded again."""
-    return decode(encode(docs, path, pattern), path, pattern).select(
+    return decode(encode(docs, path, pattern), path).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
