@@ -9,8 +9,9 @@ A document's rate r says how often it goes into the mix. With tokens t and poste
 ``sum(t * p[k] * r)`` tokens in expectation; the rates minimise ``sum(((got[k] - wanted[k]) ** 2) / had[k])`` over r >= 0,
 ``had`` being the totals at rate 1, by projected gradient: ``r = max(0, r - sum(p[k] * (got[k] - wanted[k]) / had[k]))``.
 In the metric of the tokens the largest curvature is exactly 1 (``had`` is the row sum of ``sum(t * p * p')``), so that
-step never overshoots, and momentum (Nesterov) hastens it. A round is one aggregation to as many numbers as there are domains; a document's rate is a function of its
-posteriors and of those numbers, so no state of documents is kept between rounds.
+step never overshoots, and momentum (Nesterov) hastens it. A rate is a function of a document's traits alone, so
+documents of equal traits are one cell: their tokens are summed in one distributed aggregation, the gradient runs over the
+cells, whose number the traits' bins bound, and every document looks its cell's rate up. No state of documents is kept between rounds.
 
 Defined results: a null text is empty and has no tokens; domains that no label names have no posterior and stay unfilled; null ids and
 repeated rows are mixed like others (null ids share one rounding); labels that are null are left out; columns besides doc_id and text
@@ -24,15 +25,17 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded_sample, written
 
 #: Labelled texts from which lexicons are learnt, at most; words in a lexicon; documents that a word must stand in.
 LEXICON_SAMPLE, LEXICON, SUPPORT = 3000, 48, 5
-ROUNDS, CLOSE_ENOUGH = 40, 2e-4
+ROUNDS, CLOSE_ENOUGH = 400, 1e-5
 #: Domains, and their shares of all tokens in the mix.
 DOMAINS = ["clean", "junk", "toxic"]
 TARGETS = {"clean": 0.89, "junk": 0.04, "toxic": 0.07}
 MARKS = r"[!*%$#&|{}<>=~^]"
+#: Edges of the traits' bins, and how many bins a trait has at most.
+BINS = 6
 MARK_BINS, HIT_BINS, LENGTH_BINS = [0.0, 0.002, 0.01, 0.03, 0.08], [0, 1, 2, 4], [20, 100, 400, 1500]
 
 
@@ -55,7 +58,7 @@ def _bin(value: Column, edges: list) -> Column:
 def lexicons(docs: DataFrame, labels: DataFrame) -> dict[str, list[str]]:
     """Of each domain, the words that tell it best: LEXICON at most."""
     named = labels.select(F.col("doc_id").alias("_mix_id"), domain_of_label().alias("_mix_domain")).where("_mix_id IS NOT NULL AND _mix_domain IS NOT NULL")
-    sample = F.broadcast(named.orderBy(F.xxhash64("_mix_id"), "_mix_id", "_mix_domain").limit(LEXICON_SAMPLE))  # LEXICON_SAMPLE rows at most
+    sample = F.broadcast(bounded_sample(named, LEXICON_SAMPLE, "_mix_id", "_mix_domain"))  # LEXICON_SAMPLE rows at most
     rows = docs.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("_mix_id"))
     words = rows.select("_mix_domain", F.explode(F.array_distinct(_words(F.coalesce("text", F.lit(""))))).alias("word"))
     counts = words.groupBy("word").agg(*(F.count_if(F.col("_mix_domain") == x).alias(x) for x in DOMAINS)).where(" + ".join(DOMAINS) + f" >= {SUPPORT}")
@@ -111,36 +114,22 @@ def posteriors(prior: list[float], tables: list[list[list[float]]]) -> list[Colu
     return [F.round(x / sum(raw[1:], raw[0]), 9) for x in raw]
 
 
-def rates_of(history: list[list[float]]) -> tuple[Column, Column]:
-    """A document's rate after the rounds whose steps are given, and the rate from which the next round starts."""
-    if not history:
-        return F.lit(1.0), F.lit(1.0)
-
-    def one(state: Column, step: Column) -> Column:
-        down = sum((F.col(f"_mix_p{k}") * step[k] for k in range(len(DOMAINS))), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), state["next"] - down)
-        return F.struct(rate.alias("rate"), (rate + step[len(DOMAINS)] * (rate - state["rate"])).alias("next"))
-
-    steps = F.array(*(F.array(*map(F.lit, x)) for x in history))
-    end = F.aggregate(steps, F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("next")), one)
-    return end["rate"], end["next"]
-
-
-def fit_rates(rows: DataFrame, targets: dict[str, float]) -> list[list[float]]:
-    """Of each round the scaled residuals and the momentum, for rates_of(). rows: _mix_tokens and posteriors _mix_p0, ..."""
-
-    def totals(rate: Column) -> list[float]:
-        return [x or 0.0 for x in rows.agg(*(F.sum(F.col("_mix_tokens") * F.col(f"_mix_p{k}") * rate) for k in range(len(DOMAINS)))).first()]
-
-    had = totals(F.lit(1.0))
+def fit_rates(cells: list[tuple[float, list[float]]], targets: dict[str, float]) -> list[float]:
+    """A rate for each cell of documents with equal traits, by accelerated projected gradient. cells: tokens and posteriors."""
+    k = range(len(DOMAINS))
+    had = [sum(t * p[i] for t, p in cells) for i in k]
     whole = sum(had)
     wanted = [whole * targets.get(x, 0.0) / (sum(targets.values()) or 1) for x in DOMAINS]
-    history: list[list[float]] = []
-    got = had
-    while whole and len(history) < ROUNDS and max(abs(a - b) for a, b, h in zip(got, wanted, had) if h or not b) > CLOSE_ENOUGH * whole:
-        history.append([*((a - b) / h if h else 0.0 for a, b, h in zip(got, wanted, had)), len(history) / (len(history) + 3)])
-        got = totals(rates_of(history)[1])
-    return history
+    rates, ahead = [1.0] * len(cells), [1.0] * len(cells)
+    for n in range(ROUNDS):
+        got = [sum(t * p[i] * r for (t, p), r in zip(cells, ahead)) for i in k]
+        if not whole or max(abs(got[i] - wanted[i]) for i in k if had[i] or not wanted[i]) <= CLOSE_ENOUGH * whole:
+            break
+        step = [(got[i] - wanted[i]) / had[i] if had[i] else 0.0 for i in k]
+        new = [max(0.0, r - sum(p[i] * step[i] for i in k)) for (_, p), r in zip(cells, ahead)]
+        ahead = [r + n / (n + 3) * (r - old) for r, old in zip(new, rates)]
+        rates = new
+    return [max(0.0, r) for r in rates]
 
 
 class Mix:
@@ -153,14 +142,19 @@ class Mix:
         small = written(traits(docs, self.lexicon).drop("text"), "traits")
         self.tables = posterior_tables(small, labels, self.n)
         self.small = small.withColumns({f"_mix_p{k}": p for k, p in enumerate(posteriors(*self.tables))})
-        groups = self.small.groupBy("_mix_tokens", *(f"_mix_b{i}" for i in range(self.n))).count()  # equal traits: equal rates
-        groups = written(groups.select((F.col("_mix_tokens") * F.col("count")).alias("_mix_tokens"), *(f"_mix_b{i}" for i in range(self.n))), "groups")
-        self.history = fit_rates(groups.withColumns({f"_mix_p{k}": p for k, p in enumerate(posteriors(*self.tables))}), targets)
+        # what is collected has a row for each cell of the traits' bins: BINS ** n at most
+        found = self.small.groupBy(*(f"_mix_b{i}" for i in range(self.n))).agg(F.sum("_mix_tokens").alias("tokens"), *(F.first(f"_mix_p{k}").alias(f"p{k}") for k in range(len(DOMAINS)))).collect()
+        found = sorted(found, key=lambda r: r[: self.n])
+        rates = fit_rates([(float(r.tokens), [r[f"p{k}"] for k in range(len(DOMAINS))]) for r in found], targets)
+        self.rates = [1.0] * BINS**self.n
+        for r, rate in zip(found, rates):
+            self.rates[sum(r[i] * BINS**i for i in range(self.n))] = round(rate, 6)
 
     def on(self, rows: DataFrame) -> DataFrame:
         """rows, with _mix_ traits and posteriors, and their _mix_rate and _mix_copies."""
         frac = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("mix")), F.lit(1_000_000)) / 1_000_000
-        rows = rows.withColumn("_mix_rate", F.round(rates_of(self.history)[0], 6))
+        cell = sum((F.col(f"_mix_b{i}") * BINS**i for i in range(self.n)), F.lit(1))
+        rows = rows.withColumn("_mix_rate", F.element_at(F.lit(self.rates), cell))
         return rows.withColumn("_mix_copies", (F.floor("_mix_rate") + (frac < F.col("_mix_rate") - F.floor("_mix_rate")).cast("int")).cast("int"))
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ann import usable
-from .common import partitions, written
+from .common import bounded_sample, partitions, written
 from .components import components, stars
 
 #: Classes that centroids are fitted on, at most; classes in a shard, about; centroids, at most.
@@ -57,7 +57,7 @@ def packed(vectors: DataFrame) -> DataFrame:
 
 def centroids(classes: DataFrame, n: int) -> dict[int, np.ndarray]:
     """Unit centroids for each length of vectors, by spherical k-means over a bounded sample."""
-    sample = [bytes(r.vec) for r in classes.orderBy(F.xxhash64("vec"), "cid").limit(SAMPLE).select("vec").collect()]
+    sample = [bytes(r.vec) for r in bounded_sample(classes, SAMPLE, "vec", "cid").select("vec").collect()]
     out = {}
     for size in sorted({len(x) for x in sample}):
         x = unit([y for y in sample if len(y) == size])
@@ -277,7 +277,7 @@ def links(members: DataFrame, near: DataFrame, threshold: float) -> DataFrame:
 
 def recall(classes: DataFrame, found: DataFrame, threshold: float) -> float:
     """Share of the links between classes of a bounded set and all classes that were found."""
-    asked = classes.orderBy(F.xxhash64("cid"), "cid").limit(AUDITED).select("cid", "vec").collect()
+    asked = bounded_sample(classes, AUDITED, "cid").select("cid", "vec").collect()
     by_size: dict[int, list] = {}
     for r in asked:
         by_size.setdefault(len(r.vec), []).append((r.cid, bytes(r.vec)))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_id_text, joined_bytes, mixed, slices
+from .common import bounded_sample, doc_id_text, joined_bytes, mixed, slices
 
 BITS = 18
 SCALE = 32.0
@@ -123,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> tup
     named = named.where("doc_id IS NOT NULL AND label IN (0, 1)")
     if usable is not None:
         named = named.where(usable)
-    sample = F.broadcast(named.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(SAMPLE))  # SAMPLE rows at most
+    sample = F.broadcast(bounded_sample(named, SAMPLE, "doc_id", "label"))  # SAMPLE rows at most
     rows = doc_id_text(docs).join(sample, "doc_id").select("doc_id", "text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
