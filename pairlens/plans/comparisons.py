@@ -54,7 +54,7 @@ def spearman_by_family(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_S}, r AS (SELECT family, {_ranked('x', 'family')} AS a, {_ranked('y', 'family')} AS b FROM s), c AS (SELECT a - avg(a) OVER (PARTITION BY family) AS a, b - avg(b) OVER (PARTITION BY family) AS b FROM r)
-SELECT count(*) AS n, round(sum(a * b) / sqrt(sum(a * a) * sum(b * b)), 7) AS rho FROM c""")
+SELECT count(*) AS n, round(CASE WHEN sum(a * a) > 1e-12 AND sum(b * b) > 1e-12 THEN sum(a * b) / sqrt(sum(a * a) * sum(b * b)) END, 7) AS rho FROM c""")
 def spearman_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T8."""
     return st.spearman_within(_suppliers(spark, sf_dir), [], "family", "x", "y", 7)
