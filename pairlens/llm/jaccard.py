@@ -7,8 +7,9 @@ of ``k`` words. Two sets link when ``den * intersection >= num * union``.
 2. Candidates by partition: sets that link differ in at most ``min(a, b) * (den - num) // num`` elements. So if a set is dealt into more
    parts than that by its elements' hashes, some part is the same in both. Set sizes fall into bands; in a band all sets have as many
    parts, and a set also joins the band below if a smaller partner may be there. Classes that share a part are joined to the smallest of
-   them, in map tasks first, so a part that a third of all texts share is one row from each task. Nothing is lost: parts that are empty are
-   left out only if enough others are sure to remain, and else are split again.
+   them, in map tasks first, so a part that a third of all texts share is one row from each task. Elements that many sets have are left out
+   where enough others remain, so shared passages alone make no candidates. Nothing is lost: parts that are empty are left out only if
+   enough others are sure to remain, and else are split again.
 3. Candidate groups (components of those edges within a band) are joined exactly. A group's index lists are sorted by set size, and
    of each list only the block of positions that can link is read. A set's overlaps with all others are derived from those of a highly
    similar set computed before: only the lists of the elements in which they differ are added or taken away. Larger groups
@@ -33,13 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_id_text, joined_bytes, mixed, partitions, slices, written
+from .common import doc_id_text, joined_bytes, mixed, partitions, released, slices, written
 from .components import components, stars
 
 #: Sizes of a band go up to this times its least.
 SPREAD = 1.5
+#: Elements of more sets than this are hot, or of so many more that at most HOT_MOST are; map tasks report what they see this often.
+HOT_SETS, HOT_MOST, SEEN = 48, 400_000, 3
 #: A tile has two slots of about so many sets and so many elements at most.
-SLOT_SETS, SLOT_ELEMENTS = 1500, 2_000_000
+SLOT_SETS, SLOT_ELEMENTS = 1500, 400_000
 #: A table of up to so many rows of a few numbers each is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -113,7 +116,8 @@ class Bands:
     def parts(self, band: int) -> tuple[int, int]:
         """How many parts sets of a band have, and how many of them may be empty; no parts if only equal sets link.
 
-        So many may be empty that hardly any set has more: the expected number for the smallest sets, and four deviations.
+        So many may be empty that hardly any set has more: the expected number for the smallest sets, and four
+        deviations.
         """
         if band not in self.known:
             differ = (self.least[band + 1] - 1) * (self.den - self.num) // self.num
@@ -123,15 +127,30 @@ class Bands:
             self.known[band] = (differ + 1 + spare, spare) if differ else (0, 0)
         return self.known[band]
 
-    def signatures(self, elements: np.ndarray, band: int) -> np.ndarray:
-        """Keys of a set's parts in a band; sets that link there have one in common."""
+    def signatures(self, elements: np.ndarray, band: int, hot: np.ndarray | None = None) -> np.ndarray:
+        """Keys of a set's parts in a band; sets that link there have one in common. hot: sorted elements of many sets.
+
+        Without their hot elements sets differ in no more elements than with them. So these parts hold cold elements only;
+        they suffice unless both sets have too many empty ones, and sets that have also deal all their elements.
+        """
         m, spare = self.parts(band)
         if not m:
             return np.zeros(0, np.uint64)
+        if hot is None or not len(hot):
+            return self._dealt(elements, band, m, spare, 0)
+        cold = elements[hot[np.minimum(np.searchsorted(hot, elements), len(hot) - 1)] != elements]
+        part = ((cold >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+        filled = 1 + int((part[1:] != part[:-1]).sum()) if len(part) else 0
+        out = self._dealt(cold, band, m, m, 0)
+        return np.concatenate([out, self._dealt(elements, band, m, spare, 1)]) if m - filled > spare else out
+
+    def _dealt(self, elements: np.ndarray, band: int, m: int, spare: int, family: int) -> np.ndarray:
+        if not len(elements):
+            return np.zeros(0, np.uint64)
         part = ((elements >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # ascending, as the elements are
         some, first = np.unique(part, return_index=True)
         total = np.add.reduceat(mixed(elements + _STEP), first)
-        tag = np.uint64((band + 1) * int(_BASE) % 2**64)
+        tag = np.uint64((2 * band + family + 1) * int(_BASE) % 2**64)
         out = [mixed(mixed(total + tag) + some * _STEP)]
         if m - len(some) > spare:
             # too many are empty to leave them all out: under each, the rest is dealt again
@@ -149,14 +168,45 @@ def digest_of(elements: np.ndarray) -> bytes:
 
 
 def profiles(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set of every text."""
+    """doc_id, n_shingles, digest of the set of every text; and rows of element, seen for elements that several sets of a batch have."""
+    names, kinds = ["doc_id", "n_shingles", "digest", "element", "seen"], [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=2 << 20):
-            found = [(len(own), digest_of(own)) for own in sets(batch.column("text"), k)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for n, _ in found], pa.int64()), pa.array([d for _, d in found], pa.binary())], ["doc_id", "n_shingles", "digest"])
+        held: dict[bytes, np.ndarray] = {}
+        size = 0
+
+        def frequent() -> pa.RecordBatch:
+            element, seen = np.unique(np.concatenate(list(held.values())), return_counts=True)
+            element, seen = element[seen >= SEEN], seen[seen >= SEEN]
+            nothing = [pa.nulls(len(seen), kind) for kind in kinds[:3]]
+            return pa.RecordBatch.from_arrays([*nothing, pa.array(element.view(np.int64)), pa.array(seen.astype(np.int64))], names)
+
+        for batch in slices(batches, most=1 << 19):
+            n, digests = [], []
+            for own in sets(batch.column("text"), k):
+                n.append(len(own))
+                digests.append(digest_of(own))
+                if len(own) and digests[-1] not in held:
+                    held[digests[-1]] = own
+                    size += len(own)
+            nothing = [pa.nulls(len(n), pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), *nothing], names)
+            if size > 1_500_000:
+                yield frequent()
+                held, size = {}, 0
+        if size:
+            yield frequent()
+
+    return docs.mapInArrow(released(run), "doc_id long, n_shingles long, digest binary, element long, seen long")
+
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary")
+def hot_elements(found: DataFrame) -> np.ndarray:
+    """Sorted elements of many sets, HOT_MOST at most. They only steer candidates: which ones they are decides no link."""
+    counts = written(found.groupBy("element").agg(F.sum("seen").alias("sets")).where(F.col("sets") > HOT_SETS), "hot")
+    least = HOT_SETS
+    while counts.where(F.col("sets") > least).count() > HOT_MOST:
+        least *= 2
+    return np.sort(np.array([r[0] for r in counts.where(F.col("sets") > least).select("element").collect()], np.int64).view(np.uint64))
 
 
 def short_id(digest: bytes) -> int:
@@ -176,10 +226,11 @@ def _first_of_key(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.n
     return keys[first], nodes[first], edges[:, 0], edges[:, 1]
 
 
-def candidate_edges(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
+def candidate_edges(docs: DataFrame, k: int, bands: Bands, hot: np.ndarray) -> DataFrame:
     """Edges between nodes (short_id * 64 + band) of sets that share a part."""
     n = partitions(docs.sparkSession)
     names = ["bucket", "keys", "places", "nodes"]
+    shared = docs.sparkSession.sparkContext.broadcast(hot)  # HOT_MOST numbers at most
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -200,7 +251,7 @@ def candidate_edges(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
             cols = list(zip(*rows))
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(x, pa.binary()) for x in cols[1:])], names)
 
-        for batch in slices(batches, most=2 << 20):
+        for batch in slices(batches, most=1 << 19):
             seen = set()
             for own in sets(batch.column("text"), k):
                 if not len(own) or (digest := digest_of(own)) in seen:
@@ -209,11 +260,11 @@ def candidate_edges(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
                 band = int(bands.of(np.array([len(own)]))[0])
                 below = band and -(-bands.num * len(own) // bands.den) < bands.least[band]
                 for level in (band, band - 1)[: 2 if below else 1]:
-                    keys = bands.signatures(own, level)
+                    keys = bands.signatures(own, level, shared.value)
                     if len(keys):
                         held.append((keys, short_id(digest) * 64 + level))
                         size += len(keys)
-            if size > 2_000_000:
+            if size > 800_000:
                 yield out()
                 held, size = [], 0
         if size:
@@ -234,8 +285,8 @@ def candidate_edges(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
         for i in range(0, len(a), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 100_000]), pa.array(b[i : i + 100_000])], ["a", "b"])
 
-    dealt = docs.select("text").mapInArrow(deal, "bucket int, keys binary, places binary, nodes binary")
-    return dealt.repartition(n, "bucket").mapInArrow(meet, "a long, b long")
+    dealt = docs.select("text").mapInArrow(released(deal), "bucket int, keys binary, places binary, nodes binary")
+    return dealt.repartition(n, "bucket").mapInArrow(released(meet), "a long, b long")
 
 
 def join_group(found: list[np.ndarray], slots: list[int] | None, num: int, den: int, below: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -339,10 +390,12 @@ def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataF
     """doc_id, n_shingles, component_id, n_links of every text. Texts link when den * intersection >= num * union."""
     bands = Bands(num, den)
     docs = doc_id_text(docs)
-    rows = written(profiles(docs, k), "profiles")
+    found = written(profiles(docs, k), "profiles")
+    hot = hot_elements(found.where("element IS NOT NULL"))
+    rows = found.where("element IS NULL").drop("element", "seen")
     classes = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("texts"), F.first("n_shingles").alias("n"))
     classes = written(classes.select(F.monotonically_increasing_id().alias("cid"), "digest", "least_id", "texts", "n"), "classes")
-    groups = components(candidate_edges(docs, k, bands))
+    groups = components(candidate_edges(docs, k, bands, hot))
     short = F.shiftrightunsigned(F.conv(F.substr(F.hex("digest"), F.lit(1), F.lit(16)), 16, -10).cast("long"), 7)
     nodes = groups.select(F.shiftright("node", 6).alias("short"), F.pmod("node", F.lit(64)).cast("int").alias("band"), "root")
     members = nodes.join(classes.withColumn("short", short), "short").drop("short")
@@ -360,13 +413,13 @@ def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataF
     texts = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.least_id)).select("cid", "digest", "text")
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=2 << 20):
+        for batch in slices(batches, most=1 << 19):
             keep = [(c, x) for c, d, own in zip(batch.column("cid").to_pylist(), batch.column("digest").to_pylist(), sets(batch.column("text"), k)) if digest_of(own) == d for x in (own.tobytes(),)]
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in keep], pa.int64()), pa.array([x for _, x in keep], pa.binary())], ["cid", "elements"])
 
     n = partitions(docs.sparkSession)
-    full = texts.mapInArrow(elements, "cid long, elements binary").join(placed, "cid").repartition(n, "band", "root", "i", "j").sortWithinPartitions("band", "root", "i", "j")
-    found = written(full.select("band", "root", "i", "j", "slot", "cid", "texts", "elements").mapInArrow(_group_links(num, den, bands.least), "cid long, root long, links long"), "links")
+    full = texts.mapInArrow(released(elements), "cid long, elements binary").join(placed, "cid").repartition(n, "band", "root", "i", "j").sortWithinPartitions("band", "root", "i", "j")
+    found = written(full.select("band", "root", "i", "j", "slot", "cid", "texts", "elements").mapInArrow(released(_group_links(num, den, bands.least)), "cid long, root long, links long"), "links")
 
     named = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     totals = found.groupBy("cid").agg(F.sum("links").alias("links"))
