@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_id_text, slices
+from .common import doc_id_text, released, slices
 
 #: Rank of a pair that is no token.
 NONE = np.int32(1 << 30)
@@ -219,7 +219,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             ids = own.encode([x or "" for x in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
-    return doc_id_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return doc_id_text(docs).mapInArrow(released(run), "doc_id long, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -233,7 +233,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             texts = [decoded(x, own) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
 
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
+    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(released(run), "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_id_text, joined_bytes, slices
+from .common import doc_id_text, joined_bytes, released, slices
 
 # The kinds in their order, and the base rules.
 KINDS = ["email", "ip", "card", "phone"]
@@ -199,7 +199,7 @@ def vote_counts(docs: DataFrame) -> DataFrame:
         kinds = [pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(cols, kinds)], ["kind", "votes", "shape", "base", "n"])
 
-    found = doc_id_text(docs).mapInArrow(run, "kind string, votes string, shape int, base boolean, n long")
+    found = doc_id_text(docs).mapInArrow(released(run), "kind string, votes string, shape int, base boolean, n long")
     return found.groupBy("kind", "votes", "shape", "base").agg(F.sum("n").alias("n"))
 
 
@@ -282,7 +282,7 @@ def find(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
                 listed[i] = _listed(spans)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(n[:, j]) for j in range(4)), pa.array(digest), pa.array(listed)], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
-    return doc_id_text(docs).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return doc_id_text(docs).mapInArrow(released(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -309,4 +309,4 @@ def mask_texts(weights: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iter
             at = batch.schema.get_field_index("text")
             yield pa.RecordBatch.from_arrays([column if i == at else x for i, x in enumerate(batch.columns)], schema=batch.schema)
 
-    return run
+    return released(run)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, doc_id_text, joined_bytes, mixed, slices
+from .common import bounded_sample, doc_id_text, joined_bytes, mixed, released, slices
 
 BITS = 18
 SCALE = 32.0
@@ -137,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> tup
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(w[at], bias))], ["place", "weight"])
 
-    learnt = rows.coalesce(1).mapInArrow(run, "place long, weight double").collect()
+    learnt = rows.coalesce(1).mapInArrow(released(run), "place long, weight double").collect()
     w, bias = np.zeros(1 << BITS, np.float32), 0.0
     for place, weight in learnt:
         if place < 0:
@@ -169,7 +169,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(own(batch.column("text")))], ["doc_id", "score"])
 
-    return doc_id_text(docs).mapInArrow(run, "doc_id long, score double")
+    return doc_id_text(docs).mapInArrow(released(run), "doc_id long, score double")
 
 
 def keep_good(model: tuple[np.ndarray, float], least: float = 0.5) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -180,7 +180,7 @@ def keep_good(model: tuple[np.ndarray, float], least: float = 0.5) -> Callable[[
         for batch in slices(batches):
             yield batch.filter(pa.array(own(batch.column("text")) >= least))
 
-    return run
+    return released(run)
 
 
 def learnable() -> Column:

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_id_text, joined_bytes, mixed, partitions, slices, written
+from .common import doc_id_text, joined_bytes, mixed, partitions, released, slices, written
 
 LENGTH, KMER = 50, 24
 #: Positions of an anchor in a window.
@@ -209,8 +209,8 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
             if back.any():
                 yield from rows(docs[back], prints[back].astype(np.uint64) | np.uint64(bucket << 32))
 
-    dealt = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(deal, "bucket int, prints binary, tags binary, table binary")
-    return dealt.repartition(buckets, "bucket").mapInArrow(meet, "to int, docs binary, sizes binary, keys binary")
+    dealt = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(released(deal), "bucket int, prints binary, tags binary, table binary")
+    return dealt.repartition(buckets, "bucket").mapInArrow(released(meet), "to int, docs binary, sizes binary, keys binary")
 
 
 def suffix_rows(data: np.ndarray, position: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -465,7 +465,7 @@ def runs(docs: DataFrame, keys: DataFrame, buckets: int) -> DataFrame:
     text = docs.where("doc_id IS NOT NULL").select(bucket_of(F.col("doc_id"), buckets).alias("to"), "doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("payload"), nothing.alias("docs"), nothing.alias("sizes"), nothing.alias("keys"))
     long = F.lit(None).cast("long")
     both = keys.select("to", long.alias("doc_id"), long.alias("text_hash"), nothing.alias("payload"), "docs", "sizes", "keys").unionAll(text)
-    return both.repartition(buckets, "to").sortWithinPartitions("to", F.col("text_hash").isNotNull()).mapInArrow(run, RUNS)
+    return both.repartition(buckets, "to").sortWithinPartitions("to", F.col("text_hash").isNotNull()).mapInArrow(released(run), RUNS)
 
 
 def _settle(group: list[tuple[int, int, bytes]], low_of: list[np.ndarray]) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
@@ -562,8 +562,8 @@ def repeated_spans(dealt: DataFrame, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(found[part[:-1], 0]), pa.array(found[part[:-1], 1]), pa.array(spans, pa.binary())], ["doc_id", "text_hash", "spans"])
 
     kind = "doc_id long, text_hash long, spans binary"
-    pieces = dealt.repartition(buckets, "bucket").mapInArrow(meet, "to int, spans binary")
-    return pieces.repartition(buckets, "to").mapInArrow(united, kind)
+    pieces = dealt.repartition(buckets, "bucket").mapInArrow(released(meet), "to int, spans binary")
+    return pieces.repartition(buckets, "to").mapInArrow(released(united), kind)
 
 
 def spans_of(docs: DataFrame) -> DataFrame:
@@ -595,7 +595,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             arrays = [batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(released(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digests(docs: DataFrame) -> DataFrame:
