@@ -295,7 +295,7 @@ def recall(classes: DataFrame, found: DataFrame, threshold: float) -> float:
 
     truth = classes.select("cid", "texts", "vec").mapInArrow(run, "cid long, true_links long").groupBy("cid").agg(F.sum("true_links").alias("true_links"))
     own = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    got, real = truth.join(own, "cid", "left").agg(F.sum(F.least("links", "true_links")), F.sum("true_links")).first()
+    got, real = truth.join(own, "cid", "left").agg(F.sum(F.least(F.coalesce("links", F.lit(0)), "true_links")), F.sum("true_links")).first()
     return (got or 0) / real if real else 1.0
 
 

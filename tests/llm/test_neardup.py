@@ -52,6 +52,16 @@ def test_links_and_components(spark, monkeypatch):
     assert neardup.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_a_class_without_found_links_is_a_miss(spark):
+    """Three classes that all link: no link found, those of one class, all of them."""
+    vecs = [np.array([1.0, 0.01 * i]).tobytes() for i in range(3)]
+    classes = spark.createDataFrame([(i, v, 1) for i, v in enumerate(vecs)], "cid long, vec binary, texts long")
+    found = lambda rows: spark.createDataFrame(rows, "cid long, root long, links long")
+    assert neardup.recall(classes, found([]), 0.9) == 0
+    assert abs(neardup.recall(classes, found([(0, 0, 2)]), 0.9) - 1 / 3) < 1e-9
+    assert neardup.recall(classes, found([(i, 0, 2) for i in range(3)]), 0.9) == 1
+
+
 def test_pruning_keeps_the_nearest():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 8))
