@@ -1,10 +1,13 @@
 """Grouped cross-validation and small models.
 
-A fold's data is bounded (hundreds of tasks), so kernels are NumPy inside applyInPandas; folds and grid points are what is distributed.
+nested_ridge() is for folds of hundreds of tasks: its kernels are NumPy inside applyInPandas, folds are what is distributed. For more rows,
+nested_ridge_by_moments() and logistic_probe() sum moments over all rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -68,6 +71,85 @@ def nested_ridge(df: DataFrame, key: str, family: str, fold: str, vector: str, t
     return rows.groupBy("outer").applyInPandas(run, "key string, outer int, alpha double, predicted double, truth double")
 
 
+def summed(df: DataFrame, sums, size: int) -> np.ndarray:
+    """Totals over all rows of the ``size`` numbers that sums(rows) gives for a pandas batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = sum((sums(b) for b in batches if len(b)), np.zeros(size))
+        yield pd.DataFrame({"at": np.flatnonzero(total), "value": total[total != 0]})
+
+    out = np.zeros(size)
+    for r in df.mapInPandas(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():  # moments: bounded
+        out[r["at"]] = r["value"]
+    return out
+
+
+def _folded_rows(df: DataFrame, key: str, fold: str, vector: str, y: Column) -> tuple[DataFrame, list[int], int]:
+    """The rows as key, fold, x, y; their folds and the length of the vectors."""
+    rows = df.select(F.col(key).cast("string").alias("key"), F.col(fold).cast("int").alias("fold"), F.col(vector).cast("array<double>").alias("x"), y.alias("y"))
+    facts = rows.groupBy("fold").agg(F.max(F.size("x")).alias("d")).collect()  # folds: few
+    return rows, sorted(r["fold"] for r in facts), max((r["d"] for r in facts), default=0)
+
+
+def nested_ridge_by_moments(df: DataFrame, key: str, family: str, fold: str, vector: str, truth: str, alphas: list[float]) -> DataFrame:
+    """M8 for many rows with vectors of moderate length: nested_ridge()'s result from each fold's moments, since the kernel is linear.
+
+    One pass sums the moments, one the inner runs' absolute errors, one predicts; no fold's rows come together.
+    """
+    rows, names, d = _folded_rows(df, key, fold, vector, F.col(truth).cast("double"))
+    width = d + 2  # x, 1, y
+
+    def moments(b: pd.DataFrame) -> np.ndarray:
+        z, f = np.c_[np.stack(b["x"].to_numpy()), np.ones(len(b)), b["y"].to_numpy()], b["fold"].to_numpy()
+        return np.concatenate([(z[f == n].T @ z[f == n]).ravel() for n in names])
+
+    by_fold = dict(zip(names, summed(rows, moments, len(names) * width * width).reshape(len(names), width, width)))
+
+    def fitted(out: set[int], alpha: float) -> np.ndarray | None:
+        """Weights and a constant from all folds but those in out; None without rows."""
+        m = sum((by_fold[n] for n in names if n not in out), np.zeros((width, width)))
+        n = m[d, d]
+        if not n:
+            return None
+        mean, middle = m[:d, d] / n, m[d, d + 1] / n
+        spread = m[:d, :d] - n * np.outer(mean, mean)
+        scale = np.trace(spread) / n
+        if scale < 1e-12:
+            return np.append(np.zeros(d), middle)
+        w = np.linalg.solve(spread / scale + alpha * np.eye(d), (m[:d, d + 1] - n * mean * middle) / scale)
+        return np.append(w, middle - mean @ w)
+
+    grid = [(o, i, a) for o in names for i in names if i != o for a in alphas]
+    models = [fitted({o, i}, a) for o, i, a in grid]
+
+    def gaps(b: pd.DataFrame) -> np.ndarray:
+        x, y, f = np.c_[np.stack(b["x"].to_numpy()), np.ones(len(b))], b["y"].to_numpy(), b["fold"].to_numpy()
+        return np.array([0.0 if w is None else np.abs(np.clip(x[f == i] @ w, 0, 1) - y[f == i]).sum() for (_, i, _), w in zip(grid, models)])
+
+    missed = summed(rows, gaps, len(grid)) if grid else []
+    chosen: dict[int, tuple[float, np.ndarray | None]] = {}
+    for o in names:
+        scores = []
+        for alpha in alphas:
+            at = [g for g, (p, _, a) in enumerate(grid) if p == o and a == alpha and models[g] is not None]
+            n = sum(by_fold[grid[g][1]][d, d] for g in at)
+            scores.append((sum(missed[g] for g in at) / n if n else 0.0, -alpha))
+        alpha = -min(scores)[1]
+        chosen[o] = (alpha, fitted({o}, alpha))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x, f = np.c_[np.stack(b["x"].to_numpy()), np.ones(len(b))], b["fold"].to_numpy()
+                alpha, predicted = np.full(len(b), np.nan), np.full(len(b), np.nan)
+                for o, (a, w) in chosen.items():
+                    if w is not None:
+                        alpha[f == o], predicted[f == o] = a, np.clip(x[f == o] @ w, 0, 1)
+                yield pd.DataFrame({"key": b["key"], "outer": f, "alpha": alpha, "predicted": predicted, "truth": b["y"]})
+
+    return rows.mapInPandas(run, "key string, outer int, alpha double, predicted double, truth double")
+
+
 def label_index(df: DataFrame, label: str) -> Column:
     """Place of a label among the sorted labels."""
     names = sorted(r[0] for r in df.select(label).where(F.col(label).isNotNull()).distinct().collect())  # classes: few
@@ -82,35 +164,71 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def logistic_probe(df: DataFrame, key: str, fold: str, vector: str, label: str, ridge: float = 1.0, rounds: int = 100) -> DataFrame:
-    """Out-of-fold probabilities of a balanced logistic regression on standardised vectors (label: boolean)."""
-    outer = df.select(F.col(fold).cast("int").alias("outer")).distinct()
-    rows = df.select(F.col(key).cast("string").alias("key"), F.col(fold).cast("int").alias("fold"), F.col(vector).alias("x"), F.col(label).cast("int").alias("y")).crossJoin(F.broadcast(outer))  # k rows
-
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("key")
-        x, y = np.stack(own["x"].to_numpy()).astype(float), own["y"].to_numpy().astype(float)
-        test = (own["fold"] == own["outer"]).to_numpy()
-        a, b = x[~test], y[~test]
-        if len(np.unique(b)) < 2:
-            p = np.full(test.sum(), b.mean() if len(b) else np.nan)
-        else:
-            mean, std = a.mean(axis=0), a.std(axis=0)
-            std[std == 0] = 1
-            a, t = np.c_[(a - mean) / std, np.ones(len(a))], np.c_[(x[test] - mean) / std, np.ones(test.sum())]
-            weight = np.where(b == 1, 0.5 / b.mean(), 0.5 / (1 - b.mean()))
-            hold = np.full(a.shape[1], ridge)
-            hold[-1] = 1e-9
-            w = np.zeros(a.shape[1])
-            for _ in range(rounds):
-                q = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-                step = np.linalg.solve((a * (weight * q * (1 - q))[:, None]).T @ a + np.diag(hold), a.T @ (weight * (q - b)) + hold * w)
-                w -= step
-                if np.abs(step).max() < 1e-9:
-                    break
-            p = 1 / (1 + np.exp(-np.clip(t @ w, -30, 30)))
-        return pd.DataFrame({"key": own["key"][test], "outer": own["outer"][test], "probability": p, "label": y[test].astype(int)})
-
-    return rows.groupBy("outer").applyInPandas(run, "key string, outer int, probability double, label int")
+    """Out-of-fold probabilities of a balanced logistic regression on standardised vectors (label: boolean).
+
+    Each Newton step of all folds is one pass of sums over the rows; no fold's rows come together.
+    """
+    rows, names, d = _folded_rows(df, key, fold, vector, F.col(label).cast("int").cast("double"))
+    k, width = len(names), d + 1
+
+    def parts(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.stack(b["x"].to_numpy()).astype(float), b["y"].to_numpy(), b["fold"].to_numpy()
+
+    def first(b: pd.DataFrame) -> np.ndarray:
+        x, y, f = parts(b)
+        return np.concatenate([np.r_[(f == n).sum(), y[f == n].sum(), x[f == n].sum(axis=0)] for n in names])
+
+    sums = summed(rows, first, k * (d + 2)).reshape(k, d + 2)
+    held = sums.sum(axis=0) - sums  # of each fold's training rows
+    n = np.maximum(held[:, :1], 1)
+    mean, share = held[:, 2:] / n, held[:, 1] / n[:, 0]
+
+    def second(b: pd.DataFrame) -> np.ndarray:
+        x, _, f = parts(b)
+        return np.concatenate([((x[f != o] - mean[i]) ** 2).sum(axis=0) for i, o in enumerate(names)])
+
+    std = np.sqrt(summed(rows, second, k * d).reshape(k, d) / n)
+    std[std == 0] = 1
+    hold = np.append(np.full(d, ridge), 1e-9)
+    w = np.zeros((k, width))
+    live = [i for i in range(k) if 0 < share[i] < 1]
+
+    for _ in range(rounds):
+        if not live:
+            break
+
+        def newton(b: pd.DataFrame) -> np.ndarray:
+            x, y, f = parts(b)
+            out = []
+            for i in live:
+                at = f != names[i]
+                a, t = np.c_[(x[at] - mean[i]) / std[i], np.ones(at.sum())], y[at]
+                weight = np.where(t == 1, 0.5 / share[i], 0.5 / (1 - share[i]))
+                q = 1 / (1 + np.exp(-np.clip(a @ w[i], -30, 30)))
+                out += [((a * (weight * q * (1 - q))[:, None]).T @ a).ravel(), a.T @ (weight * (q - t))]
+            return np.concatenate(out)
+
+        found = summed(rows, newton, len(live) * width * (width + 1)).reshape(len(live), width * (width + 1))
+        still = []
+        for i, own in zip(live, found):
+            step = np.linalg.solve(own[: width * width].reshape(width, width) + np.diag(hold), own[width * width :] + hold * w[i])
+            w[i] -= step
+            if np.abs(step).max() >= 1e-9:
+                still.append(i)
+        live = still
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x, y, f = parts(b)
+                p = np.full(len(b), np.nan)
+                for i, o in enumerate(names):
+                    if held[i, 0]:
+                        at = f == o
+                        p[at] = 1 / (1 + np.exp(-np.clip(np.c_[(x[at] - mean[i]) / std[i], np.ones(at.sum())] @ w[i], -30, 30))) if 0 < share[i] < 1 else share[i]
+                yield pd.DataFrame({"key": b["key"], "outer": f, "probability": p, "label": y.astype(int)})
+
+    return rows.mapInPandas(run, "key string, outer int, probability double, label int")
 
 
 def probe_examples(df: DataFrame, kind: str, task: str, condition: str, base, passed: str) -> DataFrame:
