@@ -31,20 +31,26 @@ def line_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.size(tx.lines(F.col("text"))).cast("long").alias("lines"), tx.code_score(F.col("text")).cast("long").alias("code_lines"))
 
 
-@query(r"""SELECT conv_id, turn, concat('return ', left(regexp_replace(text, '\s+', ' ', 'g'), 30)) || chr(10) AS kept FROM conversations WHERE role = 'assistant' AND right(left(regexp_replace(text, '\s+', ' ', 'g'), 30), 1) <> ' ' AND NOT contains(text, '`') AND NOT contains(lower(text), 'todo') AND NOT regexp_matches(text, '^\s*$')""")
+@query()
 def fence_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """the code out of a reply with two fenced segments, of which one is a stub."""
-    short = F.left(F.regexp_replace("text", r"\s+", " "), F.lit(30))
-    rows = load(spark, sf_dir, "conversations").where("role = 'assistant' AND NOT contains(text, '`') AND NOT contains(lower(text), 'todo')").where(~F.col("text").rlike(r"^\s*\z")).where(F.right(short, F.lit(1)) != " ")
-    reply = F.concat(F.lit("Here:\n```python\n# todo\nreturn 1\n```\nor\n```python\nreturn "), short, F.lit("\n```\nThanks."))
-    return rows.select("conv_id", "turn", tx.strip_fences(reply).alias("kept"))
+    """the code out of each turn, as a reply with two fenced segments, of which one is a stub and one returns the whole text. No SQL:
+    texts may hold fences, stubs or code of their own."""
+    reply = F.concat(F.lit("Here:\n```python\n# todo\nreturn 1\n```\nor\n```python\nreturn "), "text", F.lit("\n```\nThanks."))
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", tx.strip_fences(reply).alias("kept"))
+
 
+_STOPS = "[" + ", ".join("'" + s.replace("\n", "' || chr(10) || '") + "'" for s in tx.STOPS) + "]"
 
-@query("SELECT doc_id, left(text, CAST(least(CASE WHEN strpos(text, chr(10) || '###') > 0 THEN strpos(text, chr(10) || '###') - 1 ELSE length(text) END, CASE WHEN strpos(text, chr(10) || 'The solution') > 0 THEN strpos(text, chr(10) || 'The solution') - 1 ELSE length(text) END) AS BIGINT)) AS kept FROM (SELECT doc_id, replace(left(text, 60), ' ', chr(10) || '### ') AS text FROM documents)")
+
+@query(f"""WITH t AS (SELECT doc_id, text || chr(10) || '### ' || text AS a, left(text, length(text) // 2) || chr(10) || 'The solution' || substr(text, length(text) // 2 + 1) AS w FROM documents),
+p AS (SELECT *, list_min(list_filter(list_transform({_STOPS}, lambda s: strpos(a, s)), lambda p: p > 0)) AS x, list_min(list_filter(list_transform({_STOPS}, lambda s: strpos(w, s)), lambda p: p > 0)) AS y FROM t)
+SELECT doc_id, left(a, x - 1) AS kept, left(w, y - 1) AS half FROM p""")
 def truncate_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F8: up to the first stop string."""
-    text = F.replace(F.left("text", F.lit(60)), F.lit(" "), F.lit("\n### "))
-    return _docs(spark, sf_dir).select("doc_id", tx.truncated(text).alias("kept"))
+    """F8: up to the first stop string, which stands after the whole text, or in its middle, if the text has none before."""
+    middle = F.floor(F.length("text") / 2).cast("int")
+    after = F.concat("text", F.lit("\n### "), "text")
+    within = F.concat(F.substr("text", F.lit(1), middle), F.lit("\nThe solution"), F.substr("text", middle + 1))
+    return _docs(spark, sf_dir).select("doc_id", tx.truncated(after).alias("kept"), tx.truncated(within).alias("half"))
 
 
 @query(r"""SELECT item_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS first, regexp_replace(text, '^\s+|\s+$', '', 'g') AS second FROM benchmark""")
@@ -62,11 +68,11 @@ def strip_problem_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("item_id", tx.without_problem_examples(F.concat("text", F.lit("\nExample 1:\n 1 2\n3\nNote: x\n"))).alias("kept"))
 
 
-@query("SELECT item_id, 'P' || chr(10) || chr(10) || '### Visible Test Cases' || chr(10) || 'Test 1' || chr(10) || left(text, 10) || chr(10) || chr(10) || 'Test 2' || chr(10) || 'x' || chr(10) || chr(10) || '### Answer' || chr(10) || 'go' AS prompt, trim(left(text, 10)) || '|x' AS back FROM benchmark WHERE NOT contains(left(text, 10), chr(10))")
+@query(r"SELECT item_id, 'P' || chr(10) || chr(10) || '### Visible Test Cases' || chr(10) || 'Test 1' || chr(10) || text || chr(10) || chr(10) || 'Test 2' || chr(10) || 'x' || chr(10) || chr(10) || '### Answer' || chr(10) || 'go' AS prompt, regexp_replace(text, '^\s+|\s+$', '', 'g') || '|x' AS back FROM benchmark")
 def prompt_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """tests into a prompt and out of it again."""
-    rows = load(spark, sf_dir, "benchmark").where("NOT contains(left(text, 10), '\n')")
-    prompt = tx.with_tests(F.lit("P\n### Answer\ngo"), F.array(F.left("text", F.lit(10)), F.lit("x")))
+    """tests of whole texts into a prompt and out of it again."""
+    rows = load(spark, sf_dir, "benchmark")
+    prompt = tx.with_tests(F.lit("P\n### Answer\ngo"), F.array("text", F.lit("x")))
     return rows.select("item_id", prompt.alias("prompt"), F.array_join(tx.tests_of(prompt), "|").alias("back"))
 
 
