@@ -168,7 +168,7 @@ def condition_count(condition: Column) -> Column:
 
 def stable_seed(text: Column) -> Column:
     """a polynomial hash over code points."""
-    codes = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.ascii(F.substr(text, i, F.lit(1))).cast("long"))
+    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
     total = F.aggregate(codes, F.lit(0).cast("long"), lambda t, c: F.pmod(t * SEED_BASE + c, F.lit(SEED_MODULUS).cast("long")))
     return F.when(F.length(text) > 0, total).otherwise(F.lit(0).cast("long"))
 
