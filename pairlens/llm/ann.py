@@ -9,7 +9,7 @@ double precision, dimension after dimension, and heaps of k merge within a tile,
 bounds are proven, the result is exact.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, as queries or as
-candidates; vectors of another length than the query's are never compared with it; ties go to the smaller vec_id; fewer
+candidates; very large and very small finite ones do; vectors of another length than the query's are never compared with it; ties go to the smaller vec_id; fewer
 than k candidates are all returned; repeated vec_ids are compared as rows of their own, but never with their own id; other columns
 are dropped; an empty table gives an empty table.
 """
@@ -28,6 +28,10 @@ from .common import partitions
 
 #: Vectors in a block of queries, of candidates.
 QUERY_BLOCK, CANDIDATE_BLOCK = 512, 2048
+#: Pairs whose distances are recomputed at once.
+PAIRS = 100_000
+#: Sums of squares below this have lost digits; so much of a distance may be lost in squares of scaled vectors, whose largest component is about 1.
+TINY, LOST = 1e-280, 1e-150
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -70,26 +74,42 @@ def blocks(vectors: DataFrame, size: int) -> DataFrame:
     return vectors.mapInArrow(run, "dim int, n int, ids binary, vecs binary")
 
 
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distance of each row of x to the same row of y, component after component.
+
+    Where the squares leave the range of a double, the differences are scaled by the largest of them first.
+    """
+    total = np.zeros(len(x))
+    with np.errstate(over="ignore", invalid="ignore"):
+        for j in range(x.shape[1]):
+            step = x[:, j] - y[:, j]
+            total += step * step
+        out = np.sqrt(total)
+        bad = np.flatnonzero(~np.isfinite(total) | (total < TINY))
+        half = x[bad] / 2 - y[bad] / 2  # may not overflow
+        most = np.maximum(np.abs(half).max(axis=1, initial=0), 5e-324)
+        out[bad] = 2 * np.sqrt(((half / most[:, None]) ** 2).sum(axis=1)) * most
+    return out
+
+
 def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, list[tuple[float, int]]]]:
     """For each query of a tile, its k nearest (distance, id) in the tile."""
-    qc, qs, qr = quantised(q)
-    cc, cs, cr = quantised(c)
+    # bounds are taken of vectors scaled by a power of two, so that no square overflows; what underflows then is in the slack
+    unit = 2.0 ** -int(np.frexp(max(np.abs(q).max(), np.abs(c).max()))[1] // 2)
+    qc, qs, qr = quantised(q * unit * unit)
+    cc, cs, cr = quantised(c * unit * unit)
     kind = np.float32 if q.shape[1] <= 1040 else np.float64
     dots = (qc.astype(kind) @ cc.astype(kind).T).astype(np.float64) * qs[:, None] * cs[None, :]
     norms = lambda codes, scale: (codes.astype(np.int64) ** 2).sum(axis=1) * scale**2
     q2, c2 = norms(qc, qs), norms(cc, cs)
     near = np.sqrt(np.maximum(q2[:, None] + c2[None, :] - 2 * dots, 0))
-    slack = qr[:, None] + cr[None, :] + 1e-7 * (np.sqrt(q2)[:, None] + np.sqrt(c2)[None, :])  # rounding of the line above, too
+    slack = qr[:, None] + cr[None, :] + 1e-7 * (np.sqrt(q2)[:, None] + np.sqrt(c2)[None, :]) + LOST  # rounding of the line above, too
     low, high = near - slack, near + slack
     own = q_ids[:, None] == c_ids[None, :]
     high[own] = np.inf
     bound = np.partition(high, k - 1, axis=1)[:, k - 1] if c.shape[0] > k else np.full(len(q), np.inf)
-    rows, at = np.nonzero((low <= bound[:, None]) & ~own)
-    score = np.zeros(len(rows))
-    for j in range(q.shape[1]):
-        step = q[rows, j] - c[at, j]
-        score += step * step
-    score = np.sqrt(score)
+    rows, at = np.nonzero(~(low > bound[:, None]) & ~own)  # a bound that is no number keeps its pair
+    score = np.concatenate([np.zeros(0), *(distances(q[rows[i : i + PAIRS]], c[at[i : i + PAIRS]]) for i in range(0, len(rows), PAIRS))])
     ids = c_ids[at]
     order = np.lexsort((ids, score, rows))
     rows, score, ids = rows[order], score[order], ids[order]
