@@ -1,17 +1,18 @@
 r"""Personal data by weak supervision (operator 8).
 
 The base finds four kinds by fixed rules. Around them stand candidates: spans that look like personal data but that no
-rule settles (written-out addresses, telephone numbers without +, failing base matches, titles with a name). Labelers
-vote on each candidate and each base match: a strict shape (regex), lists of known words and prefixes (gazetteer), cue
-words before it (context), its check digits or part sizes, and whether it is torn out of a longer token. Counts of vote
-patterns over all documents (their number is bounded by kinds and votes, not by the data) go through
-expectation-maximisation, which estimates how reliable each labeler is and how likely each pattern; a logistic span
-classifier is then fitted on those likelihoods, with kind, votes and shape as features. Candidates that it scores at 0.5
-or more join the base's spans.
+rule settles (written-out addresses, telephone numbers without +, numbers that fail a base rule, cards with other separators, keys and
+tokens, titles with a name). Labelers vote on each candidate and each base match alike: the base rule, a strict shape (regex), lists of
+known words and prefixes (gazetteer), cue words before it (context), its check digits, sizes or variety of characters, and whether it is
+torn out of a longer token. Counts of vote patterns over all documents (their number is bounded by kinds and votes, not by the data) go
+through expectation-maximisation, which estimates how reliable each labeler is, how common true spans of each kind are and how likely each
+pattern; nothing is taken as settled. A logistic span classifier is then fitted on those likelihoods, with kind, votes and shape as features.
+Candidates that it scores at 0.5 or more join the base's spans, which stay by contract.
 
 Defined results: a null text is empty; rows are judged one by one, so repeated rows give equal results; a null doc_id
 stays null; columns besides doc_id and text are dropped; an empty table gives an empty table, and a table without
-candidates trains nothing and adds nothing.
+candidates trains nothing and adds nothing; very long texts are read whole, by rules that take linear time; of candidates with the same
+kind, start and end one stays, and a candidate that overlaps a base match is dropped.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]")
 
 # Further kinds and words of the labelers.
-MORE_KINDS = ["id", "person"]
+MORE_KINDS = ["id", "person", "secret"]
 TITLES = ["Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Señora"]
 CUES = {
     "email": ["mail", "e-mail", "email", "correo", "courriel", "contact"],
@@ -52,20 +53,35 @@ CUES = {
     "phone": ["phone", "tel", "telephone", "mobile", "call", "fax", "telefon", "téléphone", "teléfono"],
     "id": ["ssn", "passport", "id", "ausweis", "dni", "iban", "social"],
     "person": ["dear", "name", "by", "from", "liebe", "cher", "querido"],
+    "secret": ["token", "secret", "key", "apikey", "api_key", "password", "passwd", "pwd", "auth", "bearer", "credential"],
 }
+SECRET_PREFIXES = ["sk-", "pk-", "ghp_", "gho_", "xoxb-", "xoxp-", "AKIA", "AIza"]
+LABELERS = ["base rule", "strict shape", "gazetteer", "context", "check", "edges"]
 CARD_PREFIXES = ["3", "4", "5", "6"]
 TOP_DOMAINS = ["com", "org", "net", "edu", "gov", "de", "fr", "es", "uk", "eu", "io"]
 
+#: Ridge of the span classifier.
+RIDGE = 1e-4
 #: Candidates that no base rule takes, by kind; all of them run in linear time on any text.
+WRITTEN_OUT = re.compile(
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+"
+    r"(?:\x20?(?:\[at\]|\(at\)|\{at\})\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\[dot\]|\(dot\)|\{dot\}|\.)\x20?[A-Za-z0-9-]{1,63}){1,5}"
+    r"|\x20at\x20[A-Za-z0-9-]{1,63}(?:\x20dot\x20[A-Za-z0-9-]{1,63}){1,5})"
+)
+AT_HINTS = ["[at]", "(at)", "{at}", " dot "]
 OTHER = [
-    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:\[at\]|\(at\))\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\[dot\]|\(dot\)|\.)\x20?[A-Za-z0-9-]{1,63}){1,5}")),
     ("phone", re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9])")),
+    ("phone", re.compile(r"(?<![0-9+.-])00[1-9][0-9]{0,2}(?:[\x20.-]?[0-9]{2,4}){2,4}(?![0-9])")),
+    ("card", re.compile(r"(?<![0-9./_-])[0-9]{4}([./_])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9])")),
     ("id", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z0-9_+/-]{16})[A-Za-z0-9_+/-]{1,128}+(?![A-Za-z0-9_+/-])")),
 ]
+_LETTER = re.compile("[A-Za-z]")
 PERSON = r"\b(?:" + "|".join(TITLES) + r")\.?\x20[A-ZÀ-Þ][\w'-]{1,40}"
 _PERSON = re.compile(PERSON)
 #: For pre-selection over whole columns; finds every text that PERSON may match.
 _PERSON_HINT = "(?:" + "|".join(TITLES) + r")\.? ."
+_AT_HINT = "|".join(map(re.escape, AT_HINTS))
 
 
 class Span(NamedTuple):
@@ -121,56 +137,68 @@ def base_and_failing(text: str) -> Iterator[tuple[str, int, int, bool]]:
                 yield "phone", m.start(), m.end(), 9 <= len(_digits(m[0])) <= 15
 
 
-def _votes(text: str, kind: str, start: int, end: int, base: bool) -> tuple[int, ...]:
-    """1 for, -1 against, 0 nothing to say, of each labeler."""
+def _varied(found: str) -> bool:
+    """Whether the characters are as mixed as a random key's: three bits each or more."""
+    n = len(found)
+    return -sum(x / n * np.log2(x / n) for x in Counter(found).values()) >= 3
+
+
+def _votes(text: str, kind: str, start: int, end: int, base: int) -> tuple[int, ...]:
+    """1 for, -1 against, 0 nothing to say, of each labeler. base: 1 if a base rule holds, -1 if it fails, 0 if there is none."""
     found = text[start:end]
-    digits = _digits(found) if kind != "person" else ""
+    digits = _digits(found) if kind not in ("person", "secret") else ""
     if kind == "email":
         strict = 1 if re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(\.[A-Za-z0-9-]{1,63}){1,8}", found) else 0
-        known = 1 if found.rpartition(".")[2].strip().lower() in TOP_DOMAINS else 0
-        sizes = 1 if len(found) <= 254 else -1
+        known = 1 if re.split(r"[^a-z]", found.strip("]})").lower())[-1] in TOP_DOMAINS else 0
+        check = 1 if len(found) <= 254 else -1
     elif kind == "ip":
         strict = 1 if re.fullmatch(r"[1-9][0-9]{0,2}(\.(0|[1-9][0-9]{0,2})){3}", found) else -1
         known = 0
-        sizes = 1 if base else -1
+        check = 1 if all(len(x) <= 3 and int(x) <= 255 for x in found.split(".")) else -1
     elif kind == "card":
-        strict = 1 if re.fullmatch(r"[0-9]{13,19}|([0-9]{4}[ -]){3}[0-9]{4}", found) else -1
+        strict = 1 if re.fullmatch(r"[0-9]{13,19}|([0-9]{4}[ ./_-]){3}[0-9]{1,7}", found) else -1
         known = 1 if found[0] in CARD_PREFIXES else -1
-        sizes = 1 if base else -1
+        check = 1 if 12 <= len(digits) <= 19 and luhn(digits) else -1
     elif kind == "phone":
-        strict = 1 if re.fullmatch(r"\+[0-9]{1,3}[ .-]?(\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}([ .-]?[0-9]{2,4}){1,4}|(\([0-9]{3}\) ?|[0-9]{3}[. -])[0-9]{3}[. -][0-9]{4}", found) else -1
+        strict = 1 if re.fullmatch(r"(\+|00)[0-9]{1,3}[ .-]?(\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}([ .-]?[0-9]{2,4}){1,4}|(\([0-9]{3}\) ?|[0-9]{3}[. -])[0-9]{3}[. -][0-9]{4}", found) else -1
         known = 1 if found[0] == "+" and found[1] != "0" else 0
-        sizes = 1 if 9 <= len(digits) <= 15 else -1
+        check = 1 if 9 <= len(digits) <= 15 else -1
     elif kind == "id":
-        strict, known, sizes = 1, 0, -1 if found[:3] in ("000", "666") or found[0] == "9" else 1
+        strict, known, check = 1, 0, -1 if found[:3] in ("000", "666") or found[0] == "9" else 1
+    elif kind == "secret":
+        strict = 1 if re.fullmatch(r"[0-9a-f]{20,}|[0-9A-F]{20,}|[A-Za-z0-9_+/-]{20,}", found) else -1
+        known = 1 if found.startswith(tuple(SECRET_PREFIXES)) else 0
+        check = 1 if _varied(found) else -1
     else:
-        strict, known, sizes = 0, 1, 1 if found[-1:].isalpha() else -1
+        strict, known, check = 0, 1, 1 if found[-1:].isalpha() else -1
     before = text[max(0, start - 40) : start].lower()
     words = set(re.findall(r"[\w-]+", before)[-4:])
     cue = 1 if words.intersection(CUES[kind]) else -1 if any(words.intersection(v) for k, v in CUES.items() if k != kind) else 0
     torn = (start > 0 and (text[start - 1].isalnum() or text[start - 1] in "._%+-@/")) or (end < len(text) and (text[end].isalnum() or text[end] in "@_%/"))
-    return strict, known, cue, sizes, -1 if torn else 1
+    return base, strict, known, cue, check, -1 if torn else 1
 
 
 def spans_of(text: str) -> list[Span]:
     """Base matches that hold, and candidates that overlap none of them."""
-    rows = list(base_and_failing(text))
-    if "[at]" in text or "(at)" in text:
-        rows += [("email", m.start(), m.end(), False) for m in OTHER[0][1].finditer(text)]
-    if rows or DIGITS.search(text):
-        rows += [(kind, m.start(), m.end(), False) for kind, rule in OTHER[1:] for m in rule.finditer(text)]
+    rows = [(kind, a, b, 1 if holds else -1) for kind, a, b, holds in base_and_failing(text)]
+    if any(x in text for x in AT_HINTS):
+        rows += [("email", m.start(), m.end(), 0) for m in WRITTEN_OUT.finditer(text)]
+    if DIGITS.search(text):
+        for kind, rule in OTHER:
+            rows += [(kind, m.start(), m.end(), 0) for m in rule.finditer(text) if kind != "secret" or (DIGITS.search(m[0]) and _LETTER.search(m[0]))]
     if any(x in text for x in TITLES):
-        rows += [("person", m.start(), m.end(), False) for m in _PERSON.finditer(text)]
-    held = sorted((a, b) for _, a, b, base in rows if base)
+        rows += [("person", m.start(), m.end(), 0) for m in _PERSON.finditer(text)]
+    held = sorted((a, b) for _, a, b, base in rows if base == 1)
     starts = [a for a, _ in held]
     furthest = np.maximum.accumulate([b for _, b in held]).tolist() if held else []
     out = {}
     for kind, a, b, base in rows:
         i = int(np.searchsorted(starts, b)) if held else 0
-        if not base and i and furthest[i - 1] > a:
+        if base < 1 and i and furthest[i - 1] > a:
             continue
         shape = min(5, (b - a) // 6)
-        out[kind, a, b] = Span(kind, a, b, base, _votes(text, kind, a, b, base), shape)
+        if (kind, a, b) not in out:
+            out[kind, a, b] = Span(kind, a, b, base == 1, _votes(text, kind, a, b, base), shape)
     return list(out.values())
 
 
@@ -180,12 +208,12 @@ def _flagged(column: pa.Array) -> np.ndarray:
     hit = ((data >= 48) & (data <= 57)) | (data == 64)
     total = np.concatenate([[0], np.cumsum(hit)])
     rows = total[offsets[1:]] > total[offsets[:-1]]
-    more = pc.match_substring_regex(column, _PERSON_HINT + r"|[\[\(]at[\]\)]")
+    more = pc.match_substring_regex(column, _PERSON_HINT + "|" + _AT_HINT)
     return rows | pc.fill_null(more, False).to_numpy(zero_copy_only=False)
 
 
 def vote_counts(docs: DataFrame) -> DataFrame:
-    """kind, votes (comma-joined), shape, base, n: how often each pattern stands, over all documents."""
+    """kind, votes (comma-joined), shape, n: how often each pattern stands, over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter = Counter()
@@ -193,27 +221,29 @@ def vote_counts(docs: DataFrame) -> DataFrame:
             column = batch.column("text")
             for i in np.flatnonzero(_flagged(column)).tolist():
                 for x in spans_of(column[i].as_py()):
-                    count[x.kind, ",".join(map(str, x.votes)), x.shape, x.base] += 1
+                    count[x.kind, ",".join(map(str, x.votes)), x.shape] += 1
         rows = [(*k, n) for k, n in count.items()]
-        cols = list(zip(*rows)) or [()] * 5
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(cols, kinds)], ["kind", "votes", "shape", "base", "n"])
+        cols = list(zip(*rows)) or [()] * 4
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(cols, kinds)], ["kind", "votes", "shape", "n"])
 
-    found = doc_id_text(docs).mapInArrow(released(run), "kind string, votes string, shape int, base boolean, n long")
-    return found.groupBy("kind", "votes", "shape", "base").agg(F.sum("n").alias("n"))
+    found = doc_id_text(docs).mapInArrow(released(run), "kind string, votes string, shape int, n long")
+    return found.groupBy("kind", "votes", "shape").agg(F.sum("n").alias("n"))
 
 
-def reliabilities(votes: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, float]:
-    """Likelihood of each pattern; of each labeler, the chance of each vote (-1, 0, 1) given a true and a false span; the prior."""
+def reliabilities(votes: np.ndarray, weight: np.ndarray, kind: np.ndarray | None = None, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Likelihood of each pattern; of each labeler, the chance of each vote (-1, 0, 1) given a true and a false span; the prior of each kind."""
     patterns, labelers = votes.shape
+    kind = np.zeros(patterns, np.int64) if kind is None else kind
     chance = np.tile(np.array([[0.15, 0.25, 0.6], [0.6, 0.25, 0.15]]), (labelers, 1, 1))
-    prior, likely = 0.5, np.full(patterns, 0.5)
+    prior, likely = np.full(kind.max() + 1, 0.5), np.full(patterns, 0.5)
     for _ in range(rounds):
         logs = np.stack([np.log(chance[np.arange(labelers)[None, :], side, votes + 1]).sum(axis=1) for side in (0, 1)])
-        gap = np.clip(logs[0] - logs[1] + np.log(prior / (1 - prior)), -30, 30)
+        gap = np.clip(logs[0] - logs[1] + np.log(prior / (1 - prior))[kind], -30, 30)
         likely = 1 / (1 + np.exp(-gap))
         sides = np.stack([weight * likely, weight * (1 - likely)])
-        prior = float(np.clip((sides[0].sum() + 1) / (weight.sum() + 2), 0.02, 0.98))
+        true = np.bincount(kind, weights=sides[0], minlength=len(prior))
+        prior = np.clip((true + 1) / (np.bincount(kind, weights=weight, minlength=len(prior)) + 2), 0.02, 0.98)
         for v in range(3):
             chance[:, :, v] = ((votes + 1 == v).astype(float).T @ sides.T + 1) / (sides.sum(axis=1) + 3)
     return likely, chance, prior
@@ -225,26 +255,24 @@ def features(kind: str, votes: tuple[int, ...], shape: int) -> list[int]:
     return [0, 1 + kinds.index(kind), 1 + len(kinds) + shape, *(7 + len(kinds) + 3 * i + v + 1 for i, v in enumerate(votes))]
 
 
-def train(counts: list[tuple[str, str, int, bool, int]], rounds: int = 400) -> np.ndarray:
+def train(counts: list[tuple[str, str, int, int]], rounds: int = 40) -> np.ndarray:
     """Weights of the span classifier, from the counts of all vote patterns."""
-    size = 7 + len(KINDS + MORE_KINDS) + 15
+    size = 7 + len(KINDS + MORE_KINDS) + 3 * len(LABELERS)
     if not counts:
         return np.zeros(size) - 1e-9
     counts = sorted(counts)
     votes = np.array([[int(v) for v in x[1].split(",")] for x in counts])
-    weight = np.array([x[4] for x in counts], float)
-    likely, _, _ = reliabilities(votes, weight)
-    likely = np.where([x[3] for x in counts], 1 - 1e-6, likely)  # what the base rules settle is settled,
-    likely = np.where(votes[:, 3] < 0, 1e-6, likely)  # and so is what fails their check digits, ranges and sizes
+    weight = np.array([x[3] for x in counts], float)
+    likely, _, _ = reliabilities(votes, weight, np.array([(KINDS + MORE_KINDS).index(x[0]) for x in counts]))
     x = np.zeros((len(counts), size))
-    for i, (kind, _, shape, _, _) in enumerate(counts):
+    for i, (kind, _, shape, _) in enumerate(counts):
         x[i, features(kind, tuple(votes[i].tolist()), shape)] = 1
     # Newton's method, with a ridge
     w, share = np.zeros(size), weight / weight.sum()
-    for _ in range(min(rounds, 40)):
+    for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (share * (p - likely)) + 1e-3 * w
-        curve = (x * (share * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(size)
+        gradient = x.T @ (share * (p - likely)) + RIDGE * w
+        curve = (x * (share * p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(size)
         w -= np.linalg.solve(curve, gradient)
     return w
 
