@@ -12,7 +12,8 @@ function. Every text is scored whole.
 Defined results: null and empty texts have no n-grams and score by the bias alone; a null doc_id stays null and is never
 in the sample; labels that are null are left out, and a document with several labels counts once for each; repeated rows
 score alike; columns besides doc_id and text are dropped; without labels of both kinds the score is 0.5 throughout; an
-empty table gives an empty table.
+empty table gives an empty table; a very long text is a slice of its own and scored whole; ties among hashes of ids in the sample go
+by the id, then the label.
 """
 
 from __future__ import annotations
@@ -137,7 +138,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> tup
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(w[at], bias))], ["place", "weight"])
 
-    learnt = rows.coalesce(1).mapInArrow(released(run), "place long, weight double").collect()
+    # an exchange: every task scans its part of the documents, and the one that learns gets the sample alone
+    learnt = rows.repartition(1).mapInArrow(released(run), "place long, weight double").collect()
     w, bias = np.zeros(1 << BITS, np.float32), 0.0
     for place, weight in learnt:
         if place < 0:
