@@ -21,26 +21,41 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. A temporary one stands in only for a local session that has none set."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = getattr(spark.sparkContext, "_pairlens_dir", None) or "file://" + tempfile.mkdtemp(prefix="pairlens-")
         spark.sparkContext._pairlens_dir = found
     return found
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, read again: cuts the lineage, survives lost executors.
 
-    The table goes when the driver's JVM ends.
+    The table goes when the driver's JVM ends, or by discard().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pairlens/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    system, where = _file_system(spark, path)
+    system.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._pairlens_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table of written() that nothing reads any more."""
+    system, where = _file_system(table.sparkSession, table._pairlens_path)
+    system.delete(where, True)
+    system.cancelDeleteOnExit(where)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -2,7 +2,7 @@
 
 Each round joins every node's neighbours to the smallest of them, first the larger ones, then the smaller ones (alternating
 large-star and small-star), after a union-find within each partition has shortened what it holds. Rounds are written to the shared
-folder, so no lineage grows, and nothing but a count and a checksum comes to the driver.
+folder, so no lineage grows, each in place of the one before, and nothing but a count and a checksum comes to the driver.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 EDGE = "a long, b long"
 
@@ -73,8 +73,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("low"))
         down = large.join(least, "a")
         small = down.where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).unionAll(least.select("a", F.col("low").alias("b")))
-        now = written(small.distinct(), "edges")
+        last, now = now, written(small.distinct(), "edges")
         after = mark(now)
+        discard(last)
         if after == before:
             break
         before = after

@@ -4,24 +4,26 @@ A text's words are runs of bytes that are no white space, A-Z in lower case; its
 of ``k`` words. Two sets link when ``den * intersection >= num * union``.
 
 1. Equal sets are one class (a row for each, with its number of texts); only classes are joined.
-2. Candidates by partition: sets that link differ in at most ``min(a, b) * (den - num) // num`` elements. So if a set is dealt into more
-   parts than that by its elements' hashes, some part is the same in both. Set sizes fall into bands; in a band all sets have as many
-   parts, and a set also joins the band below if a smaller partner may be there. Classes that share a part are joined to the smallest of
-   them, in map tasks first, so a part that a third of all texts share is one row from each task. Elements that many sets have are left out
-   where enough others remain, so shared passages alone make no candidates. Nothing is lost: parts that are empty are left out only if
-   enough others are sure to remain, and else are split again.
-3. Candidate groups (components of those edges within a band) are joined exactly. A group's index lists are sorted by set size, and
-   of each list only the block of positions that can link is read. A set's overlaps with all others are derived from those of a highly
-   similar set computed before: only the lists of the elements in which they differ are added or taken away. Larger groups
-   are cut into tiles, each pair of sets meeting in one of them.
-4. The links' components give each text its class id.
+2. Every class's elements are dealt into buckets by their hashes, one of each class from a map task. A bucket counts in how many classes an
+   element stands, and gives those that stand in several back to their classes. A class of n elements links only with sets that have
+   ``ceil(num / den * n)`` of them, so one with fewer shared elements than that links with nothing and is settled. Of the others,
+   linked sets have one of their rarest ``n - ceil(num / den * n) + 1`` elements in common (any order that is the same for all sets does,
+   the rarest first makes the fewest candidates); what is not shared counts as rarest.
+3. Classes with such an element in common are joined to the smallest of them, in map tasks first, so an element that a third of all texts
+   share is one row from each task. Set sizes fall into bands, and a class also joins the band below if a smaller partner may be there.
+4. Candidate groups (components of those edges within a band) are joined exactly, from the shared elements alone: the others count in no
+   intersection. A group's index lists are sorted by set size, and of each list only the block of positions that can link is read. A set's
+   overlaps with all others are derived from those of a highly similar set computed before: only the lists of the elements in which they
+   differ are added or taken away. Larger groups are cut into tiles, each pair of sets meeting in one of them.
+5. The links' components give each text its class id.
 
 Each similar pair of classes is found once, so links are counted exactly; no pair of texts is ever a row.
 
 Defined results: null, empty and wordless texts have empty sets, link with nothing and are their own component; a text of fewer than k
 words has its whole sequence as one shingle; repeated rows and doc_ids are texts of their own, results stand for each row; a null
 doc_id stays null and never names a component that has another id (a component of null ids alone has a null id); columns besides
-doc_id and text are dropped; an empty table gives an empty table.
+doc_id and text are dropped; an empty table gives an empty table. A very long text is one set like others, held by one task at a time; ties
+in rarity go by the element's hash, so every set orders them alike.
 """
 
 from __future__ import annotations
@@ -39,11 +41,13 @@ from .components import components, stars
 
 #: Sizes of a band go up to this times its least.
 SPREAD = 1.5
-#: Elements of more sets than this are hot, or of so many more that at most HOT_MOST are; map tasks report what they see this often.
-HOT_SETS, HOT_MOST, SEEN = 48, 400_000, 3
+#: A map task deals its classes' elements once it holds so many.
+HELD = 800_000
+#: Parts in which a bucket's elements are counted, one after the other.
+PARTS = 4
 #: A tile has two slots of about so many sets and so many elements at most.
 SLOT_SETS, SLOT_ELEMENTS = 1500, 400_000
-#: A table of up to so many rows of a few numbers each is broadcast; a larger one is shuffled.
+#: A table of up to so many rows of one number each is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 200_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -97,7 +101,7 @@ def sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 
 class Bands:
-    """Bands of set sizes for a threshold num / den."""
+    """Bands of set sizes for a threshold num / den; linked sets stand in one band or in neighbouring ones."""
 
     def __init__(self, num: int, den: int):
         if not 2 * num > den:
@@ -108,59 +112,13 @@ class Bands:
         while self.least[-1] < 1 << 40:
             self.least.append(max(self.least[-1] + 1, int(self.least[-1] * spread)))
         self.edges = np.array(self.least)
-        self.known: dict[int, tuple[int, int]] = {}
 
     def of(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.edges, n, "right") - 1
 
-    def parts(self, band: int) -> tuple[int, int]:
-        """How many parts sets of a band have, and how many of them may be empty; no parts if only equal sets link.
-
-        So many may be empty that hardly any set has more: the expected number for the smallest sets, and four
-        deviations.
-        """
-        if band not in self.known:
-            differ = (self.least[band + 1] - 1) * (self.den - self.num) // self.num
-            spare = 2
-            while differ and spare < (mean := (differ + 1 + spare) * (1 - 1 / (differ + 1 + spare)) ** self.least[band]) + 4 * mean**0.5 and spare < 4 * differ:
-                spare += 1
-            self.known[band] = (differ + 1 + spare, spare) if differ else (0, 0)
-        return self.known[band]
-
-    def signatures(self, elements: np.ndarray, band: int, hot: np.ndarray | None = None) -> np.ndarray:
-        """Keys of a set's parts in a band; sets that link there have one in common. hot: sorted elements of many sets.
-
-        Without their hot elements sets differ in no more elements than with them. So these parts hold cold elements only;
-        they suffice unless both sets have too many empty ones, and sets that have also deal all their elements.
-        """
-        m, spare = self.parts(band)
-        if not m:
-            return np.zeros(0, np.uint64)
-        if hot is None or not len(hot):
-            return self._dealt(elements, band, m, spare, 0)
-        cold = elements[hot[np.minimum(np.searchsorted(hot, elements), len(hot) - 1)] != elements]
-        part = ((cold >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-        filled = 1 + int((part[1:] != part[:-1]).sum()) if len(part) else 0
-        out = self._dealt(cold, band, m, m, 0)
-        return np.concatenate([out, self._dealt(elements, band, m, spare, 1)]) if m - filled > spare else out
-
-    def _dealt(self, elements: np.ndarray, band: int, m: int, spare: int, family: int) -> np.ndarray:
-        if not len(elements):
-            return np.zeros(0, np.uint64)
-        part = ((elements >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # ascending, as the elements are
-        some, first = np.unique(part, return_index=True)
-        total = np.add.reduceat(mixed(elements + _STEP), first)
-        tag = np.uint64((2 * band + family + 1) * int(_BASE) % 2**64)
-        out = [mixed(mixed(total + tag) + some * _STEP)]
-        if m - len(some) > spare:
-            # too many are empty to leave them all out: under each, the rest is dealt again
-            again = mixed(elements ^ _BASE)
-            other = ((again >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-            sums = np.zeros(m, np.uint64)
-            np.add.at(sums, other.astype(np.int64), again)
-            for x in np.setdiff1d(np.arange(m, dtype=np.uint64), some):
-                out.append(mixed(mixed(sums + (tag ^ np.uint64(7))) + (np.arange(m, dtype=np.uint64) + x * np.uint64(m + 1)) * _STEP))
-        return np.concatenate(out)
+    def below(self, n: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """Whether a partner of sets of sizes n may stand in the band below theirs."""
+        return (band > 0) & (-(-self.num * n // self.den) < self.edges[band])
 
 
 def digest_of(elements: np.ndarray) -> bytes:
@@ -168,50 +126,170 @@ def digest_of(elements: np.ndarray) -> bytes:
 
 
 def profiles(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set of every text; and rows of element, seen for elements that several sets of a batch have."""
-    names, kinds = ["doc_id", "n_shingles", "digest", "element", "seen"], [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+    """doc_id, n_shingles, digest of the set of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, most=1 << 19):
+            n, digests = [], []
+            for own in sets(batch.column("text"), k):
+                n.append(len(own))
+                digests.append(digest_of(own))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary())], ["doc_id", "n_shingles", "digest"])
+
+    return docs.mapInArrow(released(run), "doc_id long, n_shingles long, digest binary")
+
+
+def short_id(digest: bytes, start: int) -> int:
+    return int.from_bytes(digest[start : start + 8], "big", signed=True)
+
+
+def short_ids(classes: DataFrame) -> tuple[DataFrame, int]:
+    """Classes with ``id``, eight bytes of their digests, and where in them these begin: where id and size name each class alone."""
+    for start in range(9):
+        found = classes.withColumn("id", F.conv(F.hex(F.substr("digest", F.lit(start + 1), F.lit(8))), 16, -10).cast("long"))
+        if not found.groupBy("id", "n").count().where("count > 1").head(1):
+            return found, start
+    raise RuntimeError("nine ways to shorten the digests all gave equal ids to different sets")
+
+
+CHUNK = "bucket int, ids binary, sizes binary, counts binary, keys binary, places binary"
+
+
+def _chunks(bucket: np.ndarray, node: np.ndarray, ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket: its nodes' ids and sizes, how many elements each has there, and those, node after node.
+
+    bucket, node, keys and places are by element, in order of bucket and node; ids and sizes are by node.
+    """
+    if not len(bucket):
+        return
+    new = np.ones(len(bucket), bool)
+    new[1:] = (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1])
+    first = np.append(np.flatnonzero(new), len(bucket))
+    counts, nodes, of = np.diff(first).astype(np.uint32), node[first[:-1]], bucket[first[:-1]]
+    some = np.append(np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])), len(of))
+    rows: list[tuple] = []
+    for x, y in zip(some.tolist(), some[1:].tolist()):
+        at = slice(first[x], first[y])
+        rows.append((int(of[x]), ids[nodes[x:y]].tobytes(), sizes[nodes[x:y]].tobytes(), counts[x:y].tobytes(), keys[at].tobytes(), places[at].tobytes()))
+    cols = list(zip(*rows))
+    kinds = [pa.int32(), *[pa.binary()] * 5]
+    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], ["bucket", "ids", "sizes", "counts", "keys", "places"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+    """ids and sizes of the distinct nodes of a partition's chunks; node and number of elements of each entry; key and place of each element."""
+    held: list[list[np.ndarray]] = [[] for _ in range(5)]
+    for batch in batches:
+        for to, name, kind in zip(held, ("ids", "sizes", "counts", "keys", "places"), (np.int64, np.int32, np.uint32, np.uint64, np.uint8)):
+            to += [np.frombuffer(x, kind) for x in batch.column(name).to_pylist()]
+    ids, sizes, counts, keys, places = (np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(held, (np.int64, np.int32, np.uint32, np.uint64, np.uint8)))
+    del held
+    order = np.lexsort((sizes, ids))
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[order][1:] != ids[order][:-1]) | (sizes[order][1:] != sizes[order][:-1])
+    node = np.empty(len(ids), np.int32)
+    node[order] = np.cumsum(new) - 1
+    return ids[order][new], sizes[order][new], node, counts, keys, places
+
+
+def _dealt(docs: DataFrame, k: int, n: int, start: int) -> DataFrame:
+    """All elements of each class, in chunks by bucket; a class comes once from each run of HELD elements of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, np.ndarray] = {}
         size = 0
 
-        def frequent() -> pa.RecordBatch:
-            element, seen = np.unique(np.concatenate(list(held.values())), return_counts=True)
-            element, seen = element[seen >= SEEN], seen[seen >= SEEN]
-            nothing = [pa.nulls(len(seen), kind) for kind in kinds[:3]]
-            return pa.RecordBatch.from_arrays([*nothing, pa.array(element.view(np.int64)), pa.array(seen.astype(np.int64))], names)
+        def out() -> Iterator[pa.RecordBatch]:
+            sizes = np.array([len(x) for x in held.values()], np.int32)
+            keys, node = np.concatenate(list(held.values())), np.repeat(np.arange(len(sizes)), sizes)
+            bucket = ((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+            order = np.argsort(bucket.astype(np.uint16) if n <= 65536 else bucket, kind="stable")
+            ids = np.array([short_id(x, start) for x in held], np.int64)
+            yield from _chunks(bucket[order], node[order], ids, sizes, keys[order], np.zeros(0, np.uint8))
 
         for batch in slices(batches, most=1 << 19):
-            n, digests = [], []
             for own in sets(batch.column("text"), k):
-                n.append(len(own))
-                digests.append(digest_of(own))
-                if len(own) and digests[-1] not in held:
-                    held[digests[-1]] = own
+                if len(own) and (digest := digest_of(own)) not in held:
+                    held[digest] = own
                     size += len(own)
-            nothing = [pa.nulls(len(n), pa.int64())] * 2
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), *nothing], names)
-            if size > 1_500_000:
-                yield frequent()
+            if size > HELD:
+                yield from out()
                 held, size = {}, 0
         if size:
-            yield frequent()
+            yield from out()
+
+    return docs.select("text").mapInArrow(released(run), CHUNK)
 
-    return docs.mapInArrow(released(run), "doc_id long, n_shingles long, digest binary, element long, seen long")
 
+def _shared(n: int):
+    """Of a bucket's elements those of several classes, with their rarity (0 to 255, the rarest first), in chunks by class."""
 
-def hot_elements(found: DataFrame) -> np.ndarray:
-    """Sorted elements of many sets, HOT_MOST at most. They only steer candidates: which ones they are decides no link."""
-    counts = written(found.groupBy("element").agg(F.sum("seen").alias("sets")).where(F.col("sets") > HOT_SETS), "hot")
-    least = HOT_SETS
-    while counts.where(F.col("sets") > least).count() > HOT_MOST:
-        least *= 2
-    return np.sort(np.array([r[0] for r in counts.where(F.col("sets") > least).select("element").collect()], np.int64).view(np.uint64))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sizes, entry, counts, keys, _ = _unpacked(batches)
+        if not len(keys):
+            return
+        # a class that several tasks dealt counts once: the elements of its first entry stay
+        once = np.zeros(len(entry), bool)
+        once[np.unique(entry, return_index=True)[1]] = True
+        if not once.all():
+            keys = keys[np.repeat(once, counts)]
+        node = np.repeat(entry[once], counts[once])
+        rarity = np.zeros(len(keys), np.uint8)
+        for part in range(PARTS):  # equal elements are in one part; parts hold memory down
+            at = np.flatnonzero(keys % np.uint64(PARTS) == part).astype(np.int32)
+            at = at[np.argsort(keys[at], kind="stable")]
+            own = keys[at]
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+            seen = np.diff(np.append(first, len(own)))
+            rarity[at] = np.repeat(np.where(seen > 1, np.minimum(255, 8 * np.log2(seen)), 0).astype(np.uint8), seen)
+        some = rarity > 0
+        node, keys, rarity = node[some], keys[some], rarity[some]
+        bucket = (mixed(ids.view(np.uint64)) % np.uint64(n)).astype(np.int64)
+        order = np.lexsort((node, bucket[node]))
+        yield from _chunks(bucket[node[order]], node[order], ids, sizes, keys[order], rarity[order])
+
+    return run
+
+
+def _alive(num: int, den: int):
+    """Classes with so many shared elements that they may link: id, n, those elements (ascending), and the rarest, of which a partner has one."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sizes, entry, counts, keys, rarity = _unpacked(batches)
+        node = np.repeat(entry, counts)
+        shared = np.bincount(node, minlength=len(ids))
+        least = -(-num * sizes.astype(np.int64) // den)
+        alive = shared >= least
+        own = alive[node]
+        node, keys, rarity = node[own], keys[own], rarity[own]
+        order = np.lexsort((keys, rarity, node))
+        ends = np.concatenate([[0], np.cumsum(np.where(alive, shared, 0))])
+        rare = np.where(alive, shared - least + 1, 0)  # n - least + 1, without those that aren't shared
+        rows: list[tuple] = []
+        held = 0
+        for i in np.flatnonzero(alive).tolist():
+            by_rarity = keys[order[ends[i] : ends[i + 1]]]
+            rows.append((int(ids[i]), int(sizes[i]), np.sort(by_rarity).tobytes(), by_rarity[: rare[i]].tobytes()))
+            held += len(by_rarity)
+            if held > 200_000:
+                yield _alive_rows(rows)
+                rows, held = [], 0
+        if rows:
+            yield _alive_rows(rows)
+
+    return run
 
-def short_id(digest: bytes) -> int:
-    """57 bits of a digest. Classes that share them only become candidates of each other."""
-    return int.from_bytes(digest[:8], "big") >> 7
+
+def _alive_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["id", "n", "elements", "rare"])
+
+
+def alive(docs: DataFrame, k: int, num: int, den: int, start: int = 0) -> DataFrame:
+    """id, n, elements, rare of every class that may link."""
+    n = partitions(docs.sparkSession)
+    some = _dealt(docs, k, n, start).repartitionById(n, F.col("bucket")).mapInArrow(released(_shared(n)), CHUNK)
+    return some.repartitionById(n, F.col("bucket")).mapInArrow(released(_alive(num, den)), "id long, n long, elements binary, rare binary")
 
 
 def _first_of_key(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -226,14 +304,13 @@ def _first_of_key(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.n
     return keys[first], nodes[first], edges[:, 0], edges[:, 1]
 
 
-def candidate_edges(docs: DataFrame, k: int, bands: Bands, hot: np.ndarray) -> DataFrame:
-    """Edges between nodes (short_id * 64 + band) of sets that share a part."""
-    n = partitions(docs.sparkSession)
-    names = ["bucket", "keys", "places", "nodes"]
-    shared = docs.sparkSession.sparkContext.broadcast(hot)  # HOT_MOST numbers at most
+def candidate_edges(living: DataFrame, bands: Bands) -> DataFrame:
+    """Edges between nodes (57 bits of the id, times 64, and the band) of classes that share a rare element in a band."""
+    n = partitions(living.sparkSession)
+    names = ["bucket", "keys", "nodes", "edges"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
+        held: list[tuple[np.ndarray, int]] = []
         size = 0
 
         def out() -> pa.RecordBatch:
@@ -241,30 +318,22 @@ def candidate_edges(docs: DataFrame, k: int, bands: Bands, hot: np.ndarray) -> D
             bucket = (keys >> np.uint64(20)) % np.uint64(n)
             order = np.argsort(bucket, kind="stable")
             ends = np.searchsorted(bucket[order], np.arange(n + 1, dtype=np.uint64))
-            rows = []
-            for i, (x, y) in enumerate(zip(ends.tolist(), ends[1:].tolist())):
-                if y > x:
-                    used, place = np.unique(nodes[order[x:y]], return_inverse=True)
-                    rows.append((i, keys[order[x:y]].tobytes(), place.astype(np.uint32).tobytes(), used.tobytes()))
-            if len(a):  # edges found here, as a row without keys
-                rows.append((int(a[0]) % n, b"", b"", np.stack([a, b], axis=1).tobytes()))
+            rows = [(i, keys[order[x:y]].tobytes(), nodes[order[x:y]].tobytes(), b"") for i, (x, y) in enumerate(zip(ends.tolist(), ends[1:].tolist())) if y > x]
+            if len(a):  # edges found here
+                rows.append((int(a[0]) % n, b"", b"", np.stack(stars(a, b), axis=1).tobytes()))
             cols = list(zip(*rows))
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(x, pa.binary()) for x in cols[1:])], names)
 
-        for batch in slices(batches, most=1 << 19):
-            seen = set()
-            for own in sets(batch.column("text"), k):
-                if not len(own) or (digest := digest_of(own)) in seen:
-                    continue
-                seen.add(digest)
-                band = int(bands.of(np.array([len(own)]))[0])
-                below = band and -(-bands.num * len(own) // bands.den) < bands.least[band]
-                for level in (band, band - 1)[: 2 if below else 1]:
-                    keys = bands.signatures(own, level, shared.value)
-                    if len(keys):
-                        held.append((keys, short_id(digest) * 64 + level))
-                        size += len(keys)
-            if size > 800_000:
+        for batch in batches:
+            sizes = batch.column("n").to_numpy()
+            band = bands.of(sizes)
+            below = bands.below(sizes, band)
+            for own, rare, level, also in zip(batch.column("id").to_pylist(), batch.column("rare").to_pylist(), band.tolist(), below.tolist()):
+                keys = np.frombuffer(rare, np.uint64)
+                for x in (level, level - 1)[: 2 if also else 1]:
+                    held.append((mixed(keys + np.uint64(x + 1) * _BASE), (own % 2**64 >> 7) * 64 + x))
+                    size += len(keys)
+            if size > HELD:
                 yield out()
                 held, size = [], 0
         if size:
@@ -273,44 +342,34 @@ def candidate_edges(docs: DataFrame, k: int, bands: Bands, hot: np.ndarray) -> D
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes, edges = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)]
         for batch in batches:
-            for own, place, x in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                if own:
-                    keys.append(np.frombuffer(own, np.uint64))
-                    nodes.append(np.frombuffer(x, np.int64)[np.frombuffer(place, np.uint32)])
-                else:
-                    edges.append(np.frombuffer(x, np.int64).reshape(-1, 2))
+            for to, kind, name in ((keys, np.uint64, "keys"), (nodes, np.int64, "nodes"), (edges, np.int64, "edges")):
+                to += [np.frombuffer(x, kind).reshape((-1, 2) if to is edges else -1) for x in batch.column(name).to_pylist()]
         _, _, a, b = _first_of_key(np.concatenate(keys), np.concatenate(nodes))
         held = np.concatenate([np.stack([a, b], axis=1), *edges])
         a, b = stars(held[:, 0], held[:, 1]) if len(held) else (a, b)
         for i in range(0, len(a), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 100_000]), pa.array(b[i : i + 100_000])], ["a", "b"])
 
-    dealt = docs.select("text").mapInArrow(released(deal), "bucket int, keys binary, places binary, nodes binary")
-    return dealt.repartition(n, "bucket").mapInArrow(released(meet), "a long, b long")
+    dealt = living.select("id", "n", "rare").mapInArrow(released(deal), "bucket int, keys binary, nodes binary, edges binary")
+    return dealt.repartitionById(n, F.col("bucket")).mapInArrow(released(meet), "a long, b long")
 
 
-def join_group(found: list[np.ndarray], slots: list[int] | None, num: int, den: int, below: int) -> Iterator[tuple[int, np.ndarray]]:
+def join_group(found: list[np.ndarray], size: np.ndarray, slots: list[int] | None, num: int, den: int, below: int, derived: list[int] | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """For each set of a group, the later ones in order of size that it links with; sets of ``below`` elements or more start no pair.
 
-    With slots, only sets of different slots are compared. ``found`` is sorted by size.
+    ``found`` holds the elements (all but those that no other set has) of sets of the sizes ``size``, which ascend. With slots, only sets of
+    different slots are compared. ``derived`` takes the ranks of sets whose overlaps came from another's.
     """
     g = len(found)
-    size = np.array([len(x) for x in found])
     slot = np.arange(g) if slots is None else np.array(slots)
     last = np.searchsorted(size, size * den // num, "right")  # beyond it, sets are too large to link
     linked = lambda r, at, over: at[(den * over >= num * (size[r] + size[at] - over)) & (slot[at] != slot[r])]
-    if g <= 6:
-        for r in range(g):
-            at = np.arange(r + 1, last[r]) if size[r] < below else np.zeros(0, np.int64)
-            over = np.array([len(np.intersect1d(found[r], found[x], assume_unique=True)) for x in at], np.int64)
-            if len(at):
-                yield r, linked(r, at, over)
-        return
     flat = np.concatenate(found)
     _, token = np.unique(flat, return_inverse=True)
-    ends = np.concatenate([[0], np.cumsum(size)])
+    held = [len(x) for x in found]
+    ends = np.concatenate([[0], np.cumsum(held)])
     own = [token[a:b] for a, b in zip(ends, ends[1:])]  # ascending
-    rank = np.repeat(np.arange(g), size)
+    rank = np.repeat(np.arange(g), held)
     # index lists, each sorted by position (rank by size): token * g + rank, ascending
     lists = np.sort(token * np.int64(g) + rank)
 
@@ -335,6 +394,8 @@ def join_group(found: list[np.ndarray], slots: list[int] | None, num: int, den:
                 less, more = np.setdiff1d(own[x], own[r], assume_unique=True), np.setdiff1d(own[r], own[x], assume_unique=True)
                 over = known[r - x : last[r] - x - 1] - counts(less, r + 1, last[r]) + counts(more, r + 1, last[r])
                 leaders.insert(0, leaders.pop(i))
+                if derived is not None:
+                    derived.append(r)
                 break
         if over is None:
             known = counts(own[r], r + 1, reach[r])
@@ -348,12 +409,13 @@ def join_group(found: list[np.ndarray], slots: list[int] | None, num: int, den:
 def _group_links(num: int, den: int, least: list[int]):
     names, kinds = ["cid", "root", "links"], [pa.int64(), pa.int64(), pa.int64()]
 
-    def links(key: tuple, rows: dict[int, tuple[int, int, np.ndarray]]) -> list[tuple[int, int, int]]:
-        cids = sorted(rows, key=lambda c: (len(rows[c][2]), c))
+    def links(key: tuple, rows: dict[int, tuple[int, int, int, np.ndarray]]) -> list[tuple[int, int, int]]:
+        cids = sorted(rows, key=lambda c: (rows[c][2], c))
         texts = np.array([rows[c][1] for c in cids])
         n = np.zeros(len(cids), np.int64)
         a, b = [], []
-        for r, at in join_group([rows[c][2] for c in cids], None if key[2] == key[3] else [rows[c][0] for c in cids], num, den, least[key[0] + 1]):
+        sizes = np.array([rows[c][2] for c in cids])
+        for r, at in join_group([rows[c][3] for c in cids], sizes, None if key[2] == key[3] else [rows[c][0] for c in cids], num, den, least[key[0] + 1]):
             n[r] += texts[at].sum()
             n[at] += texts[r]
             a.append(np.full(len(at), r))
@@ -368,13 +430,13 @@ def _group_links(num: int, den: int, least: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows, out = None, {}, []
         for batch in batches:
-            cols = [batch.column(x).to_pylist() for x in ("band", "root", "i", "j", "slot", "cid", "texts", "elements")]
-            for band, root, i, j, slot, cid, texts, elements in zip(*cols):
+            cols = [batch.column(x).to_pylist() for x in ("band", "root", "i", "j", "slot", "cid", "texts", "n", "elements")]
+            for band, root, i, j, slot, cid, texts, n, elements in zip(*cols):
                 if (key := (band, root, i, j)) != now:
                     if len(rows) > 1:
                         out += links(now, rows)
                     now, rows = key, {}
-                rows[cid] = (slot, texts, np.frombuffer(elements, np.uint64))
+                rows[cid] = (slot, texts, n, np.frombuffer(elements, np.uint64))
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
                 out = []
@@ -390,36 +452,24 @@ def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataF
     """doc_id, n_shingles, component_id, n_links of every text. Texts link when den * intersection >= num * union."""
     bands = Bands(num, den)
     docs = doc_id_text(docs)
-    found = written(profiles(docs, k), "profiles")
-    hot = hot_elements(found.where("element IS NOT NULL"))
-    rows = found.where("element IS NULL").drop("element", "seen")
+    rows = written(profiles(docs, k), "profiles")
     classes = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("texts"), F.first("n_shingles").alias("n"))
     classes = written(classes.select(F.monotonically_increasing_id().alias("cid"), "digest", "least_id", "texts", "n"), "classes")
-    groups = components(candidate_edges(docs, k, bands, hot))
-    short = F.shiftrightunsigned(F.conv(F.substr(F.hex("digest"), F.lit(1), F.lit(16)), 16, -10).cast("long"), 7)
+    classes, start = short_ids(classes)
+    living = written(alive(docs, k, num, den, start), "alive")
+    groups = components(candidate_edges(living, bands))
     nodes = groups.select(F.shiftright("node", 6).alias("short"), F.pmod("node", F.lit(64)).cast("int").alias("band"), "root")
-    members = nodes.join(classes.withColumn("short", short), "short").drop("short")
-    members = written(members, "members")
-    sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / SLOT_SETS, F.sum("n") / SLOT_ELEMENTS)).cast("int").alias("slots"))
+    size = F.shiftright(F.octet_length("elements"), 3).alias("shared")
+    members = living.select("id", "n", size).join(classes.select("id", "n", "cid", "texts"), ["id", "n"]).withColumn("short", F.shiftrightunsigned("id", 7)).join(nodes, "short")
+    members = written(members.select("band", "root", "id", "n", "cid", "texts", "shared"), "members")
+    sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / SLOT_SETS, F.sum("shared") / SLOT_ELEMENTS)).cast("int").alias("slots"))
     # a slot is one of the group's; a tile is a pair of slots, (i, i) for pairs within one
     slot = F.pmod(F.xxhash64("cid"), F.col("slots")).cast("int")
     placed = members.join(sizes, "root").withColumn("slot", slot)
     placed = placed.withColumn("tile", F.explode(F.transform(F.sequence(F.lit(0), F.col("slots") - 1), lambda x: F.struct(F.least(x, "slot").alias("i"), F.greatest(x, "slot").alias("j")))))
-    placed = placed.select("band", "root", "tile.i", "tile.j", "slot", "cid", "texts")
-
-    wanted = members.select("cid", "least_id", "digest").distinct()
-    if placed.count() <= BROADCAST_ROWS:
-        wanted, placed = F.broadcast(wanted), F.broadcast(placed)  # BROADCAST_ROWS at most
-    texts = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.least_id)).select("cid", "digest", "text")
-
-    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=1 << 19):
-            keep = [(c, x) for c, d, own in zip(batch.column("cid").to_pylist(), batch.column("digest").to_pylist(), sets(batch.column("text"), k)) if digest_of(own) == d for x in (own.tobytes(),)]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in keep], pa.int64()), pa.array([x for _, x in keep], pa.binary())], ["cid", "elements"])
-
-    n = partitions(docs.sparkSession)
-    full = texts.mapInArrow(released(elements), "cid long, elements binary").join(placed, "cid").repartition(n, "band", "root", "i", "j").sortWithinPartitions("band", "root", "i", "j")
-    found = written(full.select("band", "root", "i", "j", "slot", "cid", "texts", "elements").mapInArrow(released(_group_links(num, den, bands.least)), "cid long, root long, links long"), "links")
+    placed = placed.select("band", "root", "tile.i", "tile.j", "slot", "cid", "texts", "id", "n").join(living.select("id", "n", "elements"), ["id", "n"])
+    full = placed.repartition(partitions(docs.sparkSession), "band", "root", "i", "j").sortWithinPartitions("band", "root", "i", "j")
+    found = written(full.mapInArrow(released(_group_links(num, den, bands.least)), "cid long, root long, links long"), "links")
 
     named = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     totals = found.groupBy("cid").agg(F.sum("links").alias("links"))

@@ -76,19 +76,58 @@ def test_tiles(spark, monkeypatch):
     assert jaccard.similar(df.limit(0)).collect() == []
 
 
-def test_sparse_parts_still_meet():
-    """Sets whose parts are mostly empty share a key of the second deal."""
-    bands = jaccard.Bands(80, 100)
-    rng = np.random.default_rng(1)
-    for _ in range(200):
-        n = int(rng.integers(5, 60))
-        base = rng.integers(0, 2**35, n, dtype=np.uint64) << np.uint64(29 if rng.random() < 0.5 else 0)
-        base = np.unique(base)
-        other = np.unique(np.concatenate([base[: len(base) - max(0, len(base) // 10)], rng.integers(0, 2**63, len(base) // 20, dtype=np.uint64)]))
-        same, union = len(np.intersect1d(base, other)), len(np.union1d(base, other))
-        if 100 * same >= 80 * union and same < union:
-            low = int(bands.of(np.array([min(len(base), len(other))]))[0])
-            assert np.intersect1d(bands.signatures(base, low), bands.signatures(other, low)).size
+def near_group(rng, n, copies):
+    base = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+    out = []
+    for _ in range(copies):
+        keep = rng.random(len(base)) >= 0.03
+        out.append(np.unique(np.concatenate([base[keep], rng.integers(0, 2**63, int(rng.integers(0, 4)), dtype=np.uint64)])))
+    return sorted(out, key=len)
+
+
+@pytest.mark.parametrize("copies", [2, 3, 6, 40])
+def test_groups_go_through_lists_and_derivation(copies):
+    """Overlaps of near sets come from another's, in small groups as in large ones, and the links are those of all pairs."""
+    rng = np.random.default_rng(copies)
+    found = near_group(rng, 150, copies)
+    size = np.array([len(x) for x in found])
+    derived = []
+    got = {(r, int(x)) for r, at in jaccard.join_group(found, size, None, 80, 100, 10**9, derived) for x in at}
+    want = {(a, b) for a in range(copies) for b in range(a + 1, copies) if 100 * len(np.intersect1d(found[a], found[b])) >= 80 * len(np.union1d(found[a], found[b]))}
+    assert got == want and len(derived) >= copies - 2  # all but the first, and the last, which starts no pair
+    # what no other set has may be left out
+    every, seen = np.unique(np.concatenate(found), return_counts=True)
+    some = [np.intersect1d(x, every[seen > 1]) for x in found]
+    assert {(r, int(x)) for r, at in jaccard.join_group(some, size, None, 80, 100, 10**9) for x in at} == want
+
+
+def test_living_classes_hold_every_link(spark):
+    """Every linked pair of different sets is alive and shares one of its rare elements."""
+    rows = list(enumerate(texts(4)))
+    own = {tuple(x.tolist()): x for t in rows for x in jaccard.sets(pa.array([t[1]], pa.string()), 3) if len(x)}
+    found = jaccard.alive(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), 3, 80, 100).collect()
+    living = {(r.id, r.n): set(np.frombuffer(r.rare, np.uint64).tolist()) for r in found}
+    name = {key: (jaccard.short_id(jaccard.digest_of(x), 0), len(x)) for key, x in own.items()}
+    pairs = [(a, b) for a in own for b in own if a < b and 100 * len(set(a) & set(b)) >= 80 * len(set(a) | set(b))]
+    assert len(pairs) > 50
+    for a, b in pairs:
+        assert living[name[a]] & living[name[b]]
+    assert len(living) < len(own)
+
+
+def test_many_rows_of_one_id(spark):
+    """Rows of one id, or of none, with texts of their own."""
+    many = [(None if i % 2 else 5, t) for i, t in enumerate(texts(3)[:80])]
+    got = sorted((tuple(r) for r in jaccard.similar(spark.createDataFrame(many, "doc_id long, text string"), 3, 90, 100).collect()), key=str)
+    assert got == brute(many, 3, 90, 100)
+
+
+def test_very_long_text(spark):
+    word = random.Random(5)
+    long = " ".join(str(word.randint(0, 10**6)) for _ in range(200_000))
+    rows = [(1, long), (2, long + " end"), (3, "end"), (4, long.replace("7", "8"))]
+    got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0)}
 
 
 def test_components(spark):
