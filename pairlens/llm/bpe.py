@@ -14,12 +14,12 @@ each; columns besides doc_id and text are dropped; an empty table gives an empty
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import doc_id_text, released, slices
 
@@ -207,25 +207,21 @@ def coder(path: str, pattern: str) -> Coder:
     return _CODERS[path, pattern]
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids (binary: little-endian unsigned 32-bit integers) of every text.
+Batches = Iterator[pa.RecordBatch]
 
-    ``path`` is the file of ranks, at the same place on every executor.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encoding(path: str, pattern: str) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
         own = coder(path, pattern)
         for batch in slices(batches, most=2 << 20):
             ids = own.encode([x or "" for x in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
-    return doc_id_text(docs).mapInArrow(released(run), "doc_id long, n_tokens long, ids binary")
-
+    return run
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """The columns of encode() and decoded (binary: the bytes that the ids stand for)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decoding(path: str) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
         if path not in _TOKENS:
             _TOKENS[path] = token_table(read_ranks(path))
         own = _TOKENS[path]
@@ -233,11 +229,28 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             texts = [decoded(x, own) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
 
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(released(run), "doc_id long, n_tokens long, ids binary, decoded binary")
+    return run
+
+
+def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids (binary: little-endian unsigned 32-bit integers) of every text.
+
+    ``path`` is the file of ranks, at the same place on every executor.
+    """
+    return doc_id_text(docs).mapInArrow(released(_encoding(path, pattern)), "doc_id long, n_tokens long, ids binary")
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """The columns of encode() and decoded (binary: the bytes that the ids stand for)."""
+    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(released(_decoding(path)), "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: every text encoded, and its ids decoded again."""
-    return decode(encode(docs, path, pattern), path).select(
-        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: every text encoded, and its ids decoded again, by one worker for each task."""
+    sums = lambda column: pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in column], pa.string())
+
+    def run(batches: Batches) -> Batches:
+        for batch in _decoding(path)(_encoding(path, pattern)(batches)):
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], sums(batch.column("ids")), sums(batch.column("decoded"))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return doc_id_text(docs).mapInArrow(released(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
