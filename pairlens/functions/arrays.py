@@ -48,8 +48,11 @@ def cases(text: Column) -> Column:
 
 
 def case_text(case: Column) -> Column:
-    """a case as text."""
-    return F.concat(F.lit("Input:\n"), case["input"], F.lit("\nOutput:\n"), case["output"])
+    """a case (JSON text) as it is shown: its input and output, or stdin and stdout, else itself."""
+    v = F.try_parse_json(case)
+    part = lambda key: F.try_variant_get(v, f"$.{key}", "string")
+    pair = lambda a, b: F.concat(F.lit(f"{a}: "), part(a.split()[-1]), F.lit(f"\n{b}: "), part(b.split()[-1]))
+    return F.coalesce(pair("input", "expected output"), pair("stdin", "expected stdout"), case)
 
 
 def canonical_lines(text: Column) -> Column:

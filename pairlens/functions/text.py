@@ -19,13 +19,24 @@ TOKENS = r"[A-Za-z_]+|-?\d+"
 SEED_BASE, SEED_MODULUS = 131, 2147483647
 
 
+# The characters that Python strips, and those that end its lines.
+WHITE_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+# The layouts of worked examples in problem statements, and the headings that open and close a list of examples.
+EXAMPLES_TO_CONSTRAINTS = r"(?is)\n\s*Example\s+1\s*:.*?(\n\s*Constraints\s*:)"
+SAMPLES_TO_END = r"(?is)\n\s*Sample\s+Input\s+1\b.*\z"
+EXAMPLES_TO_END = r"(?is)\n\s*Examples?\s*\n.*\z"
+OPENS_EXAMPLES = r"(?i)^(?:examples?(?:\s+\d+)?\s*:|for examples?\b)"
+CLOSES_EXAMPLES = r"(?i)^(?:### |constraints\b|notes?\s*:|assumptions\b|you (?:may|can|should|must)\b)"
+
+
 def _lit(x: str) -> Column:
     return F.lit(x)
 
 
 def strip(text: Column) -> Column:
     """Without white space at either end."""
-    return F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def strip_thinking(text: Column) -> Column:
@@ -34,7 +45,7 @@ def strip_thinking(text: Column) -> Column:
 
 
 def lines(text: Column) -> Column:
-    return F.split(text, "\r\n|\n|\r")
+    return F.split(text, LINE_ENDS)
 
 
 def is_code_line(line: Column) -> Column:
@@ -83,20 +94,19 @@ def truncated(text: Column) -> Column:
 def without_public_examples(text: Column) -> Column:
     """a problem statement without its worked examples, in three layouts."""
     out = F.regexp_replace(text, "\r\n", "\n")
-    out = F.regexp_replace(out, r"(?is)\n\s*Example\s+1\s*:.*?(\n\s*Constraints\s*:)", "$1")
-    out = F.regexp_replace(out, r"(?is)\n\s*Sample\s+Input\s+1\b.*\z", "")
-    out = F.regexp_replace(out, r"(?is)\n\s*Examples?\s*\n.*\z", "")
+    out = F.regexp_replace(out, EXAMPLES_TO_CONSTRAINTS, "$1")
+    out = F.regexp_replace(out, SAMPLES_TO_END, "")
+    out = F.regexp_replace(out, EXAMPLES_TO_END, "")
     return F.regexp_replace(out, r"^\s+|\s+$", "")
 
 
 def without_problem_examples(text: Column) -> Column:
     """lines from an example's heading to the next section's are left out; a fold over the lines, with a flag as state."""
-    opens, closes = r"(?i)^(?:examples?(?:\s+\d+)?\s*:|for examples?\b)", r"(?i)^(?:### |constraints\b|notes?\s*:|assumptions\b|you (?:may|can|should|must)\b)"
     start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("kept"))
 
     def one(state: Column, line: Column) -> Column:
         own = strip(line)
-        inside = (state["inside"] | own.rlike(opens)) & ~own.rlike(closes)
+        inside = (state["inside"] | own.rlike(OPENS_EXAMPLES)) & ~own.rlike(CLOSES_EXAMPLES)
         return F.struct(inside.alias("inside"), F.when(inside, state["kept"]).otherwise(F.array_append(state["kept"], line)).alias("kept"))
 
     kept = F.aggregate(lines(F.regexp_replace(text, r"(\r\n|\n|\r)$", "")), start, one)["kept"]
@@ -152,18 +162,21 @@ def safe_id(text: Column) -> Column:
     return F.translate(text, "/ ", "__")
 
 
-def condition_base(condition: Column) -> Column:
-    """a condition's name without its suffix of count or quality."""
-    return F.regexp_replace(condition, r"_(?:k?(?:\d+)|all|(?:high|low|diverse)\d+)$", "")
-
-
-def condition_quality(condition: Column) -> Column:
-    return F.nullif(F.regexp_extract(condition, r"_(high|low|diverse)\d+$", 1), _lit(""))
+# The conditions' names, and the forms with a suffix of a count or of a quality and a count.
+CONDITIONS = ["nl_only", "nl_tests", "shuffled_tests", "irrelevant_tests", "asserts_only", "test_names_only"]
+COUNTED = r"^(nl_tests|asserts_only|test_names_only|shuffled_tests|irrelevant_tests)_k?([0-9]+|all)\z"
+GRADED = r"^(nl_tests|asserts_only|test_names_only)_(high|low|diverse)([0-9]+|all)\z"
 
 
-def condition_count(condition: Column) -> Column:
-    """the count in the suffix; null for all or none."""
-    return F.nullif(F.regexp_extract(condition, r"_(?:k|high|low|diverse)?(\d+)$", 1), _lit("")).cast("int")
+def condition_spec(condition: Column) -> Column:
+    """base, quality ('original' if none is named) and count (null for all) of a condition's name; null if it is no such name."""
+    spec = lambda base, quality, count: F.struct(base.alias("base"), quality.alias("quality"), F.try_to_number(count, F.lit("9999999999")).cast("int").alias("n"))
+    plain, original = F.lit(None).cast("string"), _lit("original")
+    return (
+        F.when(condition.isin(CONDITIONS), spec(condition, original, plain))
+        .when(condition.rlike(COUNTED), spec(F.regexp_extract(condition, COUNTED, 1), original, F.regexp_extract(condition, COUNTED, 2)))
+        .when(condition.rlike(GRADED), spec(F.regexp_extract(condition, GRADED, 1), F.regexp_extract(condition, GRADED, 2), F.regexp_extract(condition, GRADED, 3)))
+    )
 
 
 def stable_seed(text: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Running programs row by row (U1-U5), off unless asked for.
+"""Running programs row by row (U1, U2), off unless asked for.
 
 Each program runs in a child process of its own with a time limit and a memory limit; it is no sandbox. Whoever turns it on answers for what the
 programs may do.
@@ -9,47 +9,64 @@ from __future__ import annotations
 import json
 import subprocess
 import sys
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 SCHEMA = "key string, status string, passed array<boolean>, errors array<string>"
-_RUNNER = """
-import json, resource, sys
-job = json.load(sys.stdin)
-resource.setrlimit(resource.RLIMIT_AS, (job["memory"], job["memory"]))
-space, out = {"__name__": "candidate"}, []
-try:
-    exec(compile(job["code"], "<candidate>", "exec"), space)
-except BaseException as e:
-    print("\\n" + json.dumps({"status": "initialization_error", "error": f"{type(e).__name__}: {e}"[:300]}))
-    raise SystemExit
-for test in job["tests"]:
+# The statuses of a run.
+OK, TIMEOUT, BROKEN, FAILED_START = "ok", "timeout", "execution_error", "initialization_error"
+
+#: The child reads a list of programs (the candidate, then its tests), runs them in one namespace, and reports each on a pipe of its own, a line
+#: at once when it is done; so what programs print, and where they die, cannot be taken for a report.
+_CHILD = """
+import json, os, resource, sys
+report, memory, programs = os.fdopen(int(sys.argv[1]), "w"), int(sys.argv[2]), json.load(sys.stdin)
+resource.setrlimit(resource.RLIMIT_AS, (memory, memory))
+names = {"__name__": "candidate"}
+for place, program in enumerate(programs):
+    error = ""
     try:
-        exec(compile(test, "<test>", "exec"), space)
-        out.append("")
-    except BaseException as e:
-        out.append(f"{type(e).__name__}: {e}"[:300])
-print("\\n" + json.dumps({"status": "ok", "errors": out}))
+        exec(compile(program, "<test>" if place else "<candidate>", "exec"), names)
+    except BaseException as found:
+        error = (type(found).__name__ + ": " + str(found))[:300]
+    report.write(json.dumps(error) + chr(10))
+    report.flush()
+    if error and not place:
+        break
 """
 
 
+def _reports(programs: list[str], timeout: float, memory: int) -> tuple[list[str], bool, str]:
+    """The error ('' for none) of each program that came to an end, whether time ran out, and the end of what went wrong outside of them."""
+    with tempfile.TemporaryFile("w+") as heard, tempfile.TemporaryFile("w+") as said:
+        child = subprocess.Popen([sys.executable, "-I", "-c", _CHILD, str(heard.fileno()), str(memory)], stdin=subprocess.PIPE, stdout=subprocess.DEVNULL, stderr=said, text=True, pass_fds=[heard.fileno()])
+        late = False
+        try:
+            child.communicate(json.dumps(programs), timeout=timeout)
+        except subprocess.TimeoutExpired:
+            child.kill()
+            child.communicate()
+            late = True
+        heard.seek(0)
+        said.seek(0)
+        return [json.loads(line) for line in heard if line.endswith("\n")], late, said.read()[-1000:]
+
+
 def run_program(code: str, tests: list[str], timeout: float = 15.0, memory: int = 4 << 30) -> tuple[str, list[bool], list[str]]:
-    """(status, passed, errors): tests run in order in one namespace; a timeout fails them all."""
-    failed = [False] * len(tests)
-    job = json.dumps({"code": code, "tests": list(tests), "memory": memory})
-    try:
-        done = subprocess.run([sys.executable, "-I", "-c", _RUNNER], input=job, capture_output=True, text=True, timeout=timeout)
-    except subprocess.TimeoutExpired:
-        return "timeout", failed, ["timeout"] * len(tests)
-    try:
-        result = json.loads(done.stdout.rstrip().rpartition("\n")[2])
-    except ValueError:
-        return "execution_error", failed, [done.stderr[-1000:]] * len(tests)
-    if result["status"] != "ok":
-        return result["status"], failed, [result["error"]] * len(tests)
-    return "ok", [not e for e in result["errors"]], result["errors"]
+    """(status, passed, errors): tests run in order in one namespace; a timeout, or a program that does not start, fails them all."""
+    errors, late, outside = _reports([code, *tests], timeout, memory)
+    if late:
+        status, reason = TIMEOUT, "timeout"
+    elif errors and errors[0]:
+        status, reason = FAILED_START, errors[0]
+    elif len(errors) <= len(tests):
+        status, reason = BROKEN, outside
+    else:
+        return OK, [not e for e in errors[1:]], errors[1:]
+    return status, [False] * len(tests), [reason] * len(tests)
 
 
 def execute(df: DataFrame, key: str, code: str, tests: str, timeout: float = 15.0, memory: int = 4 << 30, allow: bool = False) -> DataFrame:

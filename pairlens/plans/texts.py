@@ -85,12 +85,25 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a.item_id").alias("left"), F.col("b.item_id").alias("right"), F.round(tx.token_distance(F.col("a.text"), F.col("b.text")), 9).alias("distance"))
 
 
-@query("SELECT c AS condition, regexp_replace(c, '_(?:k?(?:[0-9]+)|all|(?:high|low|diverse)[0-9]+)$', '') AS base, nullif(regexp_extract(c, '_(high|low|diverse)[0-9]+$', 1), '') AS quality, CAST(nullif(regexp_extract(c, '_(?:k|high|low|diverse)?([0-9]+)$', 1), '') AS INT) AS n FROM (SELECT unnest(['nl_tests_3', 'nl_tests_k5', 'nl_tests_all', 'nl_tests_high2', 'nl_only', 'asserts_diverse10']) AS c)")
+NAMES = [
+    "nl_only", "nl_tests", "shuffled_tests", "irrelevant_tests", "asserts_only", "test_names_only", "nl_tests_3", "nl_tests_k5", "nl_tests_all", "nl_tests_kall", "nl_tests_high2", "nl_tests_highall",
+    "asserts_only_diverse10", "test_names_only_lowall", "shuffled_tests_k0", "irrelevant_tests_12", "shuffled_tests_high2", "nl_only_3", "foo_3", "foo", "nl_tests_", "nl_tests_k", "nl_tests_-1", "nl_tests_high", "asserts_diverse10", "",
+]
+
+
+@query(f"""
+WITH c AS (SELECT unnest({NAMES}) AS c), m AS (
+  SELECT c, regexp_extract(c, '^(nl_tests|asserts_only|test_names_only|shuffled_tests|irrelevant_tests)_k?([0-9]+|all)$', ['base', 'n']) AS x,
+    regexp_extract(c, '^(nl_tests|asserts_only|test_names_only)_(high|low|diverse)([0-9]+|all)$', ['base', 'quality', 'n']) AS y FROM c
+)
+SELECT c AS condition, CASE WHEN c IN ('nl_only', 'nl_tests', 'shuffled_tests', 'irrelevant_tests', 'asserts_only', 'test_names_only') THEN c WHEN x.base <> '' THEN x.base WHEN y.base <> '' THEN y.base END AS base,
+  CASE WHEN c IN ('nl_only', 'nl_tests', 'shuffled_tests', 'irrelevant_tests', 'asserts_only', 'test_names_only') OR x.base <> '' THEN 'original' WHEN y.base <> '' THEN y.quality END AS quality,
+  TRY_CAST(CASE WHEN x.base <> '' THEN x.n WHEN y.base <> '' THEN y.n END AS INT) AS n FROM m
+""")
 def condition_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F23."""
-    rows = spark.createDataFrame([(c,) for c in ("nl_tests_3", "nl_tests_k5", "nl_tests_all", "nl_tests_high2", "nl_only", "asserts_diverse10")], "condition string")
-    c = F.col("condition")
-    return rows.select("condition", tx.condition_base(c).alias("base"), tx.condition_quality(c).alias("quality"), tx.condition_count(c).alias("n"))
+    spec = tx.condition_spec(F.col("condition"))
+    return spark.createDataFrame([(c,) for c in NAMES], "condition string").withColumn("spec", spec).select("condition", "spec.*")
 
 
 @query("SELECT n_name AS name, CAST(list_reduce(list_prepend(0::BIGINT, list_transform(string_split(n_name, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda t, c: (t * 131 + c) % 2147483647) AS BIGINT) AS seed FROM nation")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,3 +26,17 @@ def get_session(app: str = "pairlens", cores: str = "*", shuffle_partitions: int
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Table ``name`` of the folder ``sf_dir``; reads through Spark only, so any file system does."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share; a temporary folder only for a local session without one."""
+    conf = spark.sparkContext.getConf()
+    folder = conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="pairlens-")
+    path = f"{folder}/pairlens/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path

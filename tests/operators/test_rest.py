@@ -39,6 +39,9 @@ def test_arrays(spark):
     assert value(spark, arr.fenced_json(F.col("t")), t='x [1, 2] y') == "[1, 2]"
     assert [tuple(x)[:2] for x in value(spark, arr.cases(F.col("t")), t='{"inputs": ["1"], "outputs": ["2"]}')] == [("1", "2")]
     assert [tuple(x)[:2] for x in value(spark, arr.cases(F.col("t")), t='[{"input": "1", "output": "2", "testtype": "stdin"}]')] == [("1", "2")]
+    assert value(spark, arr.case_text(F.col("t")), t='{"input": "1", "output": "2"}') == "input: 1\nexpected output: 2"
+    assert value(spark, arr.case_text(F.col("t")), t='{"stdin": "1", "stdout": "2"}') == "stdin: 1\nexpected stdout: 2"
+    assert value(spark, arr.case_text(F.col("t")), t='{"q": 1}') == '{"q": 1}'
     assert value(spark, arr.canonical_lines(F.col("t")), t='[1,  2]\n x ') == "[1,2]\nx"
 
 
@@ -49,11 +52,26 @@ def test_code_functions():
         assert type(new) is type(v) and new != v
     with pytest.raises(ValueError):
         code.corrupted(None)
-    assert code.corrupted_output("YES") == "NO" and code.corrupted_output("a 7") == "a 8" and code.corrupted_output("3") == "4" and code.corrupted_output("q") == "x"
+    wrong = {"YES": "NO", "Yes": "NO", " no\n": "YES", "a 7": "a 8", "3": "4", "x1 2": "x1 3", "at 2.5 now": "at 3.5 now", "v1.2.3": "A1.2.3", "A left": "B left", "  up": "  Ap", "q": "A", '"é"': '"éx"'}
+    got = {t: code.corrupted_output(t) for t in wrong if t != '"é"'}
+    assert got == {t: w for t, w in wrong.items() if t != '"é"'} and "é" in code.corrupted_output('"é"')
+    with pytest.raises(ValueError):
+        code.corrupted_output(" \n")
     assert code.doctests(">>> f(1)\n2\n>>> x = 1\n") == ["assert f(1) == 2"]
     assert code.function_only("def f():\n  pass\n\ndef g():\n  pass\n", "f").count("def") == 1
     assert code.type_profile((1, [2.0])) != code.type_profile([1, [2.0]])
-    assert [code.reject_reason(t, "f") for t in ("x", "assert g(1)", "assert f(", "assert f(1)")] == ["not_assert", "missing_entry_point", "syntax_error", ""]
+    assert [code.reject_reason(t, "f") for t in ("x", "assert g(1)", "assert f(", "assert f(1)", "assert f(1); x = 1", " assert f(1)", "assert f(1)" + " " * 500)] == ["not_assert", "missing_entry_point", "syntax_error", "", "not_single_assert", "not_assert", "too_long"]
+    assert [code.first_assertion(t) for t in ("```python\nassert f(1)\nassert f(2)\n```", " assert f(1) ", "assert f(1)\n# more")] == ["assert f(1)"] * 3
+
+
+def test_assembled_programs():
+    """A prompt that is the head of a function, one that the answer repeats, and an answer that is a whole program."""
+    unfenced = lambda x: x.replace("```python\n", "").replace("```", "")
+    cut = lambda x: x.split("\nprint(")[0]
+    head, body = "def f(x):\n", "    return x\n\n\nprint(f(1))\n"
+    assert code.assembled(head, body, None, True, unfenced, cut) == "def f(x):\n    return x\n"
+    assert code.assembled(head, head + body, "f", True, unfenced, cut) == "def f(x):\n    return x\n"
+    assert code.assembled("Write f.", "```python\n" + head + body + "```", "f", False, unfenced, cut) == head + body.rstrip() + "\n"
 
 
 def test_mutants_are_disjoint():
