@@ -13,15 +13,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import placed
+
 
 def folds(df: DataFrame, family: str, k: int, seed: str = "0") -> DataFrame:
     """Family and fold (0 to k - 1): families in seeded hash order, dealt into k runs of near-equal size."""
-    names = df.select(family).distinct()
-    place = F.row_number().over(Window.orderBy(F.md5(F.concat_ws("-", F.lit(seed), F.col(family).cast("string"))), family)) - 1
-    n = F.count("*").over(Window.partitionBy(F.lit(1)))
+    names = df.select(family).distinct().withColumn("_key", F.md5(F.concat_ws("-", F.lit(seed), F.col(family).cast("string"))))
+    names = placed(names, ["_key", family], "_p").drop("_key")
+    n = F.lit(names.count())
     big, less = F.pmod(n, F.lit(k)), F.floor(n / k)
     fold = F.when(F.col("_p") < big * (less + 1), F.floor(F.col("_p") / (less + 1))).otherwise(big + F.floor((F.col("_p") - big * (less + 1)) / F.greatest(less, F.lit(1))))
-    return names.withColumn("_p", place).withColumn("fold", fold.cast("int")).drop("_p")
+    return names.withColumn("fold", fold.cast("int")).drop("_p")
 
 
 def fold_count(df: DataFrame, label: str, group: str, asked: int) -> int:

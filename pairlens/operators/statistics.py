@@ -8,12 +8,17 @@ observation is replicated.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregates import flips, task_means
 from .constraints import require, uneven_repeats
 from .joins import self_pairs
+from .selection import placed
+
+#: Numbers that NumPy's generator may draw on the driver.
+MOST_DRAWN = 20_000_000
 
 
 def mcnemar(gains: Column, losses: Column, digits: int = 10) -> Column:
@@ -27,9 +32,15 @@ def mcnemar(gains: Column, losses: Column, digits: int = 10) -> Column:
     return F.when(n == 0, F.lit(1.0)).otherwise(F.round(F.least(F.lit(1.0), 2 * tail), digits))
 
 
+def _numbered(clusters: DataFrame, cluster: str) -> DataFrame:
+    """The distinct clusters with their place in string order as _i, found by ranges."""
+    names = clusters.select(cluster).distinct().withColumn("_name", F.col(cluster).cast("string"))
+    return placed(names, ["_name"], "_i").drop("_name")
+
+
 def hash_draws(clusters: DataFrame, cluster: str, draws: int, seed: str = "") -> DataFrame:
     """Draw, and the cluster drawn at each of as many places as there are clusters."""
-    numbered = clusters.select(cluster).distinct().withColumn("_i", F.row_number().over(Window.orderBy(F.col(cluster).cast("string"))) - 1)
+    numbered = _numbered(clusters, cluster)
     size = clusters.select(F.countDistinct(cluster).alias("_g"))
     places = size.select("_g", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select("_g", "draw", F.explode(F.sequence(F.lit(0), (F.col("_g") - 1).cast("int"))).alias("place"))
     key = F.concat_ws("-", *([F.lit(seed)] if seed else []), F.col("draw").cast("string"), F.col("place").cast("string"))
@@ -38,12 +49,19 @@ def hash_draws(clusters: DataFrame, cluster: str, draws: int, seed: str = "") ->
 
 
 def numpy_draws(clusters: DataFrame, cluster: str, draws: int, seed: int = 0) -> DataFrame:
-    """The same shape, from NumPy's generator over the clusters in string order. Clusters are few (tasks at most), and go to the driver."""
-    names = sorted((r[0] for r in clusters.select(cluster).distinct().collect()), key=str)
-    picks = np.random.default_rng(seed).integers(0, len(names), (draws, len(names)))
-    spark = clusters.sparkSession
-    rows = spark.createDataFrame([(b, names[i]) for b, row in enumerate(picks.tolist()) for i in row], f"draw int, {cluster} {clusters.schema[cluster].dataType.simpleString()}")
-    return rows.withColumn("place", F.lit(0)).select("draw", "place", cluster)
+    """The same shape, from NumPy's generator over the clusters in string order.
+
+    The generator's stream is one sequence, so it runs on the driver; more than MOST_DRAWN numbers are refused, and hash draws are there for those.
+    Only how often each place is drawn goes out, and no cluster comes in.
+    """
+    numbered = _numbered(clusters, cluster)
+    size = numbered.count()
+    if draws * size > MOST_DRAWN:
+        raise ValueError(f"{draws} draws of {size} clusters are more than {MOST_DRAWN} numbers; use hash draws")
+    picks = np.random.default_rng(seed).integers(0, size, (draws, size)) if size else np.zeros((draws, 0), np.int64)
+    table = pd.DataFrame({"draw": np.repeat(np.arange(draws, dtype=np.int32), size), "_i": picks.reshape(-1)})
+    rows = clusters.sparkSession.createDataFrame(table, "draw int, _i long")
+    return rows.join(numbered, "_i").select("draw", F.lit(0).alias("place"), cluster)
 
 
 def ratio_draws(sums: DataFrame, draws: DataFrame, cluster: str, numerator: str, denominator: str) -> DataFrame:
