@@ -86,12 +86,16 @@ def log_odds(rows: DataFrame, known: list[str]) -> list[list[float]]:
     return [[odds(x, i) for i in range(PLACES)] for x in known[1:]]
 
 
-def traits(places: Column, odds: list[list[float]]) -> list[Column]:
-    """1, each domain's evidence, that of all by n-gram, and the length, of a text with these places."""
-    n = F.size(places)
+def evidence(places: Column, odds: list[list[float]]) -> list[Column]:
+    """Each domain's evidence in a text with these places, and how many these are."""
     total = lambda w: F.aggregate(places, F.lit(0.0), lambda s, x: s + F.element_at(w, x + 1))
-    found = [total(_table(own)) for own in odds]
-    return [F.lit(1.0), *map(F.log1p, found), sum(found[1:], found[0]) / (n + SHRINK) if found else F.lit(0.0), F.log1p(n.cast("double")) / 8]
+    return [*(total(_table(own)) for own in odds), F.size(places)]
+
+
+def traits(found: list[Column]) -> list[Column]:
+    """1, each domain's evidence, that of all by n-gram, and the length, from a text's evidence()."""
+    *each, n = found
+    return [F.lit(1.0), *map(F.log1p, each), sum(each[1:], each[0]) / (n + SHRINK) if each else F.lit(0.0), F.log1p(n.cast("double")) / 8]
 
 
 def softmax(x: list[Column], weights: list[list[float]]) -> list[Column]:
@@ -160,20 +164,22 @@ class Domains:
         split = all((0, d) in seen and (1, d) in seen for _, d in seen)
         self.known = [x for x in DOMAINS if any(d == x for _, d in seen)]
         self.odds = log_odds(rows.where("half = 0") if split else rows, self.known) if self.known else []
-        x = traits(F.col("places"), self.odds)
+        x = traits(evidence(F.col("places"), self.odds))
         other = rows.where("half = 1") if split else rows
         self.weights = regression(written(other.select("domain", *(v.alias(f"x{i}") for i, v in enumerate(x))), "traits"), self.known, len(x)) if self.known else []
 
     def on(self, rows: DataFrame, text: Column) -> DataFrame:
         """rows with TOKENS and a posterior _mix_p0, _mix_p1, ... for each domain."""
-        x = traits(F.col("_mix_places"), self.odds)
+        found = evidence(F.col("_mix_places"), self.odds)
+        names = [f"_mix_e{i}" for i in range(len(found))]
         out = rows.withColumn("_mix_places", _places(text)).withColumn(TOKENS, _tokens(text))
-        # a generator of one row: nothing above it, such as a filter pushed down, evaluates the traits again
-        once = F.inline(F.array(F.struct(*(v.alias(f"_mix_x{i}") for i, v in enumerate(x)))))
-        out = out.select(*rows.columns, TOKENS, once)
+        # a generator of one row: nothing above it, such as a filter pushed down, sums the evidence up again
+        out = out.select(*rows.columns, TOKENS, F.inline(F.array(F.struct(*(v.alias(x) for x, v in zip(names, found))))))
+        x = traits([F.col(v) for v in names])
+        out = out.withColumns({f"_mix_x{i}": v for i, v in enumerate(x)})
         p = dict(zip(self.known, softmax([F.col(f"_mix_x{i}") for i in range(len(x))], self.weights))) if self.known else {}
         out = out.withColumns({f"_mix_p{k}": F.round(p[d], 9) if d in p else F.lit(0.0) for k, d in enumerate(DOMAINS)})
-        return out.drop(*(f"_mix_x{i}" for i in range(len(x))))
+        return out.drop(*names, *(f"_mix_x{i}" for i in range(len(x))))
 
 
 def rate_after(total: list[float]) -> Column:
