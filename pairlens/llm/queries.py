@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, jaccard, mixing, neardup, pii, quality, suffixes, urls
+from . import ann, bpe, chat, fingerprint, jaccard, mixing, neardup, pii, quality, suffixes, urls
 from .common import load
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -55,6 +55,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_jaccard": op1_jaccard,
     "op2_suffixes": op2_suffixes,
@@ -66,6 +70,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_ann": op9_ann,
     "op10_mixing": op10_mixing,
+    "op11_fingerprints": op11_fingerprints,
 }
 
 ORACLE: dict[str, str] = {
