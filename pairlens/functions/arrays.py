@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .code import python_text, spaced_json
 from .text import strip
 
 
@@ -47,12 +48,32 @@ def cases(text: Column) -> Column:
     return F.when(strip(text).startswith("["), rows).when(both["inputs"].isNotNull(), zipped)
 
 
+def shown(value: Column) -> Column:
+    """a JSON value (variant) as Python shows it: text as it is, null as None, lists and objects with its spaces and quotes; null for no value."""
+    kind = F.schema_of_variant(value)
+    text = F.try_variant_get(value, "$", "string")
+    return F.when(kind == "STRING", text).when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(text)).otherwise(python_text(F.to_json(value)))
+
+
 def case_text(case: Column) -> Column:
-    """a case (JSON text) as it is shown: its input and output, or stdin and stdout, else itself."""
+    """a case (JSON text) as it is shown: its input and output, or its stdin and stdout, where it has both; else all of it."""
     v = F.try_parse_json(case)
-    part = lambda key: F.try_variant_get(v, f"$.{key}", "string")
-    pair = lambda a, b: F.concat(F.lit(f"{a}: "), part(a.split()[-1]), F.lit(f"\n{b}: "), part(b.split()[-1]))
-    return F.coalesce(pair("input", "expected output"), pair("stdin", "expected stdout"), case)
+
+    def pair(given: str, wanted: str) -> Column:
+        a, b = (F.try_variant_get(v, f"$.{k}", "variant") for k in (given, wanted))
+        return F.when(a.isNotNull() & b.isNotNull(), F.concat(F.lit(f"{given}: "), shown(a), F.lit(f"\nexpected {wanted}: "), shown(b)))
+
+    return F.coalesce(pair("input", "output"), pair("stdin", "stdout"), F.when(v.isNotNull(), spaced_json(case)), case)
+
+
+def case_list(text: Column) -> Column:
+    """the cases (JSON text each) of an array, of an object's test_cases, or of a single object; what is no object is left out."""
+    v = F.try_parse_json(F.nullif(strip(text), F.lit("")))
+    listed = F.try_variant_get(v, "$.test_cases", "array<variant>")
+    whole = F.try_variant_get(v, "$", "array<variant>")
+    own = F.when(listed.isNotNull(), listed).when(whole.isNotNull(), whole).otherwise(F.array(v))
+    objects = F.filter(own, lambda x: F.schema_of_variant(x).startswith("OBJECT"))
+    return F.coalesce(F.transform(objects, lambda x: F.to_json(x)), F.array().cast("array<string>"))
 
 
 def canonical_lines(text: Column) -> Column:

@@ -52,15 +52,19 @@ def upper_median(xs: Column) -> Column:
 
 
 def floor_quotient(a: Column, b: Column) -> Column:
-    return F.floor(a / b).cast("long")
+    """Rounded down, of whole numbers of either sign."""
+    whole = truncated_quotient(a, b)
+    return whole - ((a % b != 0) & ((a < 0) != (b < 0))).cast("long")
 
 
 def truncated_quotient(a: Column, b: Column) -> Column:
-    return (F.signum(a) * F.floor(F.abs(a) / b)).cast("long")
+    """Rounded towards 0."""
+    return F.call_function("div", a, b)
 
 
 def floor_remainder(a: Column, b: Column) -> Column:
-    return F.pmod(a, b)
+    """What floor_quotient() leaves, with the divisor's sign."""
+    return (a % b + b) % b
 
 
 def signed_remainder(a: Column, b: Column) -> Column:

@@ -5,6 +5,8 @@ Fixed lists and patterns (keywords, stop strings, titles of blocks) stand togeth
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +36,12 @@ def _lit(x: str) -> Column:
     return F.lit(x)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once for a row, however often ``use`` names it: a column that is named often, in columns that are named
+    often, makes a plan of exponential size. No Python UDF may stand in ``use``."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without white space at either end."""
     return F.btrim(text, F.lit(WHITE_SPACE))
@@ -45,7 +53,9 @@ def strip_thinking(text: Column) -> Column:
 
 
 def lines(text: Column) -> Column:
-    return F.split(text, LINE_ENDS)
+    """The lines of a text; a last line end opens no further line, and an empty text has none."""
+    cut = lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p)
+    return bound(F.split(text, LINE_ENDS), cut)
 
 
 def is_code_line(line: Column) -> Column:
@@ -75,14 +85,20 @@ def without_language(segment: Column) -> Column:
 def strip_fences(text: Column) -> Column:
     """F2: the best fenced segment of code (by score, then length, the first of equals), stubs only if there is nothing else; what stands before
     the first fence if no segment is code; the text itself if there is no fence."""
-    clean = strip_thinking(text)
-    parts = F.split(clean, "```")
-    trimmed = F.transform(parts, lambda x, i: strip(F.regexp_replace(F.when(i == 0, x).otherwise(without_language(x)), r"^\s+|\s+$", "")))
-    ranked = F.transform(trimmed, lambda x, i: F.struct(F.when(is_placeholder(x), 0).otherwise(1).alias("real"), code_score(x).alias("score"), F.length(x).alias("size"), (-i).alias("place"), x.alias("text")))
-    code = F.filter(ranked, lambda x: (x["score"] > 0) & (x["size"] > 0))
-    best = F.array_max(code)["text"]
-    before = F.get(trimmed, F.lit(0))
-    return F.when(~clean.contains("```"), clean).when(F.size(code) > 0, F.concat(best, _lit("\n"))).when(before != "", F.concat(before, _lit("\n"))).otherwise(clean)
+
+    def ranked(x: Column, i: Column) -> Column:
+        return F.struct(F.when(is_placeholder(x), 0).otherwise(1).alias("real"), code_score(x).alias("score"), F.length(x).alias("size"), (-i).alias("place"), x.alias("text"))
+
+    def chosen(trimmed: Column, clean: Column) -> Column:
+        best = F.array_max(F.filter(F.transform(trimmed, ranked), lambda x: (x["score"] > 0) & (x["size"] > 0)))
+        before = F.nullif(F.get(trimmed, F.lit(0)), _lit(""))
+        return F.coalesce(F.concat(best["text"], _lit("\n")), F.concat(before, _lit("\n")), clean)
+
+    def cut(clean: Column) -> Column:
+        parts = F.transform(F.split(clean, "```"), lambda x, i: strip(F.regexp_replace(F.when(i == 0, x).otherwise(without_language(x)), r"^\s+|\s+$", "")))
+        return F.when(~clean.contains("```"), clean).otherwise(bound(parts, lambda trimmed: chosen(trimmed, clean)))
+
+    return bound(strip_thinking(text), cut)
 
 
 def truncated(text: Column) -> Column:
@@ -164,18 +180,30 @@ def safe_id(text: Column) -> Column:
 
 # The conditions' names, and the forms with a suffix of a count or of a quality and a count.
 CONDITIONS = ["nl_only", "nl_tests", "shuffled_tests", "irrelevant_tests", "asserts_only", "test_names_only"]
-COUNTED = r"^(nl_tests|asserts_only|test_names_only|shuffled_tests|irrelevant_tests)_k?([0-9]+|all)\z"
-GRADED = r"^(nl_tests|asserts_only|test_names_only)_(high|low|diverse)([0-9]+|all)\z"
+COUNTED = r"^(nl_tests|asserts_only|test_names_only|shuffled_tests|irrelevant_tests)_k?(\d+|all)$"
+GRADED = r"^(nl_tests|asserts_only|test_names_only)_(high|low|diverse)(\d+|all)$"
+#: A count beyond this asks for all tests that an array can hold.
+MOST_TESTS = 2**31 - 1
 
 
 def condition_spec(condition: Column) -> Column:
-    """base, quality ('original' if none is named) and count (null for all) of a condition's name; null if it is no such name."""
-    spec = lambda base, quality, count: F.struct(base.alias("base"), quality.alias("quality"), F.try_to_number(count, F.lit("9999999999")).cast("int").alias("n"))
-    plain, original = F.lit(None).cast("string"), _lit("original")
+    """base, quality ('original' if none is named) and count (null for all) of a condition's name; null if it is no such name.
+
+    A line feed may end the name. A count that no array reaches is given as MOST_TESTS.
+    """
+
+    def spec(base: Column, quality: Column, count: Column) -> Column:
+        digits = F.ltrim(count, F.lit("0"))
+        n = F.when(count == "all", F.lit(None)).when(F.length(digits) > 10, MOST_TESTS).otherwise(F.least(F.concat(F.lit("0"), digits).cast("long"), F.lit(MOST_TESTS)))
+        return F.struct(base.alias("base"), quality.alias("quality"), n.cast("int").alias("n"))
+
+    original = _lit("original")
+    # (?d): only a line feed is a line's end, as the names' grammar has it
+    counted, graded = (lambda i: F.regexp_extract(condition, "(?d)" + COUNTED, i)), (lambda i: F.regexp_extract(condition, "(?d)" + GRADED, i))
     return (
-        F.when(condition.isin(CONDITIONS), spec(condition, original, plain))
-        .when(condition.rlike(COUNTED), spec(F.regexp_extract(condition, COUNTED, 1), original, F.regexp_extract(condition, COUNTED, 2)))
-        .when(condition.rlike(GRADED), spec(F.regexp_extract(condition, GRADED, 1), F.regexp_extract(condition, GRADED, 2), F.regexp_extract(condition, GRADED, 3)))
+        F.when(condition.isin(CONDITIONS), spec(condition, original, _lit("all")))
+        .when(condition.rlike("(?d)" + COUNTED), spec(counted(1), original, counted(2)))
+        .when(condition.rlike("(?d)" + GRADED), spec(graded(1), graded(2), graded(3)))
     )
 
 
@@ -234,7 +262,7 @@ def log_length_ratio(a: Column, b: Column) -> Column:
 
 def rotated(values: Column) -> Column:
     """outputs moved by one place; fewer than two distinct values raise."""
-    moved = F.concat(F.slice(values, 2, 1_000_000), F.slice(values, 1, 1))
+    moved = F.concat(F.slice(values, F.lit(2), F.size(values)), F.slice(values, 1, 1))
     return F.when(F.size(F.array_distinct(values)) < 2, F.raise_error(F.lit("fewer than two distinct values")).cast("array<string>")).otherwise(moved)
 
 

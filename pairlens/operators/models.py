@@ -6,6 +6,7 @@ nested_ridge_by_moments() and logistic_probe() sum moments over all rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,66 @@ def fold_count(df: DataFrame, label: str, group: str, asked: int) -> int:
     return max(0, min(asked, smallest, df.select(group).distinct().count()))
 
 
+def _hashed(seed: str, column: str) -> Column:
+    return F.md5(F.concat_ws("-", F.lit(seed), F.col(column).cast("string")))
+
+
+def stratified_folds(df: DataFrame, key: str, label: str, k: int, seed: str = "0") -> DataFrame:
+    """Key and fold: rows in order of their label, then in seeded hash order, dealt to the folds in turn, so that no two folds' shares of a
+    label differ by more than a row. ``key`` is unique; places come from counts of ranges."""
+    rows = placed(df.select(key, label).withColumn("_h", _hashed(seed, key)), [label, "_h", key], "_p")
+    return rows.select(key, F.pmod("_p", F.lit(k)).cast("int").alias("fold"))
+
+
+def dealt_groups(groups: list[tuple[object, dict]], totals: dict, k: int) -> list[tuple[object, int]]:
+    """Groups, with their rows of each class, given one after the other to the fold that then has the least spread of class shares.
+
+    Adding n rows of a class to a fold of f such rows adds 2nf + n^2 to the sum of squares, of which only 2nf depends on the fold; classes weigh
+    by 1 / total^2. All is in whole numbers. Ties: the fold with fewer rows, then the first.
+    """
+    weight = {c: math.prod(t * t for d, t in totals.items() if d != c) for c in totals}
+    held: list[dict] = [dict.fromkeys(totals, 0) for _ in range(k)]
+    out = []
+    for name, own in groups:
+        best = min(range(k), key=lambda j: (sum(n * held[j][c] * weight[c] for c, n in own.items()), sum(held[j].values()), j))
+        for c, n in own.items():
+            held[best][c] += n
+        out.append((name, best))
+    return out
+
+
+def stratified_group_folds(df: DataFrame, group: str, label: str, k: int, seed: str = "0", large: int = 1000) -> DataFrame:
+    """Group and fold: whole groups, dealt so that each fold has about the same shares of each label. Labels are few.
+
+    The ``large`` largest groups are dealt one by one (dealt_groups): that many rows of counts are read by the driver. Smaller ones, if there
+    are more, are dealt in order of their commonest label and size, forth and back over the folds, where they lie: two folds then
+    differ by at most one such group for each label.
+    """
+    counts = df.groupBy(group, label).agg(F.count("*").alias("n"))
+    totals = dict(counts.groupBy(label).agg(F.sum("n")).collect())
+    table = counts.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct(label, "n"))).alias("_own"), F.sum("n").alias("_size"), F.max_by(label, F.struct("n", label)).alias("_most"))
+    table = table.withColumn("_h", _hashed(seed, group))
+    first = table.orderBy(F.col("_size").desc(), "_h", group).limit(large).collect()
+    dealt = df.sparkSession.createDataFrame(dealt_groups([(r[group], r["_own"]) for r in first], totals, k), table.select(group, F.lit(0).alias("fold")).schema)
+    if len(first) < large:
+        return dealt
+    rest = table.join(F.broadcast(dealt), group, "left_anti").withColumn("_size", -F.col("_size"))  # at most ``large`` rows
+    turn = F.pmod(F.col("_p"), F.lit(2 * k))
+    small = placed(rest.select(group, "_most", "_size", "_h"), ["_most", "_size", "_h", group], "_p")
+    return dealt.unionByName(small.select(group, F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int").alias("fold")))
+
+
+def cross_validation_folds(df: DataFrame, key: str, group: str, label: str, asked: int, random: bool = False, seed: str = "0") -> DataFrame:
+    """Key and fold of each row: as many folds as fold_count() allows, which must be two at least. ``random``: rows are dealt by label, without
+    regard to groups; otherwise whole groups are."""
+    k = fold_count(df, label, group, asked)
+    if k < 2:
+        raise ValueError(f"two folds are needed, classes and groups allow {k}")
+    if random:
+        return stratified_folds(df, key, label, k, seed)
+    return df.select(key, group).join(stratified_group_folds(df, group, label, k, seed), group).select(key, "fold")
+
+
 def ridge_predictions(k: np.ndarray, y: np.ndarray, cross: np.ndarray, alpha: float) -> np.ndarray:
     """M7: kernel ridge with centred kernels scaled by their mean diagonal; the training mean if that is under 1e-12; within [0, 1]."""
     column, whole = k.mean(axis=0), k.mean()

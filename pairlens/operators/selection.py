@@ -89,7 +89,7 @@ def filled_to(first: Column, more: Column, k: int) -> Column:
 
 def visible_hidden(tests: Column, visible: int) -> tuple[Column, Column]:
     """The first tests, and the rest; all of them if there is no rest."""
-    rest = F.slice(tests, visible + 1, 1_000_000)
+    rest = F.slice(tests, F.lit(visible + 1), F.size(tests))
     return F.slice(tests, 1, visible), F.when(F.size(rest) == 0, tests).otherwise(rest)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import comparisons, files, integrity, paired, protocols, selections, summaries, texts, vectors  # noqa: F401
+from . import comparisons, files, integrity, paired, protocols, selections, summaries, tasks, texts, vectors  # noqa: F401
 from .catalog import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays as arr
-from ..functions import code, rules
+from ..functions import code, programs, rules
 from ..functions import text as tx
 from ..operators.mutations import mutate
 from ..session import load
@@ -24,10 +24,10 @@ def think_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.length(tx.strip_thinking(marked)).cast("long").alias("size"), F.md5(tx.squeezed(F.col("text"))).alias("squeezed"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
+@query(r"""WITH p AS (SELECT doc_id, regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]') AS p FROM documents), l AS (SELECT doc_id, CASE WHEN p[-1] = '' THEN p[:-2] ELSE p END AS l FROM p)
 SELECT doc_id, len(l) AS lines, len(list_filter(l, lambda x: starts_with(trim(x), 'for ') OR starts_with(trim(x), 'with ') OR starts_with(trim(x), 'from ') OR starts_with(trim(x), 'if ') OR regexp_matches(trim(x), '^[A-Za-z_][A-Za-z0-9_,\s\[\]]*\s*='))) AS code_lines FROM l""")
 def line_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lines that look like code."""
+    """lines, of which a final line end opens none, and those that look like code."""
     return _docs(spark, sf_dir).select("doc_id", F.size(tx.lines(F.col("text"))).cast("long").alias("lines"), tx.code_score(F.col("text")).cast("long").alias("code_lines"))
 
 
@@ -85,25 +85,25 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a.item_id").alias("left"), F.col("b.item_id").alias("right"), F.round(tx.token_distance(F.col("a.text"), F.col("b.text")), 9).alias("distance"))
 
 
-NAMES = [
-    "nl_only", "nl_tests", "shuffled_tests", "irrelevant_tests", "asserts_only", "test_names_only", "nl_tests_3", "nl_tests_k5", "nl_tests_all", "nl_tests_kall", "nl_tests_high2", "nl_tests_highall",
-    "asserts_only_diverse10", "test_names_only_lowall", "shuffled_tests_k0", "irrelevant_tests_12", "shuffled_tests_high2", "nl_only_3", "foo_3", "foo", "nl_tests_", "nl_tests_k", "nl_tests_-1", "nl_tests_high", "asserts_diverse10", "",
-]
+BASES = ["nl_only", "nl_tests", "shuffled_tests", "irrelevant_tests", "asserts_only", "test_names_only", "asserts", ""]
+SUFFIXES = ["", "_#", "_k#", "_all", "_high#", "_lowall", "_diverse0#", "_#\n", "_-#", "_300000000#", "_k99999999999999999999999999999#", "_high"]
 
 
 @query(f"""
-WITH c AS (SELECT unnest({NAMES}) AS c), m AS (
-  SELECT c, regexp_extract(c, '^(nl_tests|asserts_only|test_names_only|shuffled_tests|irrelevant_tests)_k?([0-9]+|all)$', ['base', 'n']) AS x,
-    regexp_extract(c, '^(nl_tests|asserts_only|test_names_only)_(high|low|diverse)([0-9]+|all)$', ['base', 'quality', 'n']) AS y FROM c
+WITH c AS (SELECT p_partkey, ({BASES})[CAST(p_partkey % 8 + 1 AS INT)] || replace(({[x.strip() for x in SUFFIXES]})[CAST(p_partkey // 8 % 12 + 1 AS INT)], '#', CAST(p_size AS VARCHAR)) || CASE WHEN p_partkey // 8 % 12 = 7 THEN chr(10) ELSE '' END AS c FROM part), m AS (
+  SELECT p_partkey, c, regexp_extract(c, '^(nl_tests|asserts_only|test_names_only|shuffled_tests|irrelevant_tests)_k?([0-9]+|all)\n?$', ['base', 'n']) AS x,
+    regexp_extract(c, '^(nl_tests|asserts_only|test_names_only)_(high|low|diverse)([0-9]+|all)\n?$', ['base', 'quality', 'n']) AS y FROM c
 )
-SELECT c AS condition, CASE WHEN c IN ('nl_only', 'nl_tests', 'shuffled_tests', 'irrelevant_tests', 'asserts_only', 'test_names_only') THEN c WHEN x.base <> '' THEN x.base WHEN y.base <> '' THEN y.base END AS base,
-  CASE WHEN c IN ('nl_only', 'nl_tests', 'shuffled_tests', 'irrelevant_tests', 'asserts_only', 'test_names_only') OR x.base <> '' THEN 'original' WHEN y.base <> '' THEN y.quality END AS quality,
-  TRY_CAST(CASE WHEN x.base <> '' THEN x.n WHEN y.base <> '' THEN y.n END AS INT) AS n FROM m
+SELECT p_partkey, c AS condition, CASE WHEN list_contains({BASES[:6]}, c) THEN c WHEN x.base <> '' THEN x.base WHEN y.base <> '' THEN y.base END AS base,
+  CASE WHEN list_contains({BASES[:6]}, c) OR x.base <> '' THEN 'original' WHEN y.base <> '' THEN y.quality END AS quality,
+  CAST(CASE WHEN v > 2147483647 THEN 2147483647 ELSE v END AS INT) AS n FROM (SELECT *, TRY_CAST(CASE WHEN x.base <> '' THEN x.n WHEN y.base <> '' THEN y.n END AS HUGEINT) AS v FROM m)
 """)
 def condition_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F23."""
-    spec = tx.condition_spec(F.col("condition"))
-    return spark.createDataFrame([(c,) for c in NAMES], "condition string").withColumn("spec", spec).select("condition", "spec.*")
+    """names made of each part's key and size: with counts beyond any type, and line feeds behind them."""
+    base = F.element_at(F.array(*map(F.lit, BASES)), (F.col("p_partkey") % 8 + 1).cast("int"))
+    suffix = F.element_at(F.array(*map(F.lit, SUFFIXES)), (F.floor(F.col("p_partkey") / 8) % 12 + 1).cast("int"))
+    rows = load(spark, sf_dir, "part").select("p_partkey", F.concat(base, F.replace(suffix, F.lit("#"), F.col("p_size").cast("string"))).alias("condition"))
+    return rows.select("*", tx.condition_spec(F.col("condition")).alias("spec")).select("p_partkey", "condition", "spec.*")
 
 
 @query("SELECT n_name AS name, CAST(list_reduce(list_prepend(0::BIGINT, list_transform(string_split(n_name, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda t, c: (t * 131 + c) % 2147483647) AS BIGINT) AS seed FROM nation")
@@ -166,12 +166,13 @@ def authored_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT a, b, CAST(floor(a / b) AS BIGINT) AS floor_q, CAST(trunc(a / b) AS BIGINT) AS trunc_q, CAST(((a % b) + b) % b AS BIGINT) AS floor_r, CAST(a % b AS BIGINT) AS signed_r FROM (SELECT CAST(unnest([-7, 7, -6, 5, 0]) AS BIGINT) AS a, CAST(3 AS BIGINT) AS b)")
+@query("""WITH d AS (SELECT o_orderkey, o_orderkey % 31 - 15 AS a, CASE WHEN o_custkey % 2 = 0 THEN 3 ELSE -4 END AS b FROM orders)
+SELECT o_orderkey, CAST(floor(a / b) AS BIGINT) AS floor_q, CAST(trunc(a / b) AS BIGINT) AS trunc_q, CAST(a - b * floor(a / b) AS BIGINT) AS floor_r, CAST(a - b * trunc(a / b) AS BIGINT) AS signed_r FROM d""")
 def division_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """quotients and remainders of negative numbers."""
-    rows = spark.createDataFrame([(a, 3) for a in (-7, 7, -6, 5, 0)], "a long, b long")
+    """quotients and remainders, with negative numbers on both sides."""
+    rows = load(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 31 - 15).alias("a"), F.when(F.col("o_custkey") % 2 == 0, 3).otherwise(-4).cast("long").alias("b"))
     a, b = F.col("a"), F.col("b")
-    return rows.select("a", "b", rules.floor_quotient(a, b).alias("floor_q"), rules.truncated_quotient(a, b).alias("trunc_q"), rules.floor_remainder(a, b).alias("floor_r"), rules.signed_remainder(a, b).alias("signed_r"))
+    return rows.select("o_orderkey", rules.floor_quotient(a, b).alias("floor_q"), rules.truncated_quotient(a, b).alias("trunc_q"), rules.floor_remainder(a, b).alias("floor_r"), rules.signed_remainder(a, b).alias("signed_r"))
 
 
 @query("SELECT p_partkey, (length(p_name) - length(replace(p_name, 'r', ''))) AS separate, (length(p_name) - length(replace(lower(p_name), 'r', ''))) AS any_case, array_to_string(list_filter(string_split(p_name, ' '), lambda x: x <> ''), '|') AS fields, regexp_replace(p_brand, '[^0-9A-Za-z]', '', 'g') AS alnum, regexp_replace(p_brand, '[^A-Za-z]', '', 'g') AS alpha FROM part")
@@ -181,24 +182,18 @@ def string_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").select("p_partkey", rules.separate_count(name, r).cast("long").alias("separate"), rules.separate_count_any_case(name, r).cast("long").alias("any_case"), F.array_join(rules.full_fields(name), "|").alias("fields"), rules.alphanumeric(F.col("p_brand")).alias("alnum"), rules.alphabetic(F.col("p_brand")).alias("alpha"))
 
 
-_PROGRAMS = [
-    ("total", "def f(xs):\n    return sum(x for x in xs if x > 2)\n"),
-    ("first", "def f(xs, n):\n    for i in range(n):\n        if xs[i] == n and n > 0:\n            return i\n    return -1\n"),
-    ("words", "def f(s):\n    if s.startswith('ab'):\n        return s.lower()\n    else:\n        return sorted(s.split(), key=len)\n"),
-]
-
-
 @query()
 def mutants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Single-edit mutants of authored programs, in both families."""
-    rows = spark.createDataFrame(_PROGRAMS, "key string, code string")
+    """Single-edit mutants, in both families, of a program for each part, with its size and words."""
+    code = F.format_string("def f(xs, s):\n    for i in range(%d):\n        if xs[i] > %d and s.startswith('%s'):\n            return sum(xs)\n    return sorted(s.split(), key=len)\n", F.col("p_size"), F.col("p_size") + 1, F.regexp_replace("p_name", "[^a-z]", ""))
+    rows = load(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("key"), code.alias("code"))
     return mutate(rows, "key", "code", "selection").unionAll(mutate(rows, "key", "code", "validation"))
 
 
 @query()
 def test_keys_and_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Functions that need Python's parser."""
+    """F15, F28, F32, F42, and F18's reasons: functions that need Python's parser."""
     number = F.pmod("event_id", F.lit(50)).cast("string")
     rows = load(spark, sf_dir, "events").select("event_id", F.concat(F.lit("assert  f([1,2, "), number, F.lit("]) == 'x'")).alias("test"), F.concat(F.lit("["), number, F.lit(", 'a']")).alias("literal"))
     name = F.lit("f")
-    return rows.select("event_id", code.normalized_test(F.col("test")).alias("key"), F.round(code.quality_score(F.col("test")), 9).alias("quality"), code.wrong_literal(F.col("literal")).alias("wrong"), code.arguments(F.col("test"), name).alias("arguments"), code.reason(F.col("test"), name).alias("reason"))
+    return rows.select("event_id", code.normalized_test(F.col("test")).alias("key"), F.round(code.quality_score(F.col("test")), 9).alias("quality"), code.wrong_literal(F.col("literal")).alias("wrong"), code.arguments(F.col("test"), name).alias("arguments"), programs.reason(F.col("test"), name).alias("reason"))
