@@ -56,6 +56,11 @@ def uneven_repeats(df: DataFrame, task: str) -> DataFrame:
     return counts.join(F.broadcast(least), F.col("n") != F.col("least")).select(task, "n", "least")  # one row is broadcast
 
 
+def several_values_by(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """V7 for each key: keys with more than one value of a column, and two of them."""
+    return df.groupBy(*keys).agg(F.min(column).alias("least"), F.max(column).alias("most")).where("least <> most")
+
+
 def several_values(df: DataFrame, column: str) -> DataFrame:
     """The distinct values of a column that should have one; empty if it has."""
     values = df.select(column).distinct()

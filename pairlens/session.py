@@ -28,8 +28,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; a temporary folder only for a local session without one."""
+def scratch(spark: SparkSession, name: str, kept: bool = False) -> str:
+    """A new path in the folder that all executors share; a temporary folder only for a local session without one. Unless ``kept``, it goes with the driver."""
     conf = spark.sparkContext.getConf()
     folder = conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -37,6 +37,8 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="pairlens-")
     path = f"{folder}/pairlens/{name}-{uuid.uuid4().hex}"
+    if kept:
+        return path
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return path

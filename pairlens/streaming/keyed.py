@@ -42,7 +42,7 @@ def reject_duplicates(batch: DataFrame, seen: DataFrame, keys: list[str]) -> Non
 @contextmanager
 def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
     """Settings of the session for a while; what they were comes back."""
-    before = {k: spark.conf.get(k, None) for k in wanted}
+    before = {k: spark.conf.getAll.get(k) for k in wanted}  # None where nobody set it
     for k, v in wanted.items():
         spark.conf.set(k, v)
     try:
