@@ -11,24 +11,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stored
 from .constraints import duplicate_keys, require
 
 
+def _ranged(df: DataFrame, *order: str) -> DataFrame:
+    """df dealt out by ranges of an order, sorted within them, with each row's range and its _id within it (rising, with gaps), as a written table.
+
+    It is written once because ranges are cut at sampled values: planned twice in one query, the same rows may be dealt out in two ways.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return stored(ranged.withColumn("_range", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()), "ranges")
+
+
+def _offsets(ranged: DataFrame, value: Column) -> DataFrame:
+    """_range, _first (its least _id), _before (the sum of a value over the ranges before it): a row for each range."""
+    totals = ranged.groupBy("_range").agg(value.alias("_sum"), F.min("_id").alias("_first"))
+    before = F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    return F.broadcast(totals.select("_range", "_first", F.coalesce(before, F.lit(0)).alias("_before")))
+
+
 def placed(df: DataFrame, order: list[str], name: str = "place") -> DataFrame:
     """Each row's place (from 0) in a global order, without one task that sees all rows.
 
     Rows are dealt out by ranges of the order and numbered within their range; ranges before it are counted in a small table.
     """
-    ranged = df.repartitionByRange(_ranges(df), *order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.withColumn("_before", before).select("_range", "_first", "_before")  # a row for each range
-    return ranged.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_before") + F.col("_id") - F.col("_first")).drop("_range", "_id", "_first", "_before")
-
-
-def _ranges(df: DataFrame) -> int:
-    """A fixed number of ranges: with one, partitions are not merged later, and their ids stay."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = _ranged(df, *order)
+    return ranged.join(_offsets(ranged, F.count("*")), "_range").withColumn(name, F.col("_before") + F.col("_id") - F.col("_first")).drop("_range", "_id", "_first", "_before")
 
 
 def running_before(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
@@ -36,12 +46,10 @@ def running_before(df: DataFrame, order: str, value: str, name: str) -> DataFram
 
     Sums run within ranges of the order; what lies before a range is added from a table with a row for each range.
     """
-    ranged = df.repartitionByRange(_ranges(df), order).withColumn("_range", F.spark_partition_id())
-    totals = ranged.groupBy("_range").agg(F.sum(value).alias("_sum"))
-    before = F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = totals.select("_range", before.alias("_before"))  # a row for each range
-    inside = F.coalesce(F.sum(value).over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranged.withColumn("_inside", inside).join(F.broadcast(offsets), "_range").withColumn(name, F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_before")
+    ranged = _ranged(df, order)
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("_range").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = ranged.withColumn("_inside", inside).join(_offsets(ranged, F.sum(value)), "_range").withColumn(name, F.col("_before") + F.col("_inside"))
+    return out.drop("_range", "_id", "_first", "_inside", "_before")
 
 
 def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import arrays as arr
 from ..functions import conditions, programs
 from ..functions import text as tx
-from ..operators import models
+from ..operators import matching, models
+from ..operators.selection import top_k
 from ..session import load
 from .catalog import query
 
@@ -88,3 +89,22 @@ def stratified_group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events dealt to five folds by their type."""
     return models.stratified_folds(load(spark, sf_dir, "events"), "event_id", "event_type", 5, "7")
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_custkey, o_orderpriority AS mode, o_orderstatus AS profile, CAST(round(ln(o_totalprice) * 1000000) AS BIGINT) AS size, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM orders), t AS (SELECT * FROM o WHERE p <= 3),
+j AS (SELECT a.o_custkey AS k, a.p, b.o_orderkey AS donor, a.profile = b.profile AS alike, row_number() OVER (PARTITION BY a.o_orderkey ORDER BY a.profile <> b.profile, abs(a.size - b.size) + abs(a.o_custkey % 10 - b.o_custkey % 10) * 50, b.o_orderkey) AS r
+  FROM t a JOIN t b ON a.mode = b.mode AND a.o_custkey <> b.o_custkey),
+l AS (SELECT k, p, list({'d': donor, 'a': alike} ORDER BY r) AS c FROM j WHERE r <= p GROUP BY k, p),
+x AS (SELECT a.k, a.c[1] AS c1, list_filter(b.c, lambda v: a.c IS NULL OR v.d <> a.c[1].d)[1] AS c2, c.c AS c3 FROM (SELECT DISTINCT k FROM l) z LEFT JOIN l a ON a.k = z.k AND a.p = 1 LEFT JOIN l b ON b.k = z.k AND b.p = 2 LEFT JOIN l c ON c.k = z.k AND c.p = 3),
+y AS (SELECT k, 1 AS p, c1 AS c FROM x UNION ALL SELECT k, 2, c2 FROM x UNION ALL SELECT k, 3, list_filter(c3, lambda v: v.d <> c1.d AND (c2 IS NULL OR v.d <> c2.d))[1] FROM x)
+SELECT k AS o_custkey, CAST(p AS INT) AS position, c.d AS donor, CASE WHEN c.a THEN 0 ELSE 1 END AS level FROM y WHERE c.d IS NOT NULL""")
+def donors_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's first three orders take donors among other customers' orders: of the same priority, rather of the same status, then nearest in price;
+    no donor twice for a customer, though two of its orders may want the same one."""
+    rows = top_k(load(spark, sf_dir, "orders"), ["o_custkey"], [F.col("o_orderkey")], 3, "position")
+    size = F.round(F.log("o_totalprice") * 1000000).cast("long")
+    left = rows.select("o_orderkey", "o_custkey", "position", F.col("o_orderpriority").alias("mode"), F.col("o_orderstatus").alias("profile"), size.alias("size"))
+    right = left.select(F.col("o_orderkey").alias("donor"), F.col("o_custkey").alias("d_custkey"), "mode", "profile", F.col("size").alias("d_size"))
+    extra = F.abs(F.col("o_custkey") % 10 - F.col("d_custkey") % 10) * 50
+    found = matching.nearest(left, right, "o_orderkey", "donor", "size", "d_size", F.col("position"), [["mode", "profile"], ["mode"]], extra=extra, allowed=F.col("o_custkey") != F.col("d_custkey"))
+    return matching.chosen(found.join(left.select("o_orderkey", "o_custkey", "position"), "o_orderkey"), "o_custkey", "position", "rank", "donor", ["level"])

@@ -42,3 +42,10 @@ def scratch(spark: SparkSession, name: str, kept: bool = False) -> str:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the folder that all executors share, read again: computed once, and no longer dependent on what it came from."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
