@@ -105,9 +105,16 @@ def ridge_predictions(k: np.ndarray, y: np.ndarray, cross: np.ndarray, alpha: fl
     return np.clip(y.mean() + test / scale @ w, 0, 1)
 
 
+#: Rows of a kernel in one task: 800 MB.
+MOST_ROWS = 10_000
+
+
 def nested_ridge(df: DataFrame, key: str, family: str, fold: str, vector: str, truth: str, alphas: list[float]) -> DataFrame:
     """M8: out-of-fold predictions; each outer fold takes the alpha of least mean absolute error over inner leave-one-fold-out runs, ties to
-    the larger one. The rows are copied once for each outer fold, a fold's run is one task."""
+    the larger one. The rows are copied once for each outer fold, a fold's run is one task, which holds the kernel of all rows: for MOST_ROWS rows at most, more
+    raise; nested_ridge_by_moments() takes any number."""
+    if (n := df.count()) > MOST_ROWS:
+        raise ValueError(f"{n} rows; nested_ridge_by_moments() takes more than {MOST_ROWS}")
     outer = df.select(F.col(fold).alias("outer")).distinct()
     rows = df.select(F.col(key).cast("string").alias("key"), F.col(fold).cast("int").alias("fold"), F.col(vector).alias("x"), F.col(truth).cast("double").alias("y")).crossJoin(F.broadcast(outer))  # k rows
 
@@ -147,30 +154,49 @@ def summed(df: DataFrame, sums, size: int) -> np.ndarray:
     return out
 
 
-def _folded_rows(df: DataFrame, key: str, fold: str, vector: str, y: Column) -> tuple[DataFrame, list[int], int]:
-    """The rows as key, fold, x, y; their folds and the length of the vectors."""
-    rows = df.select(F.col(key).cast("string").alias("key"), F.col(fold).cast("int").alias("fold"), F.col(vector).cast("array<double>").alias("x"), y.alias("y"))
-    facts = rows.groupBy("fold").agg(F.max(F.size("x")).alias("d")).collect()  # folds: few
-    return rows, sorted(r["fold"] for r in facts), max((r["d"] for r in facts), default=0)
+def _folded_rows(df: DataFrame, key: str, fold: str, vector: str, y: Column, layer: str | None = None) -> tuple[DataFrame, list[int], list[int], int]:
+    """The rows as key, layer (0 without one), fold, x, y; their layers and folds, which are few, and the length of the vectors."""
+    level = F.lit(0) if layer is None else F.col(layer).cast("int")
+    rows = df.select(F.col(key).cast("string").alias("key"), level.alias("layer"), F.col(fold).cast("int").alias("fold"), F.col(vector).cast("array<double>").alias("x"), y.alias("y"))
+    facts = rows.groupBy("layer", "fold").agg(F.max(F.size("x")).alias("d")).collect()
+    return rows, sorted({r["layer"] for r in facts}), sorted({r["fold"] for r in facts}), max((r["d"] for r in facts), default=0)
+
+
+#: Numbers in the moments of all layers and folds, which the driver holds: 800 MB.
+MOST_MOMENTS = 100_000_000
 
 
-def nested_ridge_by_moments(df: DataFrame, key: str, family: str, fold: str, vector: str, truth: str, alphas: list[float]) -> DataFrame:
-    """M8 for many rows with vectors of moderate length: nested_ridge()'s result from each fold's moments, since the kernel is linear.
+def nested_ridge_by_moments(df: DataFrame, key: str, family: str, fold: str, vector: str, truth: str, alphas: list[float], layer: str | None = None) -> DataFrame:
+    """M8 for many rows with vectors of moderate length: nested_ridge()'s result from the moments of each layer and fold, since the kernel is linear.
 
-    One pass sums the moments, one the inner runs' absolute errors, one predicts; no fold's rows come together.
+    One pass sums the moments, one the inner runs' absolute errors, one predicts; no fold's rows come together. With ``layer``, each row is one layer's vector of a key:
+    every outer fold takes the layer and alpha of least inner error, of equal ones the larger alpha, then the smaller layer, and what comes
+    out are the rows of that layer.
     """
-    rows, names, d = _folded_rows(df, key, fold, vector, F.col(truth).cast("double"))
+    rows, layers, names, d = _folded_rows(df, key, fold, vector, F.col(truth).cast("double"), layer)
     width = d + 2  # x, 1, y
+    if len(layers) * len(names) * width * width > MOST_MOMENTS:
+        raise ValueError(f"{len(layers)} layers and {len(names)} folds of vectors of {d} numbers have too many moments")
+
+    def parts(b: pd.DataFrame) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Layer, fold, (x, 1) and y of a batch's rows."""
+        for (level, f), own in b.groupby(["layer", "fold"]):
+            yield level, f, np.c_[np.stack(own["x"].to_numpy()), np.ones(len(own))], own["y"].to_numpy()
+
+    places = {(level, f): i for i, (level, f) in enumerate((level, f) for level in layers for f in names)}
 
     def moments(b: pd.DataFrame) -> np.ndarray:
-        z, f = np.c_[np.stack(b["x"].to_numpy()), np.ones(len(b)), b["y"].to_numpy()], b["fold"].to_numpy()
-        return np.concatenate([(z[f == n].T @ z[f == n]).ravel() for n in names])
+        out = np.zeros((len(places), width, width))
+        for level, f, x, y in parts(b):
+            z = np.c_[x, y]
+            out[places[level, f]] += z.T @ z
+        return out.ravel()
 
-    by_fold = dict(zip(names, summed(rows, moments, len(names) * width * width).reshape(len(names), width, width)))
+    by_fold = dict(zip(places, summed(rows, moments, len(places) * width * width).reshape(len(places), width, width)))
 
-    def fitted(out: set[int], alpha: float) -> np.ndarray | None:
-        """Weights and a constant from all folds but those in out; None without rows."""
-        m = sum((by_fold[n] for n in names if n not in out), np.zeros((width, width)))
+    def fitted(level: int, out: set[int], alpha: float) -> np.ndarray | None:
+        """Weights and a constant from all folds of a layer but those in out; None without rows."""
+        m = sum((by_fold[level, n] for n in names if n not in out), np.zeros((width, width)))
         n = m[d, d]
         if not n:
             return None
@@ -182,35 +208,46 @@ def nested_ridge_by_moments(df: DataFrame, key: str, family: str, fold: str, vec
         w = np.linalg.solve(spread / scale + alpha * np.eye(d), (m[:d, d + 1] - n * mean * middle) / scale)
         return np.append(w, middle - mean @ w)
 
-    grid = [(o, i, a) for o in names for i in names if i != o for a in alphas]
-    models = [fitted({o, i}, a) for o, i, a in grid]
+    grid = [(level, o, i, a) for level in layers for o in names for i in names if i != o for a in alphas]
+    models = [fitted(level, {o, i}, a) for level, o, i, a in grid]
+    tested: dict[tuple[int, int], list[int]] = {}  # by layer and inner fold
+    for g, (level, _, i, _) in enumerate(grid):
+        if models[g] is not None:
+            tested.setdefault((level, i), []).append(g)
 
     def gaps(b: pd.DataFrame) -> np.ndarray:
-        x, y, f = np.c_[np.stack(b["x"].to_numpy()), np.ones(len(b))], b["y"].to_numpy(), b["fold"].to_numpy()
-        return np.array([0.0 if w is None else np.abs(np.clip(x[f == i] @ w, 0, 1) - y[f == i]).sum() for (_, i, _), w in zip(grid, models)])
+        out = np.zeros(len(grid))
+        for level, f, x, y in parts(b):
+            for g in tested.get((level, f), []):
+                out[g] += np.abs(np.clip(x @ models[g], 0, 1) - y).sum()
+        return out
 
     missed = summed(rows, gaps, len(grid)) if grid else []
-    chosen: dict[int, tuple[float, np.ndarray | None]] = {}
+    chosen: dict[int, tuple[int, float, np.ndarray | None]] = {}
     for o in names:
         scores = []
-        for alpha in alphas:
-            at = [g for g, (p, _, a) in enumerate(grid) if p == o and a == alpha and models[g] is not None]
-            n = sum(by_fold[grid[g][1]][d, d] for g in at)
-            scores.append((sum(missed[g] for g in at) / n if n else 0.0, -alpha))
-        alpha = -min(scores)[1]
-        chosen[o] = (alpha, fitted({o}, alpha))
+        for level in layers:
+            for alpha in alphas:
+                at = [g for g, (v, p, _, a) in enumerate(grid) if v == level and p == o and a == alpha and models[g] is not None]
+                n = sum(by_fold[level, grid[g][2]][d, d] for g in at)
+                # rounded, as sums in any order differ in their last digits, and ties are to be seen
+                scores.append((round(float(sum(missed[g] for g in at)) / n, 12) if n else 0.0, -alpha, level))
+        _, alpha, level = min(scores)
+        chosen[o] = (level, -alpha, fitted(level, {o}, -alpha))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            b = b[[chosen[f][0] == level for f, level in zip(b["fold"], b["layer"])]]
             if len(b):
                 x, f = np.c_[np.stack(b["x"].to_numpy()), np.ones(len(b))], b["fold"].to_numpy()
                 alpha, predicted = np.full(len(b), np.nan), np.full(len(b), np.nan)
-                for o, (a, w) in chosen.items():
+                for o, (_, a, w) in chosen.items():
                     if w is not None:
                         alpha[f == o], predicted[f == o] = a, np.clip(x[f == o] @ w, 0, 1)
-                yield pd.DataFrame({"key": b["key"], "outer": f, "alpha": alpha, "predicted": predicted, "truth": b["y"]})
+                yield pd.DataFrame({"key": b["key"], "layer": b["layer"], "outer": f, "alpha": alpha, "predicted": predicted, "truth": b["y"]})
 
-    return rows.mapInPandas(run, "key string, outer int, alpha double, predicted double, truth double")
+    out = rows.mapInPandas(run, "key string, layer int, outer int, alpha double, predicted double, truth double")
+    return out.drop("layer") if layer is None else out
 
 
 def label_index(df: DataFrame, label: str) -> Column:
@@ -231,7 +268,7 @@ def logistic_probe(df: DataFrame, key: str, fold: str, vector: str, label: str,
 
     Each Newton step of all folds is one pass of sums over the rows; no fold's rows come together.
     """
-    rows, names, d = _folded_rows(df, key, fold, vector, F.col(label).cast("int").cast("double"))
+    rows, _, names, d = _folded_rows(df, key, fold, vector, F.col(label).cast("int").cast("double"))
     k, width = len(names), d + 1
 
     def parts(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -27,6 +27,42 @@ def test_ridge_by_moments_is_kernel_ridge(spark):
     assert all(got[k].alpha == want[k].alpha and got[k].outer == want[k].outer and abs(got[k].predicted - want[k].predicted) < 1e-9 for k in want)
 
 
+def plain_layers(rows, alphas):
+    """rows: (id, layer, fold, x, y). Kernel ridge of each layer, layer and alpha by inner errors; ties: larger alpha, smaller layer."""
+    out, folds = {}, sorted({r[2] for r in rows})
+    by = {v: [r for r in rows if r[1] == v] for v in sorted({r[1] for r in rows})}
+
+    def predict(level, train, test, alpha):
+        a, b = (np.array([r[3] for r in by[level] if r[2] in f]) for f in (train, test))
+        return models.ridge_predictions(a @ a.T, np.array([r[4] for r in by[level] if r[2] in train]), b @ a.T, alpha)
+
+    for o in folds:
+        rest, scores = [f for f in folds if f != o], []
+        for level in by:
+            for alpha in alphas:
+                gaps = [abs(p - y) for i in rest for p, y in zip(predict(level, [f for f in rest if f != i], [i], alpha), [r[4] for r in by[level] if r[2] == i])]
+                scores.append((round(float(np.mean(gaps)), 12), -alpha, level))
+        _, alpha, level = min(scores)
+        for r, p in zip([r for r in by[level] if r[2] == o], predict(level, rest, [o], -alpha)):
+            out[str(r[0])] = (level, o, -alpha, p)
+    return out
+
+
+def test_layers_and_alphas_as_brute_force(spark):
+    """The second layer tells most; the fourth repeats it, and gives way; a constant layer ties for all alphas."""
+    rng = np.random.default_rng(8)
+    y = rng.random(60)
+    x = rng.normal(size=(60, 3, 4))
+    x[:, 1, 0] += 8 * y
+    rows = [(i, v, i % 4, [float(t) for t in (np.ones(4) if v == 2 else x[i, 1 if v == 3 else v])], float(y[i])) for i in range(60) for v in range(4)]
+    frame = lambda own: spark.createDataFrame(own, "id long, layer int, fold int, x array<double>, y double").repartition(3)
+    for own in (rows, [r for r in rows if r[1] == 2], [r for r in rows if r[1] != 1]):
+        got = {r.key: (r.layer, r.outer, r.alpha, r.predicted) for r in models.nested_ridge_by_moments(frame(own), "id", "id", "fold", "x", "y", [0.01, 1.0, 5.0], layer="layer").collect()}
+        want = plain_layers(own, [0.01, 1.0, 5.0])
+        assert set(got) == set(want) and len(got) == 60
+        assert all(got[k][:3] == want[k][:3] and abs(got[k][3] - want[k][3]) < 1e-8 for k in want)
+
+
 def test_logistic_probe(spark):
     rows, df = table(spark)
     got = {int(r.key): r.probability for r in models.logistic_probe(df, "id", "fold", "x", "high").collect()}
@@ -54,7 +90,7 @@ def test_every_vector_counts(spark):
     rows = load(spark, DIR, "embeddings")
     ids = {r[0] for r in rows.select("vec_id").collect()}
     of_label = [r[0] for r in rows.groupBy("label").count().select("count").collect()]
-    for name in ("kernel_ridge_cv", "logistic_probe"):
+    for name in ("kernel_ridge_cv", "logistic_probe", "layer_ridge_cv"):
         assert {int(r.key) for r in registry.QUERIES[name](spark, DIR).select("key").collect()} == ids
     assert registry.QUERIES["gram_matrix"](spark, DIR).count() == sum(n * (n + 1) // 2 for n in of_label)
     assert registry.QUERIES["same_vs_different"](spark, DIR).where(F.col("difference").isNotNull()).count() == sum(-(-n // 4) for n in of_label)
