@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from array import array
+from collections import Counter
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -52,6 +54,20 @@ def running_before(df: DataFrame, order: str, value: str, name: str) -> DataFram
     return out.drop("_range", "_id", "_first", "_inside", "_before")
 
 
+def filled_down(df: DataFrame, order: str, column: str) -> DataFrame:
+    """df with each null of a column replaced by the last value before it in a global order, if there is any; ``order`` is unique in df.
+
+    Values are carried within ranges of the order, and from range to range in a table with a row for each range.
+    """
+    ranged = _ranged(df, order)
+    last = F.max_by(column, F.when(F.col(column).isNotNull(), F.col("_id")))
+    carried = ranged.groupBy("_range").agg(last.alias("_last"))
+    before = F.last("_last", ignorenulls=True).over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = F.broadcast(carried.select("_range", before.alias("_carried")))
+    inside = F.last(column, ignorenulls=True).over(Window.partitionBy("_range").orderBy("_id").rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("_inside", inside).join(offsets, "_range").withColumn(column, F.coalesce("_inside", "_carried")).drop("_range", "_id", "_inside", "_carried")
+
+
 def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group by the order."""
     w = Window.partitionBy(*group).orderBy(*order)
@@ -149,24 +165,50 @@ def diverse_order(df: DataFrame, group: str | list[str], text: str, score: str,
     return df.select(*columns).groupBy(*groups).applyInPandas(order, schema)
 
 
+def _upper_median_total(sizes: list[int], k: int) -> int:
+    """The upper median of the totals of all subsets of k sizes, from how many subsets have each total: none is built."""
+    counts = [Counter() for _ in range(k + 1)]
+    counts[0][0] = 1
+    for size in sizes:
+        for j in range(k, 0, -1):
+            for total, n in counts[j - 1].items():
+                counts[j][total + size] += n
+    place = comb(len(sizes), k) // 2
+    for total in sorted(counts[k]):
+        place -= counts[k][total]
+        if place < 0:
+            return total
+    raise ValueError("fewer sizes than a subset needs")
+
+
 def best_subset(df: DataFrame, group: list[str], item: str, size: str, covered: str, k: int = 3, highest: bool = True) -> DataFrame:
     """In each group the k items that together cover most (or least), among those of about the middle total size.
 
-    A group's items are collected (they are few: at most some dozens); the subsets are built as a table of index combinations.
-    Only subsets whose total size is within max(1, 15 %) of the upper median total are looked at; ties go to the first items by order.
+    A group's items are few (at most some dozens) and one task's; its subsets are gone through one after the other, the best one so far kept.
+    Only subsets whose total size is within max(1, 15 %) of the upper median total are looked at; ties go to the first items by order. A null
+    set covers nothing; a group of fewer items has no row.
     """
-    items = df.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(item).alias("i"), F.col(size).cast("long").alias("s"), F.array_sort(covered).alias("c")))).alias("_items"))
-    counts = [r[0] for r in items.select(F.size("_items")).distinct().collect()]  # distinct group sizes: bounded by the largest group
-    plans = {n: list(combinations(range(n), k)) for n in counts if n >= k}
-    if not plans:
-        return items.select(*group, F.array().cast("array<string>").alias("chosen"), F.lit(0).alias("n_covered"), F.lit(0).cast("long").alias("total_size")).limit(0)
-    spark = df.sparkSession
-    table = spark.createDataFrame([(n, list(c)) for n, found in plans.items() for c in found], "_n int, _index array<int>")
-    rows = items.withColumn("_n", F.size("_items")).join(F.broadcast(table), "_n")
-    pick = F.transform("_index", lambda i: F.get("_items", i))
-    rows = rows.withColumn("_pick", pick).select(*group, "_index", F.transform("_pick", lambda x: x["i"]).alias("chosen"), F.aggregate("_pick", F.lit(0).cast("long"), lambda t, x: t + x["s"]).alias("total_size"), F.size(F.array_distinct(F.flatten(F.transform("_pick", lambda x: x["c"])))).alias("n_covered"))
-    whole = Window.partitionBy(*group)
-    upper = F.element_at(F.array_sort(F.collect_list("total_size").over(whole)), F.floor(F.count("*").over(whole) / 2).cast("int") + 1)
-    rows = rows.withColumn("_middle", upper).where(F.abs(F.col("total_size") - F.col("_middle")) <= F.greatest(F.lit(1.0), 0.15 * F.col("_middle")))
-    order = [F.col("n_covered").desc() if highest else F.col("n_covered"), F.col("_index")]
-    return top_k(rows, group, order, 1, "_r").select(*group, "chosen", "n_covered", "total_size")
+    rows = df.select(*group, F.col(item).alias("i"), F.col(size).cast("long").alias("s"), F.array_sort(F.coalesce(covered, F.array().cast(df.schema[covered].dataType))).alias("c"))
+    schema = T.StructType([*(df.schema[g] for g in group), T.StructField("chosen", T.ArrayType(df.schema[item].dataType)), T.StructField("n_covered", T.IntegerType()), T.StructField("total_size", T.LongType())])
+
+    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        own = sorted(zip(own["i"], map(int, own["s"]), map(tuple, own["c"])))
+        if len(own) < k:
+            return pd.DataFrame(columns=schema.names)
+        bits: dict = {}
+        sets = [sum(1 << bits.setdefault(x, len(bits)) for x in set(c)) for _, _, c in own]
+        sizes = [s for _, s, _ in own]
+        middle = _upper_median_total(sizes, k)
+        reach, best = max(1.0, 0.15 * middle), None
+        for at in combinations(range(len(own)), k):
+            total = sum(sizes[i] for i in at)
+            if abs(total - middle) <= reach:
+                union = 0
+                for i in at:
+                    union |= sets[i]
+                n = union.bit_count()
+                if best is None or (n > best[0] if highest else n < best[0]):
+                    best = n, at, total
+        return pd.DataFrame([(*key, [own[i][0] for i in best[1]], best[0], best[2])], columns=schema.names)
+
+    return rows.groupBy(*group).applyInPandas(run, schema)

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays as arr
-from ..functions import conditions, programs
+from ..functions import conditions, programs, scans
 from ..functions import text as tx
 from ..operators import matching, models
 from ..operators.selection import top_k
-from ..session import load
+from ..session import load, scratch
+from ..sources import records
 from .catalog import query
 
 _CONDITIONS = ["nl_only", "nl_tests_2", "shuffled_tests", "irrelevant_tests_k1", "test_names_only_3", "asserts_only", "nl_tests_all"]
@@ -108,3 +109,68 @@ def donors_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = F.abs(F.col("o_custkey") % 10 - F.col("d_custkey") % 10) * 50
     found = matching.nearest(left, right, "o_orderkey", "donor", "size", "d_size", F.col("position"), [["mode", "profile"], ["mode"]], extra=extra, allowed=F.col("o_custkey") != F.col("d_custkey"))
     return matching.chosen(found.join(left.select("o_orderkey", "o_custkey", "position"), "o_orderkey"), "o_custkey", "position", "rank", "donor", ["level"])
+
+
+@query(r"""SELECT event_id, '{"a":"' || event_type || ']["}' || CASE WHEN event_id % 2 = 0 THEN '|[' || event_id || ']' ELSE '' END AS cases, len(event_type) > 0 AS found,
+  CASE WHEN event_id % 2 = 0 THEN '[1] or ' || props || ' "' || event_type || '"}]' ELSE '{"x": 2' || props || '}' END AS block FROM events""")
+def reply_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the last cases of a reply, behind pieces of JSON without any; pieces within quotes; the block from its first brace on."""
+    own, number = F.col("event_type"), F.col("event_id").cast("string")
+    case = F.concat(F.lit('{"a": "'), own, F.lit(']["}'))
+    reply = F.concat(F.lit('Is [1] or {"tests": []}? "Quoted [{'), F.lit('\\" '), F.lit('", then {"tests": ['), case, F.lit(', 5]} and '), F.col("props"), F.lit(" and [[3], {"))
+    both = F.when(F.col("event_id") % 2 == 0, F.concat(reply, F.lit(" ["), number, F.lit("]"))).otherwise(reply)
+    block = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("so [1] or "), "props", F.lit(' "'), own, F.lit('"}] end'))).otherwise(F.concat(F.lit('so {"x": 2'), "props", F.lit("} end")))
+    last = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("|"), F.element_at("pieces", -1))).otherwise("")
+    rows = load(spark, sf_dir, "events").select("event_id", "props", both.alias("reply"), block.alias("block")).withColumn("pieces", scans.json_candidates(F.col("reply")))
+    return rows.select("event_id", F.concat(F.array_join(scans.reply_cases(F.col("reply")), ";"), last).alias("cases"), F.array_contains("pieces", F.col("props")).alias("found"), scans.braced_block(F.col("block")).alias("block"))
+
+
+@query("""SELECT p_partkey, 'assert f(' || p_size || ') == ' || p_brand || ' ' || p_name || ';assert g() == ' || p_size AS examples, 'def f(x):' || chr(10) || '    \"\"\"' || p_name || '.' || chr(10) || '    \"\"\"' || chr(10) || '    return x' || chr(10) AS prompt,
+  p_name || '.' || chr(10) || '    more' || chr(10) || '    \"\"\"' || chr(10) || '    return x' AS text, 'assert ' || p_size || ' == f(1)' AS listed FROM part""")
+def example_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """examples of a docstring as assertions, a head and a docstring without them, listed assertions."""
+    size = F.col("p_size").cast("string")
+    examples = F.concat(F.lit("    >>> f("), size, F.lit(")\n    "), "p_brand", F.lit("\n\n    "), "p_name", F.lit("\n    >>> h()\n    >>> g()\n    "), size, F.lit("\n"))
+    doc = F.concat("p_name", F.lit(".\n"), examples)
+    head = F.concat(F.lit('def f(x):\n    """'), doc, F.lit('    """\n    return x\n\n'))
+    text = F.concat("p_name", F.lit(".\n    >>> f("), size, F.lit(")\n    1\n\n    more\n"), F.lit('    """\n    return x\n'))
+    listed = F.concat(F.lit("Tests:\n - 1. assert "), size, F.lit(" == f(1)\nno assert\n"))
+    rows = load(spark, sf_dir, "part")
+    return rows.select(
+        "p_partkey", F.array_join(scans.example_assertions(head), ";").alias("examples"), scans.prompt_without_examples(head).alias("prompt"), scans.docstring_without_examples(text).alias("text"), F.array_join(scans.listed_assertions(listed), ";").alias("listed"),
+    )
+
+
+@query("""WITH t AS (SELECT o_custkey AS k, list(o_orderkey ORDER BY o_orderkey) AS o, list(o_orderstatus ORDER BY o_orderkey) AS s FROM orders GROUP BY 1),
+c AS (SELECT *, list_transform(range(1, len(o) + 1), lambda i: 'input: ' || o[i] || chr(10) || 'expected output: ' || s[i]) AS shown FROM t)
+SELECT CASE WHEN k % 3 = 0 THEN 'title ' || k ELSE CAST(k AS VARCHAR) END AS task_id, array_to_string(shown[1:1] || shown, '|') AS tests, 1 AS n_public, CASE WHEN k % 2 = 0 THEN 'solve' || k ELSE '' END AS entry_point,
+  '### Question: title ' || k || chr(10) || chr(10) || CASE WHEN k % 5 = 0 THEN 'Short.' ELSE 'Say ' || k || '.' END || chr(10) || chr(10) || CASE WHEN k % 2 = 0 THEN '### Starter Code' || chr(10) || '```python' || chr(10) || 'class S:' || chr(10) || '    def solve' || k || '(self):' || chr(10) || '```' || chr(10) || chr(10)
+    || '### Answer' || chr(10) || 'Complete the starter code in Python.' ELSE '### Answer' || chr(10) || 'Write a complete Python solution.' END || ' Return only the code inside a Python markdown block.' || chr(10) || '```python' || chr(10) AS prompt,
+  CASE WHEN k % 2 = 0 THEN '{"func":"solve' || k || '"}' ELSE '{}' END AS metadata FROM c""")
+def problem_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for each customer, with its first order as public case and all as private ones, written as lines of JSON and read into tasks."""
+    key, even = F.col("k").cast("string"), F.col("k") % 2 == 0
+    case = F.struct(F.col("o_orderkey").alias("input"), F.col("o_orderstatus").alias("output"))
+    rows = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.array_sort(F.collect_list(case)).alias("c"))
+    record = F.struct(
+        F.when(F.col("k") % 3 != 0, F.col("k")).alias("question_id"), F.concat(F.lit("title "), key).alias("question_title"), F.concat(F.lit("\nSay "), key, F.lit(". ")).alias("question_content"), F.when(F.col("k") % 5 == 0, "Short.").otherwise("").alias("question_content_no_public_tests"),
+        F.when(even, F.concat(F.lit("class S:\n    def solve"), key, F.lit("(self):\n\n"))).alias("starter_code"), F.to_json(F.slice("c", 1, 1)).alias("public_test_cases"), F.struct(F.col("c").alias("test_cases")).alias("private_test_cases"), F.when(even, F.concat(F.lit('{"func": "solve'), key, F.lit('"}'))).alias("metadata"),
+    )
+    path = scratch(spark, "problems")
+    rows.select(F.to_json(record).alias("value")).write.text(path)
+    tasks = records.problem_tasks(spark.read.text(path), "livecodebench")
+    return tasks.select("task_id", F.array_join("tests", "|").alias("tests"), "n_public", "entry_point", "prompt", "metadata")
+
+
+@query("""SELECT n_name AS nation, s_suppkey AS supplier, round(s_acctbal, 1) AS balance, CAST(s_nationkey AS DOUBLE) AS place FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def typeset_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as a typeset table that names each nation once, in its first row; read back with the names filled down."""
+    suppliers = load(spark, sf_dir, "supplier").join(load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name"), "s_nationkey")
+    first = suppliers.groupBy("s_nationkey").agg(F.min("s_suppkey").alias("_first"))
+    rows = suppliers.join(first, "s_nationkey")
+    line = F.concat(F.when(F.col("s_suppkey") == F.col("_first"), F.col("n_name")).otherwise(""), F.lit(" & "), F.col("s_suppkey").cast("string"), F.lit(" & "), F.round("s_acctbal", 1).cast("string"), F.lit("&"), F.col("s_nationkey").cast("double").cast("string"), F.lit(r" \\"))
+    path = scratch(spark, "table")
+    notes = spark.range(1).select(F.lit(-1).cast("long").alias("a"), F.lit(-1).cast("long").alias("b"), F.explode(F.array(F.lit(r"\toprule Nation & Supplier & Balance & Place \\"), F.lit(r"\midrule"))).alias("value"))
+    rows.select(F.col("s_nationkey").alias("a"), F.col("s_suppkey").alias("b"), line.alias("value")).unionByName(notes).orderBy("a", "b").select("value").write.text(path)
+    back = records.table_rows(spark, path, ["nation", "supplier", "balance", "place"], ["balance", "place"], ["nation"])
+    return back.withColumn("supplier", F.col("supplier").cast("long"))

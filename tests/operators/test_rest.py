@@ -53,7 +53,6 @@ def test_code_functions():
         assert type(new) is type(v) and new != v
     with pytest.raises(ValueError):
         code.corrupted(None)
-    assert code.doctests(">>> f(1)\n2\n>>> x = 1\n") == ["assert f(1) == 2"]
     assert code.type_profile((1, [2.0])) != code.type_profile([1, [2.0]])
 
 
