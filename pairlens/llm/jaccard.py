@@ -5,7 +5,8 @@ of ``k`` words. Two sets link when ``den * intersection >= num * union``.
 
 1. Equal sets are one class (a row for each, with its number of texts); only classes are joined.
 2. Every class's elements are dealt into buckets by their hashes, one of each class from a map task. A bucket counts in how many classes an
-   element stands, and gives those that stand in several back to their classes. A class of n elements links only with sets that have
+   element stands, and gives those that stand in several back to their classes. An element so common that its entries alone would weigh on a bucket (HEAVY of
+   all elements, so there are 1 / HEAVY of them at most; counted in the map tasks that read the texts first) is known to be shared: it goes straight to its class. A class of n elements links only with sets that have
    ``ceil(num / den * n)`` of them, so one with fewer shared elements than that links with nothing and is settled. Of the others,
    linked sets have one of their rarest ``n - ceil(num / den * n) + 1`` elements in common (any order that is the same for all sets does,
    the rarest first makes the fewest candidates); what is not shared counts as rarest.
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,8 @@ from .components import components, stars
 SPREAD = 1.5
 #: A map task deals its classes' elements once it holds so many.
 HELD = 800_000
+#: The share of all elements from which on an element goes straight to its classes, and the number of classes that must have it in any case.
+HEAVY, HEAVY_CLASSES = 4e-5, 64
 #: Parts in which a bucket's elements are counted, one after the other.
 PARTS = 4
 #: A tile has two slots of about so many sets and so many elements at most.
@@ -125,18 +129,62 @@ def digest_of(elements: np.ndarray) -> bytes:
     return hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
 
 
+def _common(found: list[np.ndarray]) -> tuple[bytes, bytes]:
+    """Elements that stand in many of these sets, and in how many: all that make up HEAVY of the sets' elements, so no more than 1 / HEAVY."""
+    keys, seen = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    many = seen >= max(8, HEAVY * seen.sum())
+    return keys[many].tobytes(), seen[many].astype(np.int64).tobytes()
+
+
 def profiles(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set of every text."""
+    """doc_id, n_shingles, digest of the set of every text; and, in rows without a digest, the elements (keys) that stand in many (seen) of a run's different sets."""
+    names = ["doc_id", "n_shingles", "digest", "keys", "seen"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, np.ndarray] = {}
+        size = 0
+
+        def counted() -> pa.RecordBatch:
+            keys, seen = _common(list(held.values()))
+            return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([keys], pa.binary()), pa.array([seen], pa.binary())], names)
+
         for batch in slices(batches, most=1 << 19):
             n, digests = [], []
             for own in sets(batch.column("text"), k):
                 n.append(len(own))
                 digests.append(digest_of(own))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary())], ["doc_id", "n_shingles", "digest"])
+                if len(own) and digests[-1] not in held:
+                    held[digests[-1]] = own
+                    size += len(own)
+            none = pa.nulls(len(n), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), none, none], names)
+            if size > HELD:
+                yield counted()
+                held, size = {}, 0
+        if size:
+            yield counted()
+
+    return docs.mapInArrow(released(run), "doc_id long, n_shingles long, digest binary, keys binary, seen binary")
+
+
+def heavy_elements(counted: DataFrame, elements: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows of profiles() without a digest: the elements that stand in HEAVY of all ``elements`` or more, ascending, and their rarity. At most 1 / HEAVY of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, seen in zip(batch.column("keys").to_pylist(), batch.column("seen").to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, np.int64)), pa.array(np.frombuffer(seen, np.int64))], ["key", "seen"])
+
+    each = counted.select("keys", "seen").mapInArrow(run, "key long, seen long").groupBy("key").agg(F.sum("seen").alias("seen"))
+    found = each.where(F.col("seen") >= max(HEAVY_CLASSES, HEAVY * elements)).collect()
+    keys, seen = (np.array([r[c] for r in found], np.int64) for c in ("key", "seen"))
+    order = np.argsort(keys.view(np.uint64))
+    return keys.view(np.uint64)[order], rarity_of(seen[order])
 
-    return docs.mapInArrow(released(run), "doc_id long, n_shingles long, digest binary")
+
+def rarity_of(seen: np.ndarray) -> np.ndarray:
+    """1 to 255, the rarest first, of elements that several classes have."""
+    return np.minimum(255, 8 * np.log2(np.maximum(seen, 2))).astype(np.uint8)
 
 
 def short_id(digest: bytes, start: int) -> int:
@@ -152,11 +200,12 @@ def short_ids(classes: DataFrame) -> tuple[DataFrame, int]:
     raise RuntimeError("nine ways to shorten the digests all gave equal ids to different sets")
 
 
-CHUNK = "bucket int, ids binary, sizes binary, counts binary, keys binary, places binary"
+CHUNK = "bucket int, direct boolean, ids binary, sizes binary, counts binary, keys binary, places binary"
 
 
-def _chunks(bucket: np.ndarray, node: np.ndarray, ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row for each bucket: its nodes' ids and sizes, how many elements each has there, and those, node after node.
+def _chunks(bucket: np.ndarray, node: np.ndarray, ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray, places: np.ndarray, direct: bool = False) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket: its nodes' ids and sizes, how many elements each has there, and those, node after node. direct: each node has all its heavy elements
+    in its row, and every task that deals the class deals the same.
 
     bucket, node, keys and places are by element, in order of bucket and node; ids and sizes are by node.
     """
@@ -170,16 +219,18 @@ def _chunks(bucket: np.ndarray, node: np.ndarray, ids: np.ndarray, sizes: np.nda
     rows: list[tuple] = []
     for x, y in zip(some.tolist(), some[1:].tolist()):
         at = slice(first[x], first[y])
-        rows.append((int(of[x]), ids[nodes[x:y]].tobytes(), sizes[nodes[x:y]].tobytes(), counts[x:y].tobytes(), keys[at].tobytes(), places[at].tobytes()))
+        rows.append((int(of[x]), direct, ids[nodes[x:y]].tobytes(), sizes[nodes[x:y]].tobytes(), counts[x:y].tobytes(), keys[at].tobytes(), places[at].tobytes()))
     cols = list(zip(*rows))
-    kinds = [pa.int32(), *[pa.binary()] * 5]
-    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], ["bucket", "ids", "sizes", "counts", "keys", "places"])
+    kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 5]
+    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], ["bucket", "direct", "ids", "sizes", "counts", "keys", "places"])
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
-    """ids and sizes of the distinct nodes of a partition's chunks; node and number of elements of each entry; key and place of each element."""
+    """ids and sizes of the distinct nodes of a partition's chunks; node and number of elements of each entry; key and place of each element; whether an entry is direct."""
     held: list[list[np.ndarray]] = [[] for _ in range(5)]
+    direct = [np.zeros(0, bool)]
     for batch in batches:
+        direct += [np.full(len(x) // 8, d) for x, d in zip(batch.column("ids").to_pylist(), batch.column("direct").to_pylist())]
         for to, name, kind in zip(held, ("ids", "sizes", "counts", "keys", "places"), (np.int64, np.int32, np.uint32, np.uint64, np.uint8)):
             to += [np.frombuffer(x, kind) for x in batch.column(name).to_pylist()]
     ids, sizes, counts, keys, places = (np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(held, (np.int64, np.int32, np.uint32, np.uint64, np.uint8)))
@@ -189,11 +240,18 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
     new[1:] = (ids[order][1:] != ids[order][:-1]) | (sizes[order][1:] != sizes[order][:-1])
     node = np.empty(len(ids), np.int32)
     node[order] = np.cumsum(new) - 1
-    return ids[order][new], sizes[order][new], node, counts, keys, places
+    return ids[order][new], sizes[order][new], node, counts, keys, places, np.concatenate(direct)
+
+
+def _by_class(ids: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of each class."""
+    return (mixed(ids.view(np.uint64)) % np.uint64(n)).astype(np.int64)
 
 
-def _dealt(docs: DataFrame, k: int, n: int, start: int) -> DataFrame:
-    """All elements of each class, in chunks by bucket; a class comes once from each run of HELD elements of a task."""
+def _dealt(docs: DataFrame, k: int, n: int, start: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """All elements of each class, in chunks by the element's bucket, heavy ones, with their rarity, by the class's; a class comes once from each run of
+    HELD elements of a task."""
+    common, rarity = heavy
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, np.ndarray] = {}
@@ -202,9 +260,18 @@ def _dealt(docs: DataFrame, k: int, n: int, start: int) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             sizes = np.array([len(x) for x in held.values()], np.int32)
             keys, node = np.concatenate(list(held.values())), np.repeat(np.arange(len(sizes)), sizes)
+            ids = np.array([short_id(x, start) for x in held], np.int64)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, keys), len(common) - 1)
+                found = common[at] == keys
+                if found.any():
+                    home = _by_class(ids, n)
+                    order = np.flatnonzero(found)
+                    order = order[np.argsort(home[node[order]], kind="stable")]
+                    yield from _chunks(home[node[order]], node[order], ids, sizes, keys[order], rarity[at[order]], direct=True)
+                    keys, node = keys[~found], node[~found]
             bucket = ((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
             order = np.argsort(bucket.astype(np.uint16) if n <= 65536 else bucket, kind="stable")
-            ids = np.array([short_id(x, start) for x in held], np.int64)
             yield from _chunks(bucket[order], node[order], ids, sizes, keys[order], np.zeros(0, np.uint8))
 
         for batch in slices(batches, most=1 << 19):
@@ -222,10 +289,20 @@ def _dealt(docs: DataFrame, k: int, n: int, start: int) -> DataFrame:
 
 
 def _shared(n: int):
-    """Of a bucket's elements those of several classes, with their rarity (0 to 255, the rarest first), in chunks by class."""
+    """Of a bucket's elements those of several classes, with their rarity (the rarest first), in chunks by class. Direct chunks are by class already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sizes, entry, counts, keys, _ = _unpacked(batches)
+        passed: list[pa.RecordBatch] = []
+
+        def to_count() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                direct = batch.column("direct")
+                passed.append(batch.filter(direct))
+                yield batch.filter(pc.invert(direct))
+
+        ids, sizes, entry, counts, keys, _, _ = _unpacked(to_count())
+        yield from passed
+        passed.clear()
         if not len(keys):
             return
         # a class that several tasks dealt counts once: the elements of its first entry stay
@@ -241,10 +318,10 @@ def _shared(n: int):
             own = keys[at]
             first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
             seen = np.diff(np.append(first, len(own)))
-            rarity[at] = np.repeat(np.where(seen > 1, np.minimum(255, 8 * np.log2(seen)), 0).astype(np.uint8), seen)
+            rarity[at] = np.repeat(np.where(seen > 1, rarity_of(seen), 0).astype(np.uint8), seen)
         some = rarity > 0
         node, keys, rarity = node[some], keys[some], rarity[some]
-        bucket = (mixed(ids.view(np.uint64)) % np.uint64(n)).astype(np.int64)
+        bucket = _by_class(ids, n)
         order = np.lexsort((node, bucket[node]))
         yield from _chunks(bucket[node[order]], node[order], ids, sizes, keys[order], rarity[order])
 
@@ -255,7 +332,12 @@ def _alive(num: int, den: int):
     """Classes with so many shared elements that they may link: id, n, those elements (ascending), and the rarest, of which a partner has one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sizes, entry, counts, keys, rarity = _unpacked(batches)
+        ids, sizes, entry, counts, keys, rarity, direct = _unpacked(batches)
+        if direct.any():  # of a class's direct entries, which are all the same, the first stays
+            once = ~direct
+            at = np.flatnonzero(direct)
+            once[at[np.unique(entry[at], return_index=True)[1]]] = True
+            keys, rarity, entry, counts = keys[np.repeat(once, counts)], rarity[np.repeat(once, counts)], entry[once], counts[once]
         node = np.repeat(entry, counts)
         shared = np.bincount(node, minlength=len(ids))
         least = -(-num * sizes.astype(np.int64) // den)
@@ -285,10 +367,13 @@ def _alive_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["id", "n", "elements", "rare"])
 
 
-def alive(docs: DataFrame, k: int, num: int, den: int, start: int = 0) -> DataFrame:
+NONE_HEAVY = (np.zeros(0, np.uint64), np.zeros(0, np.uint8))
+
+
+def alive(docs: DataFrame, k: int, num: int, den: int, start: int = 0, heavy: tuple[np.ndarray, np.ndarray] = NONE_HEAVY) -> DataFrame:
     """id, n, elements, rare of every class that may link."""
     n = partitions(docs.sparkSession)
-    some = _dealt(docs, k, n, start).repartitionById(n, F.col("bucket")).mapInArrow(released(_shared(n)), CHUNK)
+    some = _dealt(docs, k, n, start, heavy).repartitionById(n, F.col("bucket")).mapInArrow(released(_shared(n)), CHUNK)
     return some.repartitionById(n, F.col("bucket")).mapInArrow(released(_alive(num, den)), "id long, n long, elements binary, rare binary")
 
 
@@ -331,7 +416,7 @@ def candidate_edges(living: DataFrame, bands: Bands) -> DataFrame:
             for own, rare, level, also in zip(batch.column("id").to_pylist(), batch.column("rare").to_pylist(), band.tolist(), below.tolist()):
                 keys = np.frombuffer(rare, np.uint64)
                 for x in (level, level - 1)[: 2 if also else 1]:
-                    held.append((mixed(keys + np.uint64(x + 1) * _BASE), (own % 2**64 >> 7) * 64 + x))
+                    held.append((mixed(keys + np.uint64((x + 1) * int(_BASE) % 2**64)), (own % 2**64 >> 7) * 64 + x))
                     size += len(keys)
             if size > HELD:
                 yield out()
@@ -452,11 +537,13 @@ def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataF
     """doc_id, n_shingles, component_id, n_links of every text. Texts link when den * intersection >= num * union."""
     bands = Bands(num, den)
     docs = doc_id_text(docs)
-    rows = written(profiles(docs, k), "profiles")
+    both = written(profiles(docs, k), "profiles")
+    rows = both.where("digest IS NOT NULL").select("doc_id", "n_shingles", "digest")
     classes = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("texts"), F.first("n_shingles").alias("n"))
     classes = written(classes.select(F.monotonically_increasing_id().alias("cid"), "digest", "least_id", "texts", "n"), "classes")
     classes, start = short_ids(classes)
-    living = written(alive(docs, k, num, den, start), "alive")
+    heavy = heavy_elements(both.where("digest IS NULL"), rows.agg(F.sum("n_shingles")).first()[0] or 0)
+    living = written(alive(docs, k, num, den, start, heavy), "alive")
     groups = components(candidate_edges(living, bands))
     nodes = groups.select(F.shiftright("node", 6).alias("short"), F.pmod("node", F.lit(64)).cast("int").alias("band"), "root")
     size = F.shiftright(F.octet_length("elements"), 3).alias("shared")

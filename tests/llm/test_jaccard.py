@@ -76,6 +76,38 @@ def test_tiles(spark, monkeypatch):
     assert jaccard.similar(df.limit(0)).collect() == []
 
 
+def test_common_elements_go_straight_to_their_classes(spark, monkeypatch):
+    """Every element of three classes or more is heavy: the links stay what they are."""
+    monkeypatch.setattr(jaccard, "HEAVY_CLASSES", 3)
+    monkeypatch.setattr(jaccard, "HELD", 3000)
+    rows = list(enumerate(texts(11)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((tuple(r) for r in jaccard.similar(df, 3, 90, 100).collect()), key=str)
+    assert got == brute(rows, 3, 90, 100)
+
+
+def test_a_phrase_of_all_texts_fills_no_bucket(spark):
+    """20,000 short texts with one phrase: its shingles would bring an entry of every text into their buckets."""
+    rng = random.Random(1)
+    rows = [(i, "the phrase that every text has " + " ".join(str(rng.randrange(10**9)) for _ in range(12))) for i in range(20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8).persist()
+    both = jaccard.profiles(docs, 3).persist()
+    total = both.where("digest IS NOT NULL").agg({"n_shingles": "sum"}).first()[0]
+    heavy = jaccard.heavy_elements(both.where("digest IS NULL"), total)
+    assert len(heavy[0]) == 4 and len(heavy[0]) <= 1 / jaccard.HEAVY  # what begins within the phrase and ends there
+
+    def largest(found):
+        chunks = jaccard._dealt(docs, 3, 64, 0, found).selectExpr("bucket", "octet_length(keys) div 8 AS n")
+        sizes = sorted(r[0] for r in chunks.groupBy("bucket").sum("n").select("sum(n)").collect())
+        return sizes[-1] / sizes[len(sizes) // 2]
+
+    assert largest(jaccard.NONE_HEAVY) > 5 and largest(heavy) < 1.5
+    found = jaccard.alive(docs, 3, 90, 100, 0, heavy)
+    assert found.count() == 0  # four shared shingles are too few to link
+    docs.unpersist()
+    both.unpersist()
+
+
 def near_group(rng, n, copies):
     base = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
     out = []
