@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays as arr
-from ..functions import conditions, programs, scans
+from ..functions import conditions, programs, rules, scans
 from ..functions import text as tx
-from ..operators import matching, models
+from ..operators import matching, models, sampling
 from ..operators.selection import top_k
 from ..session import load, scratch
 from ..sources import records
@@ -174,3 +174,28 @@ def typeset_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows.select(F.col("s_nationkey").alias("a"), F.col("s_suppkey").alias("b"), line.alias("value")).unionByName(notes).orderBy("a", "b").select("value").write.text(path)
     back = records.table_rows(spark, path, ["nation", "supplier", "balance", "place"], ["balance", "place"], ["nation"])
     return back.withColumn("supplier", F.col("supplier").cast("long"))
+
+
+def _drawn(place: str, low: str, high: str) -> str:
+    return f"({low} + CAST('0x' || left(md5(key || '-' || {place}), 8) AS BIGINT) % ({high} - ({low}) + 1))"
+
+
+_SAMPLED = f"""WITH f AS (SELECT DISTINCT p_brand AS family FROM part), t AS (SELECT family, CAST(v AS INT) AS variant, n AS attempt, family || '-' || v || '-' || n AS key FROM f, unnest(range(0, 3)) AS v(v), unnest(range(0, 64)) AS n(n)),
+x AS (SELECT *, list_transform(range(1, {_drawn("'size'", "3", "8 + variant")} + 1), lambda i: {_drawn("i", "-(3 + 2 * variant)", "3 + 2 * variant")}) AS input FROM t),
+y AS (SELECT family, variant, min(attempt) AS attempt, input, list_sort(input) AS s FROM x GROUP BY family, variant, input), z AS (SELECT *, s[(len(s) - 1) // 2 + 1] AS a, s[len(s) // 2 + 1] AS b FROM y), k AS (SELECT *, CASE WHEN a = b THEN 'common' ELSE 'case' END AS kind FROM z)""" + "".join(
+    f""",
+u{v} AS (SELECT family, variant, kind, row_number() OVER (PARTITION BY family, kind ORDER BY attempt) AS place, input, a, b FROM k WHERE variant = {v}{"".join(f" AND NOT EXISTS (SELECT 1 FROM r{w} WHERE r{w}.family = k.family AND r{w}.input = k.input)" for w in range(v))}),
+r{v} AS (SELECT * FROM u{v} WHERE place <= CASE kind WHEN 'case' THEN 6 ELSE 4 END)""" for v in range(3))
+
+
+@query(_SAMPLED + """ SELECT family, variant, kind, CAST(place AS INT) AS place, array_to_string(input, ',') AS input, a, b FROM (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2)""")
+def distinguishing_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each brand as a family, in three variants, lists whose lower and upper medians differ, and some whose medians agree; none twice in a family."""
+
+    def inputs(key, variant):
+        size = sampling.drawn(key, "size", F.lit(3).cast("long"), 8 + variant.cast("long"))
+        return sampling.drawn_list(key, size, -(3 + 2 * variant.cast("long")), 3 + 2 * variant.cast("long"))
+
+    families = load(spark, sf_dir, "part").select(F.col("p_brand").alias("family"))
+    found = sampling.distinguishing(families, "family", 3, inputs, (rules.lower_median, rules.upper_median), cases=6, common=4)
+    return found.withColumn("input", F.array_join(F.col("input").cast("array<string>"), ","))
