@@ -125,6 +125,34 @@ def contrasts_of(kind: str) -> list[tuple[str, str]]:
     }[kind]
 
 
+def kind_of(conditions: set[str]) -> str:
+    """The kind of an experiment, by the conditions that it has."""
+    if "tests_a" in conditions:
+        return "semantic"
+    if conditions == {"unrelated_tests"}:
+        return "unrelated"
+    return "main" if "nl_tests" in conditions else "quality"
+
+
+def effects(df: DataFrame, pairs: list[tuple], measures: dict[tuple, str] | str, **options) -> DataFrame | None:
+    """Base, target, measure and paired_effect()'s summary for each listed pair of conditions (or of models, with condition=<the model's column>); None without
+    pairs. ``measures``: one for all pairs, or one for each. A pair's rows are read by themselves; its clusters are drawn alike for all pairs of the same clusters."""
+    out = None
+    for base, target in pairs:
+        measure = measures if isinstance(measures, str) else measures[base, target]
+        own = paired_effect(df, base, target, measure, **options)["summary"].select(F.lit(base).alias("base"), F.lit(target).alias("target"), F.lit(measure).alias("measure"), "*")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def report(df: DataFrame, condition: str = "condition", **options) -> DataFrame | None:
+    """The contrasts of an experiment, whose kind its conditions tell: on ``passed``, or for pairs of rules on rule_a or rule_b, the one that the target's tests show."""
+    kind = kind_of({r[0] for r in df.select(condition).distinct().collect()})  # conditions: few
+    pairs = contrasts_of(kind)
+    measures = {p: f"rule_{p[1][-1]}" if kind == "semantic" else "passed" for p in pairs}
+    return effects(df, pairs, measures, condition=condition, **options)
+
+
 def correlation(sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column, n: Column) -> Column:
     """Pearson's from sums; null if either variance is 1e-12 or less."""
     vx, vy = sxx - sx * sx / n, syy - sy * sy / n

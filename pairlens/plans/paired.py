@@ -185,3 +185,43 @@ def macro_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = observations(spark, sf_dir).withColumn("only_a", (F.col("rule_a") & ~F.col("rule_b")).cast("int")).withColumn("only_b", (F.col("rule_b") & ~F.col("rule_a")).cast("int"))
     means = agg.nested_mean(rows, [["cluster", "task", "repeat"], ["cluster", "task"], ["cluster"], []], ["only_a", "only_b"])
     return means.select(F.round("only_a", 9).alias("only_a"), F.round("only_b", 9).alias("only_b"))
+
+
+def _effects_sql(pairs: list[tuple[str, str, str, str]]) -> str:
+    """Of (base, target, base's column of pairs, target's column) the paired differences and their intervals."""
+    each = " UNION ALL ".join(f"SELECT task, cluster, '{b}' AS base, '{t}' AS target, CAST({y} AS INT) - CAST({x} AS INT) AS d FROM pairs" for b, t, x, y in pairs)
+    return f"""WITH {OBSERVATIONS}, e AS ({each}), m AS (SELECT base, target, task, cluster, avg(d) AS d FROM e GROUP BY ALL),
+c AS (SELECT base, target, cluster, sum(d) AS s, count(*) AS k FROM m GROUP BY base, target, cluster),
+sums AS (SELECT *, row_number() OVER (PARTITION BY base, target ORDER BY CAST(cluster AS VARCHAR)) - 1 AS i, count(*) OVER (PARTITION BY base, target) AS g FROM c),
+draws AS (SELECT base, target, b.b AS draw, CAST(('0x' || substr(md5(b.b || '-' || p.p), 1, 8)) AS BIGINT) % g AS i FROM (SELECT DISTINCT base, target, g FROM sums), unnest(range(0, {DRAWS})) AS b(b), unnest(range(0, g)) AS p(p)),
+v AS (SELECT base, target, draw, sum(s) / sum(k) AS value FROM draws JOIN sums USING (base, target, i) GROUP BY ALL),
+w AS (SELECT base, target, round(quantile_cont(value, 0.025), 9) AS ci_low, round(quantile_cont(value, 0.975), 9) AS ci_high FROM v GROUP BY ALL)
+SELECT base, target, count(*) AS num_tasks, round(avg(d), 9) AS paired_difference, any_value(ci_low) AS ci_low, any_value(ci_high) AS ci_high FROM m JOIN w USING (base, target) GROUP BY base, target"""
+
+
+def _conditions(spark: SparkSession, sf_dir: str, names: dict[str, tuple[str, str]]) -> DataFrame:
+    """Named conditions: each one of the two conditions, with one of the two rules as what passed."""
+    rows, out = observations(spark, sf_dir), None
+    for name, (condition, rule) in names.items():
+        own = rows.where(F.col("condition") == condition).select("task", "repeat", "cluster", F.lit(name).alias("name"), F.col(rule).alias("passed"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def _rounded(found: DataFrame) -> DataFrame:
+    return found.select("base", "target", "num_tasks", *(F.round(c, 9).alias(c) for c in ("paired_difference", "ci_low", "ci_high")))
+
+
+@query(_effects_sql([("nl_only", "nl_tests", "ba", "ta"), ("inputs_only", "nl_tests", "bb", "ta"), ("wrong_tests", "nl_tests", "tb", "ta")]))
+def contrast_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contrasts of an experiment of kind main."""
+    rows = _conditions(spark, sf_dir, {"nl_only": ("F", "rule_a"), "inputs_only": ("F", "rule_b"), "nl_tests": ("O", "rule_a"), "wrong_tests": ("O", "rule_b")})
+    return _rounded(st.report(rows, condition="name", cluster="cluster", draws=DRAWS))
+
+
+@query(_effects_sql([("m1", "m2", "ba", "bb"), ("m1", "m3", "ba", "ta"), ("m2", "m3", "bb", "ta")]))
+def model_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each pair of models compared as if they were conditions."""
+    rows = _conditions(spark, sf_dir, {"m1": ("F", "rule_a"), "m2": ("F", "rule_b"), "m3": ("O", "rule_a")})
+    pairs = [("m1", "m2"), ("m1", "m3"), ("m2", "m3")]
+    return _rounded(st.effects(rows, pairs, "passed", condition="name", cluster="cluster", draws=DRAWS))

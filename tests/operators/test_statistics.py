@@ -64,3 +64,18 @@ def test_no_variance_is_null(spark):
 
 def test_contrasts():
     assert len(st.contrasts_of("semantic")) == 6 and st.contrasts_of("unrelated") == []
+
+
+def test_kinds_of_experiments(spark):
+    """Which contrasts an experiment has follows from its conditions; pairs of rules are measured by the rule that the tests show."""
+    assert [st.kind_of(c) for c in ({"nl_only", "tests_a", "tests_b"}, {"unrelated_tests"}, {"nl_only", "nl_tests"}, {"quality_high"})] == ["semantic", "unrelated", "main", "quality"]
+    rows = [(t, 0, c, (t + i) % 2 == 0, (t + i) % 3 == 0) for t in range(6) for i, c in enumerate(("nl_only", "inputs_only", "explicit_a", "explicit_b", "tests_a", "tests_b"))]
+    df = spark.createDataFrame(rows, "task int, repeat int, condition string, rule_a boolean, rule_b boolean")
+    got = {(r["base"], r["target"]): (r["measure"], round(r["paired_difference"], 9)) for r in st.report(df, draws=10).collect()}
+    value = {(t, c): (a, b) for t, _, c, a, b in rows}
+    want = {}
+    for side, at in (("a", 0), ("b", 1)):
+        for base in ("nl_only", "inputs_only", f"explicit_{side}"):
+            want[base, f"tests_{side}"] = f"rule_{side}", round(sum(value[t, f"tests_{side}"][at] - value[t, base][at] for t in range(6)) / 6, 9)
+    assert got == want
+    assert st.report(df.where("condition = 'tests_a'").withColumn("condition", F.lit("unrelated_tests"))) is None
