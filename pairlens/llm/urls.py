@@ -101,7 +101,7 @@ def templates(rows: DataFrame) -> DataFrame:
         if level == 1:
             tree = tree.withColumn("branch", F.coalesce("segment", F.lit("")))
         # alike branches: the same set of what follows, and rates that do not differ
-        rest = F.xxhash64(F.slice("segments", level + 2, 1_000_000))
+        rest = F.xxhash64(F.slice("segments", F.lit(level + 2), F.size("segments")))
         sides = tree.groupBy("host", "prefix", "segment", rest.alias("rest")).agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
         branch = sides.groupBy("host", "prefix", "segment").agg(F.bit_xor("rest").alias("shape"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")).where("segment IS NOT NULL")
         unlabelled = branch.where("labelled = 0").select("host", "prefix", "segment", "shape")
@@ -116,7 +116,7 @@ def templates(rows: DataFrame) -> DataFrame:
         merged = merged.select("host", "prefix", "segment", "merged").unionByName(unlabelled.join(known, ["host", "prefix", "shape"]).select("host", "prefix", "segment", "merged"))
         tree = tree.join(merged, ["host", "prefix", "segment"], "left").withColumn("segment", F.coalesce("merged", "segment")).drop("merged")
         tree = written(tree.withColumn("prefix", F.concat_ws("/", "prefix", "segment")).drop("segment"), "tree")
-    tree = tree.withColumn("template", F.concat_ws("/", "prefix", F.array_join(F.slice("segments", LEVELS + 2, 1_000_000), "/")))
+    tree = tree.withColumn("template", F.concat_ws("/", "prefix", F.array_join(F.slice("segments", F.lit(LEVELS + 2), F.size("segments")), "/")))
     # a template's branches (several, if they were merged) count by their pages
     branches = tree.groupBy("host", "branch").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     tree = tree.join(likely(branches), ["host", "branch"])

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from pairlens.llm import components, jaccard
 
@@ -172,6 +173,28 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    """Small bounds make hubs of most nodes: of the smallest id, of the largest, and ones that share neighbours."""
+    monkeypatch.setattr(components, "HUBS", 4)
+    monkeypatch.setattr(components, "HUB_ROWS", 3)
+    rng = random.Random(5)
+    edges = [(0, x) for x in range(1, 60)] + [(999, x) for x in range(50, 120)] + [(500, 120), (500, 999)] + [(rng.randint(2000, 2100), rng.randint(2000, 2100)) for _ in range(80)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()}
+    a, b = components.stars(np.array([x for x, y in edges if x != y]), np.array([y for x, y in edges if x != y]))
+    want = dict(zip(a.tolist(), b.tolist()))
+    assert got == want | {x: x for x in set(want.values())}
+
+
+def test_hub_edges_spread(spark):
+    """All edges of one hub: after the join with its smallest neighbour no partition holds more than its share."""
+    n = 1_000_000
+    edges = spark.range(n, numPartitions=8).select(F.lit(0).cast("long").alias("a"), (F.col("id") + 1).alias("b"))
+    low = spark.createDataFrame([(0, 0, n)], "a long, low long, n long")
+    joined = components.with_low(edges, low, n)
+    sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == n and max(sizes) <= n // 8 and joined.where("low <> 0").count() == 0
+
+
 def test_words():
     column = pa.array(["a b", None, "", "c", " ", "B", "x" * 3000])
     words, ends = jaccard.word_hashes(column)
