@@ -111,10 +111,11 @@ def spread(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
 
 
 def quartiles(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """Linear quartiles, and the upper median (an existing value)."""
+    """Linear quartiles, and the upper median (an existing value: the lower median of the descending order). All come from counts of equal values."""
     q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(*keys).agg(q.alias("_q"), F.count(column).alias("n"), F.array_sort(F.collect_list(column)).alias("_all"))
-    return out.select(*keys, "n", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q75"), F.get("_all", F.floor(F.col("n") / 2).cast("int")).alias("upper_median"))
+    upper = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{column}` DESC)")
+    out = df.groupBy(*keys).agg(q.alias("_q"), F.count(column).alias("n"), upper.alias("upper_median"))
+    return out.select(*keys, "n", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q75"), "upper_median")
 
 
 def distinct_values(df: DataFrame, keys: list[str], column: str, k: int, order: str) -> DataFrame:

@@ -7,6 +7,9 @@ observation is replicated.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,8 +20,8 @@ from .constraints import require, uneven_repeats
 from .joins import self_pairs
 from .selection import placed
 
-#: Numbers that NumPy's generator may draw on the driver.
-MOST_DRAWN = 20_000_000
+#: Words of 32 bits that a task draws at a time.
+WORDS = 1 << 20
 
 
 def mcnemar(gains: Column, losses: Column, digits: int = 10) -> Column:
@@ -48,19 +51,48 @@ def hash_draws(clusters: DataFrame, cluster: str, draws: int, seed: str = "") ->
     return places.withColumn("_i", index).join(numbered, "_i").select("draw", "place", cluster)
 
 
+def numpy_numbers(seed: int, size: int, chunk: int) -> np.ndarray:
+    """The numbers below ``size`` (2 to 2^32) that chunk ``chunk`` of NumPy's default generator's stream gives to ``integers``, found by jumping there.
+
+    A word w of 32 bits gives the upper half of w * size, unless the lower half is below 2^32 mod size: such a word gives none, so chunks differ in length.
+    """
+    words = np.random.PCG64(seed).advance(chunk * WORDS // 2).random_raw(WORDS // 2).astype("<u8").view("<u4")
+    products = words.astype(np.uint64) * np.uint64(size)
+    return (products >> np.uint64(32))[(products & np.uint64(0xFFFFFFFF)) >= np.uint64((1 << 32) % size)].astype(np.int64)
+
+
 def numpy_draws(clusters: DataFrame, cluster: str, draws: int, seed: int = 0) -> DataFrame:
-    """The same shape, from NumPy's generator over the clusters in string order.
+    """The same shape, from NumPy's generator over the clusters in string order: ``default_rng(seed).integers(0, clusters, (draws, clusters))``.
 
-    The generator's stream is one sequence, so it runs on the driver; more than MOST_DRAWN numbers are refused, and hash draws are there for those.
-    Only how often each place is drawn goes out, and no cluster comes in.
+    Tasks draw chunks of its one stream. How many numbers each chunk gives is counted first (two numbers a chunk come to the driver), which places them.
     """
-    numbered = _numbered(clusters, cluster)
+    numbered, spark = _numbered(clusters, cluster), clusters.sparkSession
     size = numbered.count()
-    if draws * size > MOST_DRAWN:
-        raise ValueError(f"{draws} draws of {size} clusters are more than {MOST_DRAWN} numbers; use hash draws")
-    picks = np.random.default_rng(seed).integers(0, size, (draws, size)) if size else np.zeros((draws, 0), np.int64)
-    table = pd.DataFrame({"draw": np.repeat(np.arange(draws, dtype=np.int32), size), "_i": picks.reshape(-1)})
-    rows = clusters.sparkSession.createDataFrame(table, "draw int, _i long")
+    total = draws * size
+    if size < 2:  # nothing is drawn from one
+        rows = spark.range(total).select(F.col("id").cast("int").alias("draw"), F.lit(0).cast("long").alias("_i"))
+        return rows.join(numbered, "_i").select("draw", F.lit(0).alias("place"), cluster)
+    # as many words as are needed, and six deviations more
+    words = total / (1 - ((1 << 32) % size) / (1 << 32))
+    chunks = math.ceil((words + 6 * math.sqrt(words)) / WORDS) + 1
+
+    def lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"chunk": batch["id"], "n": [len(numpy_numbers(seed, size, c)) for c in batch["id"]]})
+
+    def numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for chunk, first in zip(batch["chunk"], batch["first"]):
+                drawn = numpy_numbers(seed, size, chunk)[: max(0, total - first)]
+                yield pd.DataFrame({"draw": ((first + np.arange(len(drawn))) // size).astype(np.int32), "_i": drawn})
+
+    slices = min(chunks, 10_000)
+    counted = sorted(tuple(r) for r in spark.range(0, chunks, 1, slices).mapInPandas(lengths, "chunk long, n long").collect())
+    firsts = np.cumsum([0] + [n for _, n in counted])
+    if firsts[-1] < total:
+        raise ValueError(f"{chunks} chunks gave {firsts[-1]} of {total} numbers")
+    places = [(c, int(first)) for (c, _), first in zip(counted, firsts)]
+    rows = spark.createDataFrame(places, "chunk long, first long").repartition(slices, "chunk").mapInPandas(numbers, "draw int, _i long")
     return rows.join(numbered, "_i").select("draw", F.lit(0).alias("place"), cluster)
 
 

@@ -9,34 +9,51 @@ from ..session import load, scratch
 from ..sources import readers, sinks
 from .catalog import query
 
+ORDERS = "o_orderkey BIGINT, o_orderpriority STRING, o_orderstatus STRING"
 NATION = "n_nationkey INT, n_name STRING, n_regionkey INT"
 
 
-def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("int").alias("n_regionkey"))
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
 
 
-def _as_text(rows: DataFrame) -> DataFrame:
-    """All rows of a small table as one text, a JSON object a line in order of its text."""
-    return rows.agg(F.array_join(F.sort_array(F.collect_list(F.to_json(F.struct(*rows.columns)))), "\n").alias("value"))
+def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("int").alias("n_regionkey"))
 
 
-@query("SELECT CAST(n_nationkey AS INT) AS n_nationkey, n_name, CAST(n_regionkey AS INT) AS n_regionkey FROM nation")
+@query("SELECT o_orderkey, o_orderpriority, o_orderstatus FROM orders")
 def json_lines_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written, appended to, read with its schema."""
-    rows, path = _nations(spark, sf_dir), scratch(spark, "lines")
-    sinks.write_json_lines(rows.where("n_regionkey < 2"), path)
-    sinks.write_json_lines(rows.where("n_regionkey >= 2"), path, append=True)
-    return readers.json_lines(spark, path, NATION)
+    rows, path = _orders(spark, sf_dir), scratch(spark, "lines")
+    sinks.write_json_lines(rows.where("o_orderstatus = 'F'"), path)
+    sinks.write_json_lines(rows.where("o_orderstatus <> 'F'"), path, append=True)
+    return readers.json_lines(spark, path, ORDERS)
 
 
-@query("SELECT CAST(n_nationkey AS INT) AS n_nationkey, n_name, CAST(n_regionkey AS INT) AS n_regionkey FROM nation")
+@query("SELECT o_orderkey, o_orderpriority, o_orderstatus FROM orders")
 def growing_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A log whose last line is torn."""
+    """Logs of several writers, each of which is in the middle of a line."""
     path = scratch(spark, "log")
-    log = _as_text(_nations(spark, sf_dir)).select(F.concat("value", F.lit('\n{"n_nationkey": 77, "n_na')).alias("value"))
-    log.write.option("lineSep", " ").text(path)
-    return readers.growing_json_lines(spark, path, NATION)
+    line = F.to_json(F.struct(*_orders(spark, sf_dir).columns))
+    whole = _orders(spark, sf_dir).select(F.pmod(F.xxhash64("o_orderkey"), F.lit(8)).alias("writer"), F.lit(False).alias("torn"), F.concat(line, F.lit("\n")).alias("value"))
+    torn = whole.select("writer").distinct().select("writer", F.lit(True).alias("torn"), F.lit('{"o_orderkey": 77, "o_or').alias("value"))
+    # the writer's separator is a space, so a line feed stands only where a line ends
+    logs = whole.unionAll(torn).repartition(8, "writer").sortWithinPartitions("torn").select("value")
+    logs.write.option("lineSep", " ").text(path)
+    return readers.growing_json_lines(spark, path, ORDERS)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderpriority < '3' THEN 0 WHEN o_orderpriority < '5' THEN 2 END AS place FROM orders")
+def file_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which folder has the file that each order names: files of the first that has one go first, a folder that is missing is passed over. Files are known by their
+    priority's folder, as Spark names its own files."""
+    rows, path = _orders(spark, sf_dir), scratch(spark, "index")
+    for place, below in ((0, "3"), (2, "5")):
+        kept = rows.where(F.col("o_orderpriority") < below).withColumn("priority", F.substr("o_orderpriority", F.lit(1), F.lit(1)))
+        kept.repartition("priority").write.partitionBy("priority").json(f"{path}/{place}")
+    files = readers.listed_files(spark, [f"{path}/{i}" for i in range(3)], "part-*", part=-2)
+    named = rows.withColumn("old", F.concat(F.lit("/gone/priority="), F.substr("o_orderpriority", F.lit(1), F.lit(1)), F.lit("/part-0")))
+    return readers.resolved(named, "old", files, part=-2).select("o_orderkey", F.col("found_place").alias("place"))
 
 
 @query("SELECT CAST(n_nationkey AS INT) AS n_nationkey, n_name, CAST(n_regionkey AS INT) AS n_regionkey, true AS named FROM nation")

@@ -1,3 +1,6 @@
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +44,23 @@ def test_numpy_draws(spark):
     assert a == b and a.valid_draws == 100
 
 
+@pytest.mark.parametrize("size", [2, 7, 1000, 1 << 20, 3_000_000_000])
+def test_numpy_numbers_are_numpys(size, monkeypatch):
+    monkeypatch.setattr(st, "WORDS", 1 << 10)
+    got = np.concatenate([st.numpy_numbers(3, size, c) for c in range(9)])
+    assert len(got) <= 9 << 10 and np.array_equal(got, np.random.default_rng(3).integers(0, size, len(got)))
+
+
+@pytest.mark.parametrize("size", [0, 1, 2, 11])
+def test_numpy_draws_by_chunks(spark, size, monkeypatch):
+    """A stream of several chunks gives each cluster as often to each draw as NumPy does."""
+    monkeypatch.setattr(st, "WORDS", 1 << 8)
+    df = spark.createDataFrame([(f"c{i:02}",) for i in range(size)], "c string")
+    got = Counter((r.draw, r.c) for r in st.numpy_draws(df, "c", 100, 5).collect())
+    picks = np.random.default_rng(5).integers(0, size, (100, size)) if size else []
+    assert got == Counter((d, f"c{i:02}") for d, row in enumerate(picks) for i in row)
+
+
 @pytest.mark.parametrize("change", ["unpaired", "duplicate", "uneven"])
 def test_bad_pairs_raise(spark, change):
     data = rows()
