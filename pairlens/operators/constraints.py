@@ -1,4 +1,4 @@
-"""Integrity constraints: each returns a DataFrame of violations, empty if the data holds."""
+"""Integrity constraints: each returns a DataFrame of violations, empty if the data holds."""
 
 from __future__ import annotations
 
@@ -91,3 +91,14 @@ def out_of_range(df: DataFrame, column: str, low: float, high: float) -> DataFra
 def total_differs(df: DataFrame, expected: int) -> DataFrame:
     """One row with both totals if they differ."""
     return df.agg(F.count("*").alias("observed")).withColumn("expected", F.lit(expected).cast("long")).where("observed <> expected")
+
+
+def unlike_hashes(df: DataFrame, keys: list[str], found: Column, expected: str) -> DataFrame:
+    """Rows whose recorded hash is not the one found from what a second backend has; rows without a record are let through, a null hash against a record is not."""
+    return df.select(*keys, found.alias("found"), F.col(expected).alias("expected")).where(F.col("expected").isNotNull() & ~F.col("found").eqNullSafe(F.col("expected")))
+
+
+def clipped(value: Column, low: float, high: float) -> Column:
+    """a double within bounds; NaN and null stay (least() and greatest() alone would take NaN for the largest value and pass over nulls)."""
+    bounded = F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), value))
+    return F.when(value.isNull() | F.isnan(value), value).otherwise(bounded)

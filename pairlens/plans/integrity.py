@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import squeezed
+from ..functions.text import ids_hash, squeezed
 from ..operators import constraints as con
 from ..operators import joins, predicates, selection
 from ..session import load
@@ -71,6 +71,27 @@ def total_differs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return con.total_differs(load(spark, sf_dir, "lineitem"), 100)
 
 
+@query("""WITH r AS (SELECT o_custkey, sha256(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey)) AS expected FROM orders GROUP BY 1),
+f AS (SELECT o_custkey, sha256(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey)) AS found FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'N') GROUP BY 1)
+SELECT o_custkey, found, expected FROM r LEFT JOIN f USING (o_custkey) WHERE found IS DISTINCT FROM expected""")
+def unlike_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers whose ids by one source are not the ones whose hash another recorded."""
+    orders = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    ids = lambda df, name: df.groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias(name))
+    open_lines = load(spark, sf_dir, "lineitem").where("l_returnflag = 'N'").select(F.col("l_orderkey").alias("o_orderkey"))
+    recorded = ids(orders, "_ids").select("o_custkey", ids_hash(F.col("_ids")).alias("recorded"))
+    both = recorded.join(ids(orders.join(open_lines, "o_orderkey", "left_semi"), "_ids"), "o_custkey", "left")
+    return con.unlike_hashes(both, ["o_custkey"], F.when(F.col("_ids").isNotNull(), ids_hash(F.col("_ids"))), "recorded")
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'click' THEN NULL WHEN value IS NOT NULL THEN greatest(10.0, least(40.0, value)) END AS clipped FROM events")
+def clipped_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """values within bounds; those that are no numbers (of one type of event) stay so, and are null in the result."""
+    value = F.when(F.col("event_type") == "click", float("nan")).otherwise(F.col("value"))
+    bounded = con.clipped(value, 10, 40)
+    return load(spark, sf_dir, "events").select("event_id", F.when(~F.isnan(bounded), bounded).alias("clipped"))
+
+
 @query("""SELECT d.doc_id, d.n_chars FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)""")
 def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that have no good label yet."""

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairlens.operators import aggregates
+from pairlens.operators import aggregates, constraints
 from pairlens.sources import readers
 
 
@@ -48,3 +48,14 @@ def test_upper_median(spark):
     df = spark.createDataFrame([("a", x) for x in (3, 1, 2, 2)] + [("b", x) for x in (5, 4, 6)] + [("c", None), ("d", 7), ("d", None)], "k string, v int")
     got = {r.k: (r.n, r.upper_median) for r in aggregates.quartiles(df, ["k"], "v").collect()}
     assert got == {"a": (4, 2), "b": (3, 5), "c": (0, None), "d": (1, 7)}
+
+
+def test_clip_and_hashes(spark):
+    df = spark.createDataFrame([(1, -3.0, "a"), (2, 0.5, "b"), (3, float("inf"), None), (4, float("nan"), "x"), (5, None, "y")], "i int, v double, h string")
+    got = {r.i: r.c for r in df.select("i", constraints.clipped(F.col("v"), 0, 1).alias("c")).collect()}
+    assert (got[1], got[2], got[3], got[5]) == (0.0, 0.5, 1.0, None) and np.isnan(got[4])
+    found = F.when(F.col("i") < 3, F.lit("a"))
+    assert [r.i for r in constraints.unlike_hashes(df, ["i"], found, "h").orderBy("i").collect()] == [2, 4, 5]
+    with pytest.raises(constraints.ConstraintError):
+        constraints.require(constraints.unlike_hashes(df, ["i"], found, "h"), "hashes")
+    assert constraints.unlike_hashes(df.limit(0), ["i"], found, "h").count() == 0
