@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ids_hash, squeezed
 from ..operators import constraints as con
-from ..operators import joins, predicates, selection
+from ..operators import joins, matching, predicates, selection
 from ..session import load
 from .catalog import query
 from .tables import OBSERVATIONS, observations
@@ -162,22 +162,9 @@ def baseline_override(spark: SparkSession, sf_dir: str) -> DataFrame:
 j AS (SELECT p_partkey, donor, row_number() OVER (PARTITION BY p_partkey ORDER BY CAST(p_size <> d_size AS INT), CAST(p_name <> d_name AS INT), round(abs(ln(p_retailprice / d_price)), 9), donor) AS n FROM p JOIN q USING (mode) WHERE p_partkey <> donor)
 SELECT p_partkey, donor, CAST(n AS INT) AS position FROM j WHERE n <= 2""")
 def donor_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each part the two donors of least score in its block, no donor twice for a part.
-
-    As a donor of another size never beats one of the same size, blocks are split by size first; only parts that find fewer than two
-    donors there are matched with the other sizes of their block.
-    """
-    part = load(spark, sf_dir, "part").withColumnRenamed("p_type", "mode")
-    left = part.select("p_partkey", "mode", "p_size", "p_name", "p_retailprice")
-    right = part.select(F.col("p_partkey").alias("donor"), "mode", F.col("p_size").alias("d_size"), F.col("p_name").alias("d_name"), F.col("p_retailprice").alias("d_price"))
-    score = [(F.col("p_name") != F.col("d_name")).cast("int"), F.round(F.abs(F.log(F.col("p_retailprice") / F.col("d_price"))), 9)]
-    other = F.col("p_partkey") != F.col("donor")
-    near = joins.best_match(left, right.withColumn("p_size", F.col("d_size")), ["mode", "p_size"], "p_partkey", "donor", other, score, rounds=2)
-    found = near.groupBy("p_partkey").agg(F.count("*").cast("int").alias("found"))
-    short = left.join(found, "p_partkey", "left").withColumn("found", F.coalesce("found", F.lit(0))).where("found < 2")
-    far = joins.best_match(short, right, ["mode"], "p_partkey", "donor", other & ~F.coalesce(F.col("p_size") == F.col("d_size"), F.lit(False)), score, rounds=2)
-    far = far.join(short.select("p_partkey", "found"), "p_partkey").withColumn("position", F.col("position") + F.col("found")).where("position <= 2")
-    return near.select("p_partkey", "donor", "position").unionByName(far.select("p_partkey", "donor", "position"))
+    """For each part the two donors of its type of least score, no donor twice for a part: of its size, then of its name, then nearest in price."""
+    ratio = lambda p, d: F.round(F.abs(F.log(p / d)), 9)
+    return matching.alike(load(spark, sf_dir, "part"), "p_partkey", "donor", ["p_type"], ["p_size", "p_name"], "p_retailprice", ratio)
 
 
 @query("""WITH r AS (SELECT p_brand AS task, CAST(l_suppkey % 7 AS INT) AS program, l_linenumber AS t, max(l_discount) < 0.1 AS ok FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
