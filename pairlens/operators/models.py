@@ -7,13 +7,16 @@ nested_ridge_by_moments() and logistic_probe() sum moments over all rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..session import stored
 from .selection import placed
 
 
@@ -44,42 +47,60 @@ def stratified_folds(df: DataFrame, key: str, label: str, k: int, seed: str = "0
     return rows.select(key, F.pmod("_p", F.lit(k)).cast("int").alias("fold"))
 
 
-def dealt_groups(groups: list[tuple[object, dict]], totals: dict, k: int) -> list[tuple[object, int]]:
+def dealt_groups(groups: Iterable[tuple[object, dict]], totals: dict, k: int, held: list[dict] | None = None) -> Iterator[tuple[object, int]]:
     """Groups, with their rows of each class, given one after the other to the fold that then has the least spread of class shares.
 
     Adding n rows of a class to a fold of f such rows adds 2nf + n^2 to the sum of squares, of which only 2nf depends on the fold; classes weigh
-    by 1 / total^2. All is in whole numbers. Ties: the fold with fewer rows, then the first.
+    by 1 / total^2. All is in whole numbers. Ties: the fold with fewer rows, then the first. ``held``: the folds' rows of each class before, which is kept up to date.
     """
     weight = {c: math.prod(t * t for d, t in totals.items() if d != c) for c in totals}
-    held: list[dict] = [dict.fromkeys(totals, 0) for _ in range(k)]
-    out = []
+    held = [dict.fromkeys(totals, 0) for _ in range(k)] if held is None else held
+    size = [sum(h.values()) for h in held]
     for name, own in groups:
-        best = min(range(k), key=lambda j: (sum(n * held[j][c] * weight[c] for c, n in own.items()), sum(held[j].values()), j))
+        share = [(c, n * weight[c]) for c, n in own.items()]
+        best = min(range(k), key=lambda j: (sum(w * held[j][c] for c, w in share), size[j], j))
         for c, n in own.items():
             held[best][c] += n
-        out.append((name, best))
-    return out
+            size[best] += n
+        yield name, best
+
+
+#: Groups that one task deals out in stratified_group_folds().
+DEALT = 20_000
 
 
-def stratified_group_folds(df: DataFrame, group: str, label: str, k: int, seed: str = "0", large: int = 1000) -> DataFrame:
-    """Group and fold: whole groups, dealt so that each fold has about the same shares of each label. Labels are few.
+def stratified_group_folds(df: DataFrame, group: str, label: str, k: int, seed: str = "0", large: int = 0) -> DataFrame:
+    """Group and fold: whole groups, the largest first (then in seeded hash order), each given to the fold that then has the least spread of shares (dealt_groups). Labels
+    are few.
 
-    The ``large`` largest groups are dealt one by one (dealt_groups): that many rows of counts are read by the driver. Smaller ones, if there
-    are more, are dealt in order of their commonest label and size, forth and back over the folds, where they lie: two folds then
-    differ by at most one such group for each label.
+    A group's fold depends on all before it, so it is one chain. It is cut into links of ``large`` groups (DEALT if 0): a task streams a link's groups, in order, and
+    what each fold has got of each label is summed over the written links for the next one. Only these sums come to the driver.
     """
+    spark, step = df.sparkSession, large or DEALT
     counts = df.groupBy(group, label).agg(F.count("*").alias("n"))
-    totals = dict(counts.groupBy(label).agg(F.sum("n")).collect())
-    table = counts.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct(label, "n"))).alias("_own"), F.sum("n").alias("_size"), F.max_by(label, F.struct("n", label)).alias("_most"))
-    table = table.withColumn("_h", _hashed(seed, group))
-    first = table.orderBy(F.col("_size").desc(), "_h", group).limit(large).collect()
-    dealt = df.sparkSession.createDataFrame(dealt_groups([(r[group], r["_own"]) for r in first], totals, k), table.select(group, F.lit(0).alias("fold")).schema)
-    if len(first) < large:
-        return dealt
-    rest = table.join(F.broadcast(dealt), group, "left_anti").withColumn("_size", -F.col("_size"))  # at most ``large`` rows
-    turn = F.pmod(F.col("_p"), F.lit(2 * k))
-    small = placed(rest.select(group, "_most", "_size", "_h"), ["_most", "_size", "_h", group], "_p")
-    return dealt.unionByName(small.select(group, F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int").alias("fold")))
+    table = counts.groupBy(group).agg(F.collect_list(F.struct(F.col(label).alias("c"), "n")).alias("_own"), F.sum("n").alias("_size")).withColumn("_h", _hashed(seed, group))
+    table = stored(placed(table.withColumn("_less", -F.col("_size")), ["_less", "_h", group], "_p").select(group, "_own", F.col("_p").cast("long").alias("_p")).withColumn("_link", F.floor(F.col("_p") / step)), "groups")
+    parts = table.select(F.explode("_own").alias("_x")).groupBy("_x.c").agg(F.sum("_x.n").alias("n"))
+    totals, n = {r["c"]: r["n"] for r in parts.collect()}, table.count()  # a row for each label
+    schema = T.StructType([table.schema[group], T.StructField("_own", table.schema["_own"].dataType), T.StructField("fold", T.IntegerType())])
+    out, held = None, [dict.fromkeys(totals, 0) for _ in range(k)]
+    for link in range(-(-n // step)):
+
+        def deal(batches: Iterator[pa.RecordBatch], held: list[dict] = held) -> Iterator[pa.RecordBatch]:
+            state = [dict(h) for h in held]
+            for batch in batches:
+                groups = ((None, {x["c"]: x["n"] for x in own}) for own in batch.column("_own").to_pylist())
+                folds = [fold for _, fold in dealt_groups(groups, totals, k, state)]
+                yield pa.RecordBatch.from_arrays([batch.column(group), batch.column("_own"), pa.array(folds, pa.int32())], names=[group, "_own", "fold"])
+
+        own = table.where(F.col("_link") == link).repartition(1).sortWithinPartitions("_p").select(group, "_own")
+        dealt = stored(own.mapInArrow(deal, schema), "dealt")
+        out = dealt if out is None else out.unionByName(dealt)
+        if (link + 1) * step < n:
+            sums = dealt.select("fold", F.explode("_own").alias("_x")).groupBy("fold", "_x.c").agg(F.sum("_x.n").alias("n")).collect()  # folds by labels
+            for r in sums:
+                held[r["fold"]][r["c"]] += r["n"]
+    return spark.createDataFrame([], table.select(group, F.lit(0).alias("fold")).schema) if out is None else out.select(group, "fold")
 
 
 def cross_validation_folds(df: DataFrame, key: str, group: str, label: str, asked: int, random: bool = False, seed: str = "0") -> DataFrame:

@@ -46,3 +46,22 @@ def test_number_of_folds_and_refusal(spark):
     assert models.cross_validation_folds(df, "id", "family", "label", 10, random=True).select("fold").distinct().count() == 3
     with pytest.raises(ValueError, match="two folds"):
         models.cross_validation_folds(df.where("family = 'g0'"), "id", "family", "label", 10)
+
+
+@pytest.mark.parametrize("large", [0, 500])
+def test_every_group_is_dealt_by_the_same_rule(spark, large):
+    """More groups than 1,000, in links: as one chain over all of them."""
+    import hashlib
+
+    df = table(spark, 6, 1600, 20_000)
+    own: dict = {}
+    for r in df.collect():
+        own.setdefault(r["family"], Counter())[r["label"]] += 1
+    totals = sum(own.values(), Counter())
+    order = sorted(own.items(), key=lambda x: (-sum(x[1].values()), hashlib.md5(f"0-{x[0]}".encode()).hexdigest(), x[0]))
+    held, want = [Counter() for _ in range(4)], {}
+    for name, counts in order:
+        cost = lambda j: sum(n * held[j][c] * (totals["yes"] * totals["no"] // totals[c]) ** 2 for c, n in counts.items())  # noqa: B023, E731
+        want[name] = min(range(4), key=lambda j: (cost(j), sum(held[j].values()), j))
+        held[want[name]] += counts
+    assert len(want) > 1000 and dict(map(tuple, models.stratified_group_folds(df, "family", "label", 4, large=large).collect())) == want
