@@ -112,3 +112,22 @@ def _unique(piece):
     except ValueError:
         return False
     return True
+
+
+def test_scans_of_a_small_file_use_all_cores(spark, tmp_path):
+    """A small file is read in one task; each of its rows costs much."""
+    from pairlens.plans import registry
+
+    parts = spark.range(400).selectExpr("id AS p_partkey", "'red bolt' AS p_name", "'B' AS p_brand", "CAST(id % 50 AS INT) AS p_size")
+    events = spark.range(400).selectExpr("id AS event_id", "'click' AS event_type", "'{\"k\": 1}' AS props")
+    for name, df in (("part", parts), ("events", events)):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("example_scan", "reply_scan"):
+        found = registry.QUERIES[name](spark, str(tmp_path))
+        assert found.count() == 400 and found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism, name
+
+
+def test_cases_of_pieces(spark):
+    """The last piece that has cases counts, and pieces without any behind it don't."""
+    df = spark.createDataFrame([(['[{"a": 1}]', '{"tests": [{"b": 2}, 3]}', "[4]"],), (["[1]", "{}"],), ([],), (None,)], "pieces array<string>")
+    assert [r[0] for r in df.select(scans.cases_of(F.col("pieces"))).collect()] == [['{"b":2}'], [], [], []]
