@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .aggregates import flips, task_means
 from .constraints import require, uneven_repeats
 from .joins import self_pairs
@@ -129,7 +130,7 @@ def paired_effect(df: DataFrame, base, target, measure: str, task: str = "task",
     the exact p (null if clusters aren't tasks). Unpaired, duplicate or unevenly repeated tasks raise.
     """
     keys = [task, repeat] + ([cluster] if cluster else [])
-    pairs = self_pairs(df, keys, condition, base, target, [measure])
+    pairs = stored(self_pairs(df, keys, condition, base, target, [measure]), "pairs")
     require(uneven_repeats(pairs, task), "tasks of unequal repeats")
     group = cluster or task
     means = task_means(pairs, list(dict.fromkeys([task, group])), measure)
@@ -168,8 +169,8 @@ def kind_of(conditions: set[str]) -> str:
 
 def effects(df: DataFrame, pairs: list[tuple], measures: dict[tuple, str] | str, **options) -> DataFrame | None:
     """Base, target, measure and paired_effect()'s summary for each listed pair of conditions (or of models, with condition=<the model's column>); None without
-    pairs. ``measures``: one for all pairs, or one for each. A pair's rows are read by themselves; its clusters are drawn alike for all pairs of the same clusters."""
-    out = None
+    pairs. ``measures``: one for all pairs, or one for each. A pair's rows are read by themselves, and several times, so df is computed once; clusters are drawn alike for all pairs of the same clusters."""
+    df, out = stored(df, "effects"), None
     for base, target in pairs:
         measure = measures if isinstance(measures, str) else measures[base, target]
         own = paired_effect(df, base, target, measure, **options)["summary"].select(F.lit(base).alias("base"), F.lit(target).alias("target"), F.lit(measure).alias("measure"), "*")

@@ -201,11 +201,9 @@ SELECT base, target, count(*) AS num_tasks, round(avg(d), 9) AS paired_differenc
 
 def _conditions(spark: SparkSession, sf_dir: str, names: dict[str, tuple[str, str]]) -> DataFrame:
     """Named conditions: each one of the two conditions, with one of the two rules as what passed."""
-    rows, out = observations(spark, sf_dir), None
-    for name, (condition, rule) in names.items():
-        own = rows.where(F.col("condition") == condition).select("task", "repeat", "cluster", F.lit(name).alias("name"), F.col(rule).alias("passed"))
-        out = own if out is None else out.unionByName(own)
-    return out
+    shown = [F.when(F.col("condition") == condition, F.struct(F.lit(name).alias("name"), F.col(rule).alias("passed"))) for name, (condition, rule) in names.items()]
+    rows = observations(spark, sf_dir).select("task", "repeat", "cluster", F.explode(F.filter(F.array(*shown), lambda x: x.isNotNull())).alias("_x"))
+    return rows.select("task", "repeat", "cluster", "_x.name", "_x.passed")
 
 
 def _rounded(found: DataFrame) -> DataFrame:

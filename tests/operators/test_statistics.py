@@ -99,3 +99,20 @@ def test_kinds_of_experiments(spark):
             want[base, f"tests_{side}"] = f"rule_{side}", round(sum(value[t, f"tests_{side}"][at] - value[t, base][at] for t in range(6)) / 6, 9)
     assert got == want
     assert st.report(df.where("condition = 'tests_a'").withColumn("condition", F.lit("unrelated_tests"))) is None
+
+
+def test_effects_compute_their_rows_once(spark):
+    """Three pairs of conditions read their rows many times, which may be an aggregation of a large table."""
+    from pairlens.operators import statistics as st
+
+    rows = [(t, 0, c, t % 3, (t * 7 + ord(c)) % 5 < 2) for t in range(30) for c in "abc"]
+    df = spark.createDataFrame(rows, "task int, repeat int, condition string, cluster int, passed boolean")
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    found = st.effects(df.mapInPandas(seen, df.schema), [("a", "b"), ("a", "c"), ("b", "c")], "passed", cluster="cluster", draws=20).collect()
+    assert len(found) == 3 and read.value == len(rows)
