@@ -34,8 +34,9 @@ DATASET = "livecodebench_texts"
 
 
 def line_keys(df: DataFrame, key: str, lines: str, least: int) -> DataFrame:
-    """key, line: the longer lines without white space."""
-    return df.select(key, F.explode(lines).alias("_x")).where(F.length("_x") > least).select(key, tx.squeezed(F.col("_x")).alias("line"))
+    """key, line: the longer lines without white space. They are squeezed within the array and exploded as outer, as else filters that Spark derives compute them again."""
+    long = F.transform(F.filter(lines, lambda x: F.length(x) > least), tx.squeezed)
+    return df.select(key, F.explode_outer(long).alias("line")).where("line IS NOT NULL")
 
 
 def benchmark_lines(benchmark: DataFrame, settings: dict) -> DataFrame:
@@ -65,18 +66,17 @@ def judged(texts: DataFrame, benchmark: DataFrame, settings: dict) -> DataFrame:
 
 
 def tasks_of(kept: DataFrame, settings: dict) -> DataFrame:
-    """doc_id, fold, condition, lang, source, label, prompt, tests, hidden."""
+    """doc_id, fold, lang, source, label, hidden, condition, tests, prompt. One pass over the texts."""
     kept = kept.withColumn("family", F.concat_ws("-", "lang", "source"))
     fold = models.stratified_group_folds(kept, "family", "label", settings["folds"], settings["seed"])
     visible, hidden = selection.visible_hidden(F.col("lines"), settings["visible"])
     none = lambda kind: F.lit(None).cast(kind)
-    tasks = kept.select(
-        F.col("doc_id").cast("string").alias("task_id"), F.concat(F.lit("Continue this text ("), F.coalesce("lang", F.lit("?")), F.lit(").\n\n### Answer\n")).alias("prompt"), F.lit(DATASET).alias("dataset"), F.lit("text").alias("entry_point"),
+    about = ["doc_id", "fold", "lang", "source", "label", "hidden"]
+    tasks = kept.join(fold, "family").withColumn("hidden", hidden).select(
+        *about, F.col("doc_id").cast("string").alias("task_id"), F.concat(F.lit("Continue this text ("), F.coalesce("lang", F.lit("?")), F.lit(").\n\n### Answer\n")).alias("prompt"), F.lit(DATASET).alias("dataset"), F.lit("text").alias("entry_point"),
         F.lit("").alias("imports"), F.lit("").alias("signature"), visible.alias("visible"), none("array<string>").alias("irrelevant"), none("map<string, array<string>>").alias("condition_tests"), none("map<string, string>").alias("condition_prompts"),
     )
-    shown = conditions.for_conditions(tasks, settings["conditions"]).withColumn("doc_id", F.col("task_id").cast("long")).drop("task_id")
-    about = kept.join(fold, "family").select("doc_id", "fold", "lang", "source", "label", hidden.alias("hidden"))
-    return about.join(shown, "doc_id")
+    return conditions.for_conditions(tasks, settings["conditions"], keep=about).drop("task_id")
 
 
 def rejected(spark: SparkSession, output: str) -> DataFrame:
@@ -114,7 +114,10 @@ def verified(spark: SparkSession, docs: DataFrame, held_out: DataFrame, output:
     constraints.require(constraints.duplicate_keys(both, ["doc_id"]), "a document is both kept and rejected")
     constraints.require(docs.join(both, "doc_id", "left_anti").select("doc_id"), "documents are lost")
     constraints.require(constraints.several_values_by(tasks, ["lang", "source"], "fold"), "a family is in several folds")
-    shown = line_keys(tasks.select("doc_id", F.concat("tests", "hidden").alias("_l")), "doc_id", "_l", settings["least_line"])
+    # what is hidden is the same in all conditions, so it is looked through in one
+    constraints.require(constraints.several_values_by(tasks.select("doc_id", F.xxhash64("hidden").alias("_h")), ["doc_id"], "_h"), "conditions of a task hide different lines")
+    once = F.when(F.col("condition") == settings["conditions"][0], F.col("hidden")).otherwise(F.array().cast("array<string>"))
+    shown = line_keys(tasks.select("doc_id", F.concat("tests", once).alias("_l")), "doc_id", "_l", settings["least_line"])
     constraints.require(joins.only_in(shown, benchmark_lines(held_out, settings), ["line"]), "a line of the benchmark is left")
 
 

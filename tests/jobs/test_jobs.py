@@ -150,3 +150,24 @@ def test_command_line(spark, tmp_path):
     assert done.returncode == 0, done.stderr[-2000:]
     assert "batch 0: read" in done.stderr
     assert keyed.results(spark, str(tmp_path / "out")).count() == conversations(spark, 0, 9).where("role = 'assistant'").count()
+
+
+def test_protocol_squeezes_by_no_pattern_and_joins_no_texts(spark, tmp_path, monkeypatch):
+    """Tasks come from one pass: no exchange carries texts; the check of what is written finds a line that is shown, or hidden in any one condition."""
+    rows = [(i, "\n".join(f"line {j} of text {i}, with as many words as it needs to be kept" for j in range(5)), "en", f"s{i % 3}") for i in range(12)]
+    paths = texts(spark, str(tmp_path / "in"), rows, benchmark=[(1, "one line of the benchmark that no task may show or hide")])
+    out, s = str(tmp_path / "out"), prepare_protocol.SETTINGS
+    prepare_protocol.run(spark, *paths, out)
+    docs, held_out = spark.read.parquet(paths[0]), spark.read.parquet(paths[2])
+    kept = prepare_protocol.read_texts(docs, spark.read.parquet(paths[1]))
+    monkeypatch.setattr(prepare_protocol.models, "stratified_group_folds", lambda *_: spark.createDataFrame([("en-s0", 0), ("en-s1", 1), ("en-s2", 2)], "family string, fold int"))
+    tasks = prepare_protocol.tasks_of(kept.where("label = 'unknown'").hint("broadcast"), s)
+    plan = tasks._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2 and tasks.count() == 36  # of labels and of folds
+    for bad, column in (("nl_only", "hidden"), ("nl_tests_1", "hidden"), ("nl_tests", "tests")):
+        leak = F.when((F.col("doc_id") == 4) & (F.col("condition") == bad), F.array(F.lit("one line of the  benchmark that no task may show or hide"))).otherwise(F.col(column))
+        other = str(tmp_path / f"{bad}-{column}")
+        spark.read.parquet(f"{out}/tasks").withColumn(column, leak).write.partitionBy("fold", "condition").parquet(f"{other}/tasks")
+        prepare_protocol.rejected(spark, out).withColumn("reason", F.lit("x")).write.parquet(f"{other}/rejected")
+        with pytest.raises(ConstraintError, match="different lines|is left"):
+            prepare_protocol.verified(spark, docs, held_out, other, s)
