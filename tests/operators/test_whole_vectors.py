@@ -94,3 +94,15 @@ def test_every_vector_counts(spark):
         assert {int(r.key) for r in registry.QUERIES[name](spark, DIR).select("key").collect()} == ids
     assert registry.QUERIES["gram_matrix"](spark, DIR).count() == sum(n * (n + 1) // 2 for n in of_label)
     assert registry.QUERIES["same_vs_different"](spark, DIR).where(F.col("difference").isNotNull()).count() == sum(-(-n // 4) for n in of_label)
+
+
+def test_gram_rounds_in_its_tasks(spark):
+    """The same as F.round, which would go over all pairs again; halves away from zero, no negative zero."""
+    _, df = table(spark)
+    exact = vectors.gram(df, "id", "x", ["family"], tile=4).withColumn("k", F.round("k", 3))
+    got = vectors.gram(df, "id", "x", ["family"], tile=4, digits=3)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in exact.collect()} and got.count() == exact.count()
+    halves = spark.createDataFrame([(1, 0, [0.5]), (2, 0, [0.25]), (3, 0, [-0.25]), (4, 0, [-0.01])], "id long, family int, x array<double>")
+    got = {(r.i, r.j): repr(r.k) for r in vectors.gram(halves, "id", "x", ["family"], digits=2).collect()}
+    assert (got[1, 2], got[1, 3], got[2, 4]) == ("0.13", "-0.13", "0.0")
+    assert "round(" not in registry.QUERIES["gram_matrix"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
