@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pairlens.functions import text as tx
+from pairlens.operators import diversity
 from pairlens.plans import selections, texts
 
 
@@ -56,3 +57,23 @@ def test_seeds_of_long_texts(spark):
         for c in r.t:
             seed = (seed * 131 + ord(c)) % 2147483647
         assert r.s == seed
+
+
+def test_diverse_order_in_rounds(spark, monkeypatch):
+    """Groups far larger than what one task orders at once, and slices of few rows: the same order as by brute force; ties, copies and texts without tokens included."""
+    monkeypatch.setattr(diversity, "SLICE", 16)
+    rng = np.random.default_rng(5)
+    texts_of = [" ".join(f"w{'abcdefghij'[k]}" for k in rng.integers(0, 10, rng.integers(0, 9))) for _ in range(90)] + ["!" * int(k) for k in rng.integers(0, 6, 20)] + ["wa wb"] * 9
+    rows = [(i, None if i % 4 == 0 else "x", t, int(rng.integers(0, 3)), i * 5 % 119) for i, t in enumerate(texts_of)]
+    df = spark.createDataFrame(rows, "id long, g string, text string, score int, tie int").repartition(3)
+    for most in (16, 1000):
+        got = {r.id: r.place for r in diversity.diverse_order(df, "g", "text", "score", "tie", ["id"], most).collect()}
+        for g in (None, "x"):
+            left, taken = [r for r in rows if r[1] == g], []
+            near = {r[0]: float("inf") for r in left}
+            while left:
+                best = max(left, key=lambda r: (near[r[0]], r[3], -r[4]))
+                taken.append(best[0])
+                left.remove(best)
+                near = {r[0]: min(near[r[0]], distance(r[2], best[2])) for r in left}
+            assert [got[i] for i in taken] == list(range(1, len(taken) + 1))
