@@ -1,10 +1,12 @@
 """All pairs of the benchmark and all documents of a (language, source); against brute force on small tables."""
 
 import re
+import uuid
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from pairlens import session
 from pairlens.functions import text as tx
 from pairlens.operators import diversity
 from pairlens.plans import selections, texts
@@ -77,3 +79,23 @@ def test_diverse_order_in_rounds(spark, monkeypatch):
                 left.remove(best)
                 near = {r[0]: min(near[r[0]], distance(r[2], best[2])) for r in left}
             assert [got[i] for i in taken] == list(range(1, len(taken) + 1))
+
+
+def test_diverse_order_leaves_no_rounds(spark, monkeypatch, tmp_path):
+    """A round's tables go at its end, and those of the sets at last: what lies on disk doesn't rise with the rounds. Settings are as they were."""
+    monkeypatch.setattr(diversity, "SLICE", 16)
+    rng = np.random.default_rng(6)
+    rows = [(i, "x", " ".join(f"w{'abcdefghijklmnop'[k]}" for k in rng.integers(0, 16, 9)), 0, i) for i in range(48)]
+    df = spark.createDataFrame(rows, "id long, g string, text string, score int, tie int").repartition(3)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, tables = spark.conf.get(key), spark.catalog.listTables()
+    for most in (12, 1000):
+        folder = tmp_path / str(most)
+        for module in (session, diversity):
+            monkeypatch.setattr(module, "scratch", lambda _, name: f"file://{folder}/{name}-{uuid.uuid4().hex}", raising=False)  # noqa: B023
+        out = diversity.diverse_order(df, "g", "text", "score", "tie", ["id"], most)
+        kept = {x.parent for x in folder.rglob("*.parquet")}
+        assert {x.name.split("-")[0] for x in kept} == {"large", "places", "ranges"} and len(kept) <= 5
+        assert not any("_set" in spark.read.parquet(str(x)).columns for x in kept)
+        assert sorted(r.place for r in out.collect()) == list(range(1, 49))
+    assert spark.conf.get(key) == before and spark.catalog.listTables() == tables
