@@ -106,3 +106,16 @@ def test_gram_rounds_in_its_tasks(spark):
     got = {(r.i, r.j): repr(r.k) for r in vectors.gram(halves, "id", "x", ["family"], digits=2).collect()}
     assert (got[1, 2], got[1, 3], got[2, 4]) == ("0.13", "-0.13", "0.0")
     assert "round(" not in registry.QUERIES["gram_matrix"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_gram_moves_a_vector_few_times(spark, monkeypatch):
+    """A block of 40,000 vectors is dealt into so many tiles as the cores need (40 before, so each vector was shuffled 40 times), its products come in many batches."""
+    rows = spark.range(40_000).selectExpr("id", "1 AS family", "array(cast(id AS float), 1f) AS x")
+    times = vectors._tiled(rows, "id", "x", ["family"], vectors.TILE).groupBy("i").count().agg(F.max("count"), F.min("count")).first()
+    assert tuple(times) == (6, 6)
+    monkeypatch.setattr(vectors, "BATCH", 64)
+    names = [f"n{i:03d}" for i in range(60)] + ["n007"] * 2
+    df = spark.createDataFrame([(n, i % 2, [float(i), 1.0]) for i, n in enumerate(names)] + [("n000", None, [1.0, 1.0]), (None, 1, [1.0, 1.0])], "id string, family int, x array<double>")
+    for tile in (16, 1000):
+        got = sorted((r.family, r.i, r.j, r.k) for r in vectors.gram(df, "id", "x", ["family"], tile=tile).collect())
+        assert got == sorted((i % 2, m, n, i * j + 1.0) for i, m in enumerate(names) for j, n in enumerate(names) if i % 2 == j % 2 and m <= n)
